@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import curriculum, simhash
+from eventloom.llm import curriculum, langid, simhash
 from eventloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,14 @@ def query(f):
     return f
 
 
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    left_out = langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs, langid.learn(docs.where(~left_out)))
+    return found.select("doc_id", left_out.alias("held_out"), "lang_pred", "score", "n_langs")
+
+
 @query
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
