@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import curriculum, langid, simhash
-from eventloom.llm.common import read
+from eventloom.llm import curriculum, langid, packing, quality, simhash
+from eventloom.llm.common import checkpoint, read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -72,3 +78,16 @@ select doc_id, size, source_size, target, (first_words + second_words)::bigint a
               else (tilt - 1 + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (before::double / target))) / (2 * tilt) end) end as first_position
 from rooms
 """
+
+
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = checkpoint(quality.text_statistics(read(spark, sf_dir, "documents")))
+    rules = quality.learn_verdict(stats, read(spark, sf_dir, "labels"))
+    failed = quality.base_failed()
+    return stats.select("doc_id", *quality.STATS, failed.alias("base_failed"), (~failed & quality.verdict(rules)).alias("kept"))
