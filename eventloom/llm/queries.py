@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import curriculum, langid, packing, quality, simhash
+from eventloom.llm import curriculum, editprint, langid, packing, quality, simhash
 from eventloom.llm.common import checkpoint, read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(read(spark, sf_dir, "documents"))
