@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import curriculum, editprint, langid, packing, quality, simhash
+from eventloom.llm import chat, curriculum, editprint, langid, packing, quality, simhash, warc
 from eventloom.llm.common import checkpoint, read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,21 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_warc_zip"] = """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+firsts as (select payload_digest, min(page_id) as first_id from p where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest,
+       case when first_id is null or first_id is not distinct from page_id then 'response' else 'revisit' end as record_type,
+       case when first_id <> page_id then first_id end as refers_to
+from p left join firsts using (payload_digest)
+"""
+
+
 @query
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_fingerprints(read(spark, sf_dir, "documents"))
@@ -85,6 +100,31 @@ from rooms
 """
 
 
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    #: A conversation whose texts hold the template's own marks.
+    hard = [(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(hard, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_records(chat.conversation_records(turns)))
+
+
+ORACLES["op6_chat_format"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+  select *, replace(replace(replace(text, '\', '\\'), '#', '\#'), '</', '<\/') as body,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</', '<\/'), ':', '\:') as head from t)
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(4 + length(head) + 2 + length(body) + 8)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
