@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, curriculum, editprint, langid, packing, quality, simhash, toxicity, warc
+from eventloom.llm import chat, curriculum, editprint, htmltext, langid, packing, quality, simhash, toxicity, warc
 from eventloom.llm.common import checkpoint, read, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,11 @@ from e group by conv_id
 """
 
 
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(read(spark, sf_dir, "pages"))
+
+
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
