@@ -98,3 +98,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def filter_rows(docs: DataFrame, verdict, limit: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text ``verdict`` (list of texts to array of booleans) keeps; all columns stay, nothing is shuffled.
+
+    The text of a row that is null is given as an empty one."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, at, limit):
+            keep = verdict([x or "" for x in part.column(at).to_pylist()])
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

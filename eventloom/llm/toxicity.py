@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, checkpoint, code_points, letter_table, mix64
+from eventloom.llm.common import blocks, checkpoint, code_points, filter_rows, letter_table, mix64
 
 SAMPLE, TOP, FOLDS, RIDGE, ROUNDS, LEAST_ROWS = 8000, 256, 5, 1e-4, 300, 3
 #: In the chain's order: name and condition on the labels' columns.
@@ -224,3 +224,10 @@ def probabilities(texts: list[str], chain: list[Link]) -> list[np.ndarray]:
         out += [p, p >= link.threshold]
         earlier = np.hstack([earlier, np.clip(odds, -30, 30)[:, None]])
     return out
+
+
+def keep_clean(docs: DataFrame, chain: list[Link], category: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't in the category."""
+    sent = docs.sparkSession.sparkContext.broadcast(chain)
+    verdict = [link.name for link in chain].index(category) * 2 + 1
+    return filter_rows(docs, lambda texts: ~probabilities(texts, sent.value)[verdict])
