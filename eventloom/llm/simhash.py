@@ -146,7 +146,8 @@ def _bucket(table: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.nda
     for at in range(0, len(members), BLOCK):
         some = members[at : at + BLOCK]
         for to in range(0, len(table), BLOCK):
-            near = np.bitwise_count(some[:, None] ^ table[None, to : to + BLOCK]) <= radius
+            #: Unsigned: of a negative number, numpy counts the bits of its absolute value.
+            near = np.bitwise_count((some[:, None] ^ table[None, to : to + BLOCK]).view(np.uint64)) <= radius
             for i, j in zip(*np.nonzero(near), strict=True):
                 x, y = find(at + int(i)), find(to + int(j))
                 if x != y:
