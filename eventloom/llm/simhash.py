@@ -6,7 +6,7 @@ differ by at most one bit in one of the segments, so each fingerprint looks up t
 values) of both its segments in a table of all segments, and complete distances are verified: no link is lost.
 
 Exact copies meet as one fingerprint before anything is paired. A bucket never emits all its pairs: it is read in
-sorted blocks by one task and gives a spanning forest of its links, one row fewer than members. A crowded bucket is first
+sorted order by one task, which walks its links breadth first and gives a spanning forest of its links, one row fewer than members. A crowded bucket is first
 cut by a second level of segments (16 bits of the other half, ball of radius one again), where a table side holds at
 most 65,536 fingerprints whatever the input.
 
@@ -29,8 +29,6 @@ from eventloom.llm.components import component_roots
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: Members from which a bucket of the first level goes on to the second.
 CROWDED = 2048
-#: Members of a bucket that are compared at a time.
-BLOCK = 1024
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -133,35 +131,34 @@ def _link(columns: list[np.ndarray], width: int, radius: int) -> tuple[np.ndarra
 
 
 def _bucket(table: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links between table and members (the table comes first among them)."""
-    root = np.arange(len(members))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    """Spanning forest of the links between table and members (the table comes first among them).
 
+    Breadth first from each table entry that isn't reached yet; what has been reached isn't compared again."""
+    n_own, bits = len(table), members.view(np.uint64)  # of a negative number, numpy counts the bits of its absolute value
+    open_ = np.ones(len(members), bool)
     a, b = [], []
-    for at in range(0, len(members), BLOCK):
-        some = members[at : at + BLOCK]
-        for to in range(0, len(table), BLOCK):
-            #: Unsigned: of a negative number, numpy counts the bits of its absolute value.
-            near = np.bitwise_count((some[:, None] ^ table[None, to : to + BLOCK]).view(np.uint64)) <= radius
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = find(at + int(i)), find(to + int(j))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    a.append(members[at + i])
-                    b.append(table[to + j])
-    return np.array(a, np.int64), np.array(b, np.int64)
+    for seed in range(n_own):
+        front = [seed] if open_[seed] else []
+        open_[seed] = False
+        while front:
+            x = front.pop()
+            rest = np.flatnonzero(open_ if x < n_own else open_[:n_own])
+            near = rest[np.bitwise_count(bits[rest] ^ bits[x]) <= radius]
+            if len(near):
+                open_[near] = False
+                a.append(np.full(len(near), members[x]))
+                b.append(members[near])
+                front += near.tolist()
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all that are within ``radius`` (at most 3) bits."""
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius one find distances up to 3")
-    probes = _probes(fps)
+    #: A row becomes 66, so the rows are dealt over all tasks before, however small they are.
+    probes = _probes(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     #: Buckets where a table entry meets another fingerprint; most probes of unrelated fingerprints end here.
     sizes = probes.groupBy("half", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"))
     sizes = sizes.where((F.col("n") > 1) & (F.col("n_own") > 0))
