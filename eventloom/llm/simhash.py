@@ -158,7 +158,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
     if not 0 <= radius <= 3:
         raise ValueError("two segments with balls of radius one find distances up to 3")
     #: A row becomes 66, so the rows are dealt over all tasks before, however small they are.
-    probes = _probes(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = _probes(fps.repartition(parts, F.xxhash64("fp")))
     #: Buckets where a table entry meets another fingerprint; most probes of unrelated fingerprints end here.
     sizes = probes.groupBy("half", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"))
     sizes = sizes.where((F.col("n") > 1) & (F.col("n_own") > 0))
@@ -185,7 +186,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked = checkpoint(classes.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "root").select("fp", "least_id")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    #: Written, so that the last join has nothing but its two exchanges and the rows of a hot fingerprint can be split.
+    named = checkpoint(classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
