@@ -15,6 +15,7 @@ keep a row each.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -91,16 +92,17 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = ROUND
     top = np.ones(x.shape[1], np.float32)
     for _ in range(20):  # the largest curvature, by power iteration
         top = x.T @ (x @ (top / np.linalg.norm(top))) / len(x)
-    step = 3.6 / max(float(np.linalg.norm(top)), 1e-6)
+    step = np.float32(3.6 / max(float(np.linalg.norm(top)), 1e-6))
     w = np.zeros(x.shape[1], np.float32)
     v, t = w.copy(), 1.0
     penalty = np.full(len(w), ridge, np.float32)
     penalty[-1] = 0
     for _ in range(rounds):
-        slope = x.T @ (_sigmoid(x @ v) - y) / len(y) + penalty * v
+        #: All in single precision: a double among the factors would copy x in double precision in every round.
+        slope = (_sigmoid(x @ v) - y) @ x / np.float32(len(y)) + penalty * v
         new = v - step * slope
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = new + ((t - 1) / t_next) * (new - w), new, t_next
+        t_next = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        v, w, t = new + np.float32((t - 1) / t_next) * (new - w), new, t_next
     return w
 
 
