@@ -123,7 +123,7 @@ def dedup_events_latest(spark, sf):
 
 @query(
     """--bare with c as (select cast(user_id as varchar) as person_id, case event_id % 3 when 0 then 'plan' when 1 then 'city' else 'step' end as name, cast(event_id as varchar) as value,
-case when event_type in ('view', 'click') then 'set' when event_type = 'signup' then 'unset' else 'set_once' end as kind, epoch_ms(ts) as ms, event_id from events),
+case when event_type in ('view', 'click') then 'set' when event_type = 'signup' then 'unset' else 'set_once' end as kind, (epoch_us(ts) // 1000) as ms, event_id from events),
 l as (select person_id, name, max_by(kind, (ms, event_id)) filter (where kind <> 'set_once') as k, max_by(value, (ms, event_id)) filter (where kind <> 'set_once') as v, min_by(value, (ms, event_id)) filter (where kind = 'set_once') as o from c group by 1, 2)
 select person_id, name, case when k is null then o when k = 'set' then v end as value from l where case when k is null then o when k = 'set' then v end is not null"""
 )
@@ -159,7 +159,7 @@ def ingestion_warnings(spark, sf):
 
 
 @query(
-    """--bare with s as (select event_id, epoch_ms(ts) + 500 as server, case when event_id % 3 = 0 then null else epoch_ms(ts) + 100000 end as sent, epoch_ms(ts) + case event_id % 5 when 0 then 200000 when 1 then -300000000 else 40000 end as client from events)
+    """--bare with s as (select event_id, (epoch_us(ts) // 1000) + 500 as server, case when event_id % 3 = 0 then null else (epoch_us(ts) // 1000) + 100000 end as sent, (epoch_us(ts) // 1000) + case event_id % 5 when 0 then 200000 when 1 then -300000000 else 40000 end as client from events)
 select event_id, case when sent is null or sent - client < 0 or sent - client > 172800000 then server else server - (sent - client) end as ms from s"""
 )
 def clock_skew(spark, sf):

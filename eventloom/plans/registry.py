@@ -17,7 +17,7 @@ with ov as (
   from (select distinct user_id from events where user_id % 10 = 0)),
 ev as (
   select e.event_id, e.event_type as event_name, cast(e.user_id as varchar) as distinct_id, cast(e.user_id as varchar) as raw_person_id,
-         coalesce(ov.now_id, cast(e.user_id as varchar)) as person_id, e.ts, epoch_ms(e.ts) as ms, e.value,
+         coalesce(ov.now_id, cast(e.user_id as varchar)) as person_id, e.ts, (epoch_us(e.ts) // 1000) as ms, e.value,
          left(e.props, length(e.props) - 1) || case e.event_id % 5 when 1 then ', "plan": "free", "ok": true}' when 2 then ', "plan": "pro", "ok": false}'
            when 3 then ', "plan": "", "ok": null}' when 4 then ', "plan": "12.5", "seen": "2024-01-15"}' else '}' end as properties,
          's' || (e.user_id % 5) as segment,
