@@ -5,7 +5,8 @@ It is trained with out-of-fold ones: a row's are those of a model that hasn't se
 
 Features are 64-bit hashes of what a text has at all: words, beginnings of words (three to eight letters), symbols, each once, twice or four times. A
 category's model uses the ``TOP`` features that say most about it (chi-squared over the sample), so a long document isn't condemned
-for its length. A category's threshold is the one with the best F1 on out-of-fold probabilities.
+for its length. Features that stand in nearly the same rows count as one: else the many words of one document with many copies
+would leave no room for others. A category's threshold is the one with the best F1 on out-of-fold probabilities.
 
 The labels table has two judgements, toxic and quality; the chain predicts low quality first and then toxic. Learning takes at
 most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id; rows with a null judgement are left out. Null texts
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import blocks, checkpoint, code_points, filter_rows, letter_table, mix64
 
-SAMPLE, TOP, FOLDS, RIDGE, ROUNDS, LEAST_ROWS = 8000, 256, 5, 1e-4, 300, 3
+SAMPLE, TOP, FOLDS, RIDGE, ROUNDS, LEAST_ROWS = 8000, 256, 5, 1e-5, 600, 3
+#: Candidates for each feature used, and the share of common rows from which two features are one.
+CANDIDATES, SAME_ROWS = 8, 0.8
 #: In the chain's order: name and condition on the labels' columns.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 BEGINNINGS, LEVELS = (3, 4, 5, 6, 7, 8), (1, 2, 4)
@@ -110,14 +113,14 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Cut with the best F1, in the middle of the gap that it lies in."""
-    order = np.argsort(-p, kind="stable")
+def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
+    """Probability of the cut with the best F1, in the middle of the gap of log-odds that it lies in."""
+    order = np.argsort(-odds, kind="stable")
     found = np.cumsum(y[order])
-    f1 = 2 * found / (np.arange(1, len(p) + 1) + y.sum())
+    f1 = 2 * found / (np.arange(1, len(odds) + 1) + y.sum())
     k = int(f1.argmax())
-    after = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float(max((p[order[k]] + after) / 2, 1e-9))
+    after = odds[order[k + 1]] if k + 1 < len(odds) else odds[order[k]] - 2
+    return float(_sigmoid((odds[order[k]].astype(np.float64) + after) / 2))
 
 
 def train_chain(x: list[np.ndarray], y: np.ndarray, tables: list[np.ndarray], names: list[str], folds: int = FOLDS, seed: int = 7) -> list[Link]:
@@ -134,7 +137,7 @@ def train_chain(x: list[np.ndarray], y: np.ndarray, tables: list[np.ndarray], na
         for f in range(folds):
             w = _fit(inputs[fold != f], target[fold != f])
             odds[fold == f] = inputs[fold == f] @ w[:-1] + w[-1]
-        chain.append(Link(name, tables[k], _fit(inputs, target), _threshold(_sigmoid(odds), target)))
+        chain.append(Link(name, tables[k], _fit(inputs, target), _threshold(odds, target)))
         earlier = np.hstack([earlier, np.clip(odds, -30, 30)[:, None]])
     return chain
 
@@ -174,14 +177,15 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_ROWS)
     totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
     counts = checkpoint(counts)
-    tables = []
+    tables, ranks = [], []
     for y in ys:
         t, p = float(totals["n"]), float(totals[y])
         # chi-squared of the two by two table of having the feature and being in the category
         gap = F.col(y) * F.lit(t) - F.col("n") * F.lit(p)
         chi = gap * gap / (F.col("n") * (F.lit(t) - F.col("n") + 1e-9) * F.lit(max(p * (t - p), 1e-9)))
-        best = counts.orderBy(chi.desc(), "feature").limit(top).select("feature").toArrow()["feature"].to_numpy()
-        tables.append(np.sort(best.view(np.uint64)))
+        best = counts.orderBy(chi.desc(), "feature").limit(CANDIDATES * top).select("feature").toArrow()["feature"].to_numpy()
+        ranks.append(best.view(np.uint64))
+        tables.append(np.sort(ranks[-1]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, 1):
@@ -196,9 +200,25 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
         for k in range(len(names))
     ]
     labels_ = np.stack([seen[y].to_numpy() for y in ys], 1) if seen.num_rows else np.zeros((0, len(names)), np.int64)
+    for k, table in enumerate(tables):
+        own = distinct_features(x[k][:, : len(table)], np.searchsorted(table, ranks[k]), top)
+        x[k], tables[k] = x[k][:, np.concatenate([own + n * len(table) for n in range(len(LEVELS))])], table[own]
     return train_chain(x, labels_, tables, names)
 
 
+def distinct_features(present: np.ndarray, order: np.ndarray, top: int) -> np.ndarray:
+    """Up to ``top`` columns, sorted, taken in the given order unless they share most of their rows with one that is taken already."""
+    seen = present.astype(np.float32)
+    common = seen.T @ seen
+    n = common.diagonal()
+    kept: list[int] = []
+    for c in order.tolist():
+        shared = common[c, kept]
+        if len(kept) < top and not (shared > SAME_ROWS * (n[c] + n[kept] - shared)).any():
+            kept.append(c)
+    return np.array(sorted(kept), np.int64)
+
+
 def score(docs: DataFrame, chain: list[Link]) -> DataFrame:
     """doc_id, p_<category> and is_<category> for every category, of every row of ``docs``."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)

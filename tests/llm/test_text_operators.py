@@ -430,3 +430,13 @@ def test_earlier_categories_are_fed_out_of_fold():
     x = [np.hstack([noise, first[:, None]]), noise]
     chain = toxicity.train_chain(x, np.stack([first, first], 1).astype(int), [np.arange(61).astype(np.uint64), np.arange(60).astype(np.uint64)], ["a", "b"])
     assert chain[1].weights[-2] > 5 * np.abs(chain[1].weights[:-2]).mean()  # the second can only know from the first
+
+
+def test_copies_of_one_document_leave_room_for_other_features():
+    rng = np.random.default_rng(5)
+    copies = np.repeat(rng.random((200, 1)) < 0.2, 30, axis=1)  # thirty words of one document and its copies
+    words = rng.random((200, 5)) < 0.3
+    present = np.hstack([copies, words])
+    kept = toxicity.distinct_features(present, np.arange(35), 6)
+    assert kept.tolist() == [0, 30, 31, 32, 33, 34]
+    assert toxicity.distinct_features(np.zeros((0, 3), bool), np.arange(3), 2).tolist() == [0, 1]
