@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import blocks, mix64
+from eventloom.llm.common import blocks, checkpoint, mix64
 
 SLOTS, GRAM, SEED, PERIOD = 64, 4, 2024, 1 << 12
 #: Below so many texts still walking, each is walked by itself.
 FEW = 48
-BANDS, BAND_BYTES, LIKENESS = 16, 4, 0.8
+BANDS, BAND_BYTES, LIKENESS, CROWDED = 16, 4, 0.8, 4096
 
 _rng = np.random.default_rng(SEED)
 #: Shared random bits of the walk for (step, character class); the steps repeat after PERIOD.
@@ -153,18 +153,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def near_pairs(prints: DataFrame, at_least: float = LIKENESS, bands: int = BANDS, band_bytes: int = BAND_BYTES) -> DataFrame:
-    """a, b, likeness of pairs of distinct fingerprints that share a band and are alike enough.
+def near_links(prints: DataFrame, at_least: float = LIKENESS, bands: int = BANDS, band_bytes: int = BAND_BYTES, crowded: int = CROWDED) -> DataFrame:
+    """a, b, likeness: links between distinct fingerprints that are alike enough, enough to connect all that are.
 
-    ``prints`` needs a column fingerprint; equal fingerprints are one class and aren't paired. Bands are disjoint runs of bytes,
-    as every byte is a random sample already. A band's bucket is joined, so large buckets can be split by adaptive execution."""
+    ``prints`` needs a column fingerprint; equal fingerprints are one class and aren't linked. Bands are disjoint runs of bytes,
+    as every byte is a random sample already. Fingerprints that are alike differ in so few bytes that they share two bands at
+    least, so none is missed: a bucket of one band is read by one task, and one with over ``crowded`` members is cut by every
+    later band first. A bucket gives a spanning forest of its links, never all its pairs."""
+    if int((1 - at_least) * SLOTS + 1e-9) > bands - 2:
+        raise ValueError(f"fingerprints with a likeness of {at_least} may share fewer than two of {bands} bands")
     classes = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    band = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.substring("fingerprint", 1 + 2 * band_bytes * k, 2 * band_bytes).alias("key")) for k in range(bands)]))
-    keyed = classes.select("fingerprint", band.alias("x")).select("fingerprint", "x.band", "x.key")
-    other = keyed.withColumnRenamed("fingerprint", "b")
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda n, k: n + (F.col("a").substr(2 * k + 1, F.lit(2)) == F.col("b").substr(2 * k + 1, F.lit(2))).cast("int"))
-    pairs = keyed.withColumnRenamed("fingerprint", "a").join(other, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("likeness", equal / F.lit(float(SLOTS))).where(F.col("likeness") >= at_least)
+    key = lambda k: F.substring("fingerprint", 1 + 2 * band_bytes * k, 2 * band_bytes).alias("key")
+    keyed = classes.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), key(k)) for k in range(bands)])).alias("x")).select("fingerprint", "x.*")
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = checkpoint(keyed.join(sizes, ["band", "key"]))
+    later = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("band2"), key(k).alias("key2")) for k in range(bands)]), lambda x: x["band2"] > F.col("band")))
+    fine = met.where(F.col("n") > crowded).select("fingerprint", "band", "key", later.alias("x")).select("fingerprint", "band", "key", "x.*")
+    found = _forest(met.where(F.col("n") <= crowded), ["band", "key"], at_least).unionByName(_forest(fine, ["band", "key", "band2", "key2"], at_least))
+    return found.dropDuplicates(["a", "b"])
+
+
+def _forest(members: DataFrame, keys: list[str], at_least: float) -> DataFrame:
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(width + 1)), strict=True):
+                if row[:width] != last and held:
+                    yield from _links(held, at_least)
+                    held = []
+                last = row[:width]
+                held.append(row[width])
+        if held:
+            yield from _links(held, at_least)
+
+    dealt = members.select(*keys, "fingerprint").repartition(*keys).sortWithinPartitions(*keys, "fingerprint")
+    return dealt.mapInArrow(run, "a string, b string, likeness double")
+
+
+def _links(bucket: list[str], at_least: float) -> Iterator[pa.RecordBatch]:
+    """Breadth first; a fingerprint that has been reached isn't compared again."""
+    if len(bucket) < 2:
+        return
+    prints = np.frombuffer(bytes.fromhex("".join(bucket)), np.uint8).reshape(len(bucket), -1)
+    open_, rows = np.ones(len(bucket), bool), []
+    for seed in range(len(bucket)):
+        front = [seed] if open_[seed] else []
+        open_[seed] = False
+        while front:
+            x = front.pop()
+            rest = np.flatnonzero(open_)
+            alike = likeness(prints[rest], prints[x])
+            for y, value in zip(rest[alike >= at_least].tolist(), alike[alike >= at_least].tolist(), strict=True):
+                rows.append((*sorted((bucket[x], bucket[y])), value))
+                open_[y] = False
+                front.append(y)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "likeness"])
 
 
 def _next_parts(docs: DataFrame, parts: int) -> DataFrame:

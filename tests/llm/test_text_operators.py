@@ -219,16 +219,33 @@ def test_edit_fingerprints_match_the_definition(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
-def test_near_pairs_finds_edited_copies(spark):
-    base = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 1500").limit(20).collect()
-    rows = [(2 * k, r["text"]) for k, r in enumerate(base)] + [(2 * k + 1, r["text"][:1000] + "x" + r["text"][1001:]) for k, r in enumerate(base)]
-    prints = editprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
-    of = {r["doc_id"]: r["fingerprint"] for r in prints.collect()}
-    pairs = {(r["a"], r["b"]) for r in editprint.near_pairs(prints).collect()}
-    #: Equal fingerprints are one class, which isn't paired with itself.
-    alike = [of[2 * k] == of[2 * k + 1] or tuple(sorted((of[2 * k], of[2 * k + 1]))) in pairs for k in range(len(base))]
-    assert sum(alike) >= 15
-    assert all(editprint.likeness(*(np.frombuffer(bytes.fromhex(x), np.uint8) for x in p)) >= editprint.LIKENESS for p in pairs)
+@pytest.mark.parametrize("crowded", [4096, 2])
+def test_near_links_connect_what_brute_force_does(spark, crowded):
+    base = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 400").limit(30).collect()
+    texts = [r["text"] for r in base] + [r["text"][:300] + "xyz" * k + r["text"][300:] for r in base for k in (1, 3)]
+    prints = editprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    of = sorted({r["fingerprint"] for r in prints.collect()})
+    codes = [np.frombuffer(bytes.fromhex(x), np.uint8) for x in of]
+    found = editprint.near_links(prints, crowded=crowded).collect()
+    near = [(x, y) for k, x in enumerate(of) for m, y in enumerate(of) if m > k and editprint.likeness(codes[k], codes[m]) >= editprint.LIKENESS]
+    assert near and {(r["a"], r["b"]) for r in found} <= set(near)
+
+    def classes(pairs):
+        root = {x: x for x in of}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in pairs:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+        return {x: find(x) for x in of}
+
+    assert classes((r["a"], r["b"]) for r in found) == classes(near)
+    with pytest.raises(ValueError):
+        editprint.near_links(prints, at_least=0.5)
 
 
 def test_curriculum_meets_targets_and_orders(spark):
