@@ -178,17 +178,29 @@ def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long), component_id (smallest doc_id reachable) of every row of ``docs``."""
+    """doc_id, fp (long), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of every row of ``docs``."""
     prints = checkpoint(fingerprints(docs, shingle))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     edges = near_links(classes.select("fp"), radius)
     roots = component_roots(edges)
     linked = checkpoint(classes.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select("fp", "least_id")
+    named = linked.join(least, "root").select("fp", "root", "least_id")
     #: Written, so that the last join has nothing but its two exchanges and the rows of a hot fingerprint can be split.
-    named = checkpoint(classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpoint(classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "class_fp")
+
+
+def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``docs`` with their fingerprint as __fp."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(x.as_py().encode() if x.is_valid else None, shingle) for x in batch.column(at)]
+            yield batch.append_column("__fp", pa.array(prints, pa.int64()))
+
+    return docs.mapInArrow(run, docs.withColumn("__fp", F.lit(None).cast("long")).schema)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -196,8 +208,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
     Of repeated rows with that doc_id one stays, the one with the smallest text. A class without any doc_id keeps one row."""
     classes = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = classes.where(first).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    return kept.withColumn("__turn", turn).where("__turn = 1").drop("__turn")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *rest))
+    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
+    #: Rows without a doc_id are known by their fingerprints only.
+    alone = classes.where("component_id is null").select(F.col("fp").alias("__fp"), "class_fp").distinct()
+    turn = F.row_number().over(Window.partitionBy("class_fp").orderBy("text", *rest))
+    nameless = _with_fingerprints(docs.where("doc_id is null"), shingle).join(alone, "__fp")
+    return kept.unionByName(nameless.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns))

@@ -138,6 +138,12 @@ def test_keep_one_keeps_a_row_of_each_class(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 5, 6]  # 2 stands for all without words
 
 
+def test_classes_without_a_doc_id_keep_a_row_each(spark):
+    rows = [(None, "a b c d e"), (None, "a b c d e"), (None, "quite another text than that"), (7, "one more text with an id here"), (None, "one more text with an id here")]
+    kept = simhash.keep_one(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, n int")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a b c d e"), (0, "quite another text than that"), (7, "one more text with an id here")]
+
+
 def test_language_held_out_accuracy_and_mixtures(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
