@@ -1,10 +1,14 @@
 """Structured Streaming ingest: files of JSON lines become validated, identified, enriched events, with dead letters.
 
-Delivery is at least once; the checkpoint remembers what was read, repeated events are dropped by (project_id, event_id)
-within the watermark, and each micro-batch is written under its own batch number, so that a repeated batch replaces itself."""
+Delivery is at least once; the checkpoint remembers what was read, and each micro-batch is written under its own batch
+number, so that a repeated batch replaces itself. Repeated events are dropped by (project_id, event_id): a batch is joined
+with the keys of all earlier ones, so no event is dropped for its time, and a repeat is found however late it comes. The
+join reads two columns of what has been written, which grows; it spills, where a stream's state would be held in memory.
+Events without an id get one of their own, and rows with a problem are never compared."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from eventloom.operators import ingest
 from eventloom.sources.files import EVENT_SCHEMA
 
-DEDUP_HORIZON, FILES_PER_TRIGGER = "48 hours", 100
+FILES_PER_TRIGGER = 100
 
 
 def source(spark: SparkSession, path: str, files: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -24,6 +28,7 @@ def prepared(rows: DataFrame) -> DataFrame:
     ms = lambda c: F.unix_millis(F.col(c).try_cast("timestamp"))
     server = F.unix_millis(F.current_timestamp())
     rows = rows.withColumnRenamed("event", "event_name").withColumn("properties", F.coalesce("properties", F.lit("{}")))
+    rows = rows.withColumn("event_id", F.when(F.trim("event_id") != "", F.col("event_id")).otherwise(F.uuid()))
     at = ingest.corrected_ms(server, ms("sent_at"), ms("timestamp"))
     #: Without sent_at an import's own time holds.
     at = F.when(F.col("sent_at").isNull() & ms("timestamp").isNotNull(), ms("timestamp")).otherwise(at)
@@ -32,14 +37,27 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.select("project_id", "event_id", "event_name", "event_type", "distinct_id", "anonymous_id", "person_id", "ms", "time", "properties", "user_properties", "problem", "ip", *ingest.user_agent(F.coalesce("user_agent", F.lit(""))))
 
 
-def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def fresh(rows: DataFrame, out: str, number: int) -> DataFrame:
+    """Events of a batch without a problem, one a key, whose key no earlier batch in ``out`` has."""
+    keys = ["project_id", "event_id"]
+    good = rows.where("problem is null").drop("problem").dropDuplicates(keys)
+    try:
+        written = rows.sparkSession.read.schema("project_id string, event_id string, batch long").parquet(f"{out}/events")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return good
+    return good.join(written.where(F.col("batch") < number).select(*keys), keys, "left_anti")
+
+
+def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True, files: int = FILES_PER_TRIGGER) -> StreamingQuery:
     """Events go to ``out``/events, rejected ones to ``out``/warnings, a batch that couldn't be written to ``out``/dead."""
-    rows = prepared(source(spark, path)).withWatermark("time", DEDUP_HORIZON).dropDuplicatesWithinWatermark(["project_id", "event_id"])
+    rows = prepared(source(spark, path, files))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            batch.where("problem is null").drop("problem").write.mode("overwrite").parquet(f"{out}/events/batch={number}")
+            fresh(batch, out, number).write.mode("overwrite").parquet(f"{out}/events/batch={number}")
             batch.where("problem is not null").select("project_id", F.col("problem").alias("type"), "event_name", "distinct_id").write.mode("overwrite").parquet(f"{out}/warnings/batch={number}")
         except Exception:
             batch.write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
@@ -53,7 +71,7 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool
 
 def replay(spark: SparkSession, out: str, number: int) -> DataFrame:
     """Rows of a batch among the dead letters, to be written again."""
-    return spark.read.parquet(f"{out}/dead/batch={number}").where("problem is null").drop("problem")
+    return fresh(spark.read.parquet(f"{out}/dead/batch={number}"), out, number)
 
 
 def minute_counts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:

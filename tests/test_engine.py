@@ -1,6 +1,7 @@
 """The driver's contract, plans, ingest and files."""
 
 import json
+import os
 
 import duckdb
 import pytest
@@ -95,6 +96,29 @@ def test_stream_drops_repeats_and_keeps_warnings(spark, tmp_path):
     assert sorted(r["type"] for r in spark.read.parquet(f"{tmp_path}/out/warnings").collect()) == ["illegal_distinct_id", "invalid_event"]
 
 
+def test_stream_of_several_batches_loses_no_event(spark, tmp_path):
+    def line(event_id, time, **more):
+        return {"project_id": "p", "event_id": event_id, "event": "view", "distinct_id": "u", "timestamp": time} | more
+
+    bad = line("1", None, distinct_id="null")
+    batches = [
+        [line("0", "2024-01-31T00:00:00Z"), line("now", None), line(None, "2024-01-31T00:00:00Z"), line(None, "2024-01-31T00:00:00Z"), bad],
+        [line("1", "2024-01-01T00:00:00Z"), line("1", "2024-01-01T00:00:00Z"), line(None, "2024-01-01T00:00:00Z"), bad, bad],
+        [line("2", "2023-12-01T00:00:00Z"), line("0", "2024-01-31T00:00:00Z"), line("1", "2024-01-01T00:00:00Z")],
+    ]
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate(batches):
+        file = tmp_path / f"in/{k}.json"
+        file.write_text("\n".join(map(json.dumps, lines)))
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # the stream reads older files first
+    stream.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", files=1).awaitTermination()
+    events = spark.read.parquet(f"{tmp_path}/out/events").collect()
+    ids = {r["event_id"] for r in events}
+    assert len({r["batch"] for r in events}) == 3 and len(events) == len(ids) == 7
+    assert {"0", "1", "2", "now"} < ids and None not in ids
+    assert spark.read.parquet(f"{tmp_path}/out/warnings").count() == 3
+
+
 def test_member_csv_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("E-Mail,x\na@b.c,1\n")
     rows, kind = files.read_member_csv(spark, f"{tmp_path}/a.csv")
