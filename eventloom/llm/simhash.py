@@ -197,7 +197,7 @@ def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(x.as_py().encode() if x.is_valid else None, shingle) for x in batch.column(at)]
+            prints = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in batch.column(at)]
             yield batch.append_column("__fp", pa.array(prints, pa.int64()))
 
     return docs.mapInArrow(run, docs.withColumn("__fp", F.lit(None).cast("long")).schema)
@@ -206,14 +206,16 @@ def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the class's smallest doc_id.
 
-    Of repeated rows with that doc_id one stays, the one with the smallest text. A class without any doc_id keeps one row."""
+    Of several rows of the class with that doc_id one stays, the one with the smallest text. A class without any doc_id keeps
+    one row, too. A doc_id that stands on texts of several classes may stay in each of them."""
+    keys = ["__id", "__named", "__fp"]  # a row's doc_id alone doesn't say of which class it is
+    own = F.col("doc_id").cast("long")
+    named = [F.coalesce(own, F.lit(0)).alias("__id"), own.isNotNull().alias("__named")]
     classes = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *rest))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__turn", turn).where("__turn = 1").select(*docs.columns)
-    #: Rows without a doc_id are known by their fingerprints only.
-    alone = classes.where("component_id is null").select(F.col("fp").alias("__fp"), "class_fp").distinct()
-    turn = F.row_number().over(Window.partitionBy("class_fp").orderBy("text", *rest))
-    nameless = _with_fingerprints(docs.where("doc_id is null"), shingle).join(alone, "__fp")
-    return kept.unionByName(nameless.withColumn("__turn", turn).where("__turn = 1").select(*docs.columns))
+    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*named, F.col("fp").alias("__fp"), "class_fp").distinct()
+    order = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    rows = _with_fingerprints(docs, shingle).select("*", *named)
+    #: Repeated rows go before anything is joined, most of them before they are dealt.
+    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__turn = 1")
+    rows = rows.join(first, keys).withColumn("__turn", F.row_number().over(Window.partitionBy("class_fp").orderBy(*order)))
+    return rows.where("__turn = 1").select(*docs.columns)

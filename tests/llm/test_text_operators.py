@@ -144,6 +144,32 @@ def test_classes_without_a_doc_id_keep_a_row_each(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a b c d e"), (0, "quite another text than that"), (7, "one more text with an id here")]
 
 
+def test_an_id_on_several_texts_loses_no_class(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "some unrelated words stand here"), (1, "some unrelated words stand here"), (2, "a third text that is quite different")]
+    rows += [(0, "alpha beta gamma delta"), (None, "a third text that is quite different"), (None, None), (7, "")]
+    #: One id on many texts, each with a copy under a larger id or none.
+    rows += [(-1, f"text number {k} of the many") for k in range(40)] + [(100 + k, f"Text  number {k} of the many") for k in range(0, 40, 2)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, n int")
+    root = {}
+    prints = [simhash.fingerprint((t or "").encode()) & (1 << 64) - 1 for _, t in rows]
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 3:
+                root[find(a)] = find(b)
+    want = {}
+    for n, (fp, (doc_id, text)) in enumerate(zip(prints, rows, strict=True)):
+        key = (doc_id is None, doc_id or 0, text is not None, text or "", n)
+        want[find(fp)] = min(want.get(find(fp), key), key)
+    assert len(want) > 40
+    assert sorted(r["n"] for r in simhash.keep_one(docs).collect()) == sorted(k[-1] for k in want.values())
+
+
 def test_language_held_out_accuracy_and_mixtures(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
