@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters in which one known language has at least half of the words."""
+    """Documents with letters, in one known language or several."""
     ship(spark)
     return langid.keep_known(docs, langid.learn(docs))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import blocks, code_points, filter_rows, letter_table
 
-BITS, SMOOTHING, PENALTY, ROUNDS, LEAST_SHARE = 16, 0.5, 4.0, 8, 0.5
+BITS, SMOOTHING, PENALTY, ROUNDS = 16, 0.5, 4.0, 8
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,13 +152,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
-def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = LEAST_SHARE, penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which some language has at least the given share; ``und`` goes."""
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = PENALTY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are a mixture of any number of known languages; ``und`` goes."""
     sent = docs.sparkSession.sparkContext.broadcast(model[1])
 
     def verdict(texts: list[str]) -> np.ndarray:
-        share = mixtures(texts, sent.value, penalty)
-        return share.max(1, initial=0) >= least
+        return mixtures(texts, sent.value, penalty).any(1)
 
     return filter_rows(docs, verdict)
 

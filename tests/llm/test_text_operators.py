@@ -144,6 +144,20 @@ def test_classes_without_a_doc_id_keep_a_row_each(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a b c d e"), (0, "quite another text than that"), (7, "one more text with an id here")]
 
 
+def test_documents_in_several_languages_are_known(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(docs)
+    some = {r["lang"]: r["text"][:600] for r in docs.where("n_chars between 2000 and 3000").collect()}
+    text = " ".join(some[x] for x in sorted(some)[:4])
+    share = langid.mixtures([text], model[1])
+    assert len(some) > 2 and share.max() < 0.5
+    rows = [(1, text), (2, some["en"]), (3, "42 !!"), (4, None), (5, "")]
+    kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+    nothing = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string"), langid.learn(docs.limit(0)))
+    assert nothing.collect() == []
+
+
 def test_an_id_on_several_texts_loses_no_class(spark):
     rows = [(1, "alpha beta gamma delta"), (1, "some unrelated words stand here"), (1, "some unrelated words stand here"), (2, "a third text that is quite different")]
     rows += [(0, "alpha beta gamma delta"), (None, "a third text that is quite different"), (None, None), (7, "")]
