@@ -9,9 +9,10 @@ The model is trained here, on pages made by a seeded generator: many layouts of
 notices, adverts, forms and reader comments, with invented words, so that it learns structure and not a vocabulary. It is
 trained once in a driver's life and sent to the tasks as a broadcast of a fixed size.
 
-Scripts, styles, comments and other raw elements aren't text. Character references are decoded, white space inside a block
-(line breaks among it) becomes one space. Null and empty pages give an empty text; broken markup is read as far as it goes, an
-unclosed raw element or comment to the page's end. Nothing is cut: a page of any number of blocks is labelled whole.
+Scripts, styles, comments and the content of drawings and players aren't text. Character references are decoded, white space
+inside a block (line breaks among it) becomes one space. Null and empty pages give an empty text; broken markup is read as far
+as it goes, an unclosed script, style, title, textarea or comment to the page's end, while of an unclosed or self-closed
+drawing or player only the tag is left out. Custom elements (title-bar) are elements like any other. Nothing is cut: a page of any number of blocks is labelled whole.
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ from pyspark.sql import functions as F
 PATHS, WORDS, PATH_WIDTH, WORD_WIDTH, NUMBERS, HIDDEN = 1024, 512, 24, 8, 6, 24
 PAGES, EPOCHS, BATCH, SEED = 1500, 6, 48, 11
 
-#: Fixed element names: those whose edges end a block, those without content, those whose content isn't text, and those that
-#: a new element of the second kind closes.
+#: Fixed element names: those whose edges end a block, those without content, those whose content isn't markup, those whose
+#: content isn't text, and those that a new element of the same kind closes.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = "script style noscript template title textarea svg math iframe object canvas audio video".split()
+RAW_TAGS = "script style title textarea".split()
+SKIPPED_TAGS = frozenset("template svg iframe canvas audio video".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK_TAGS - frozenset("body button caption head html label legend option optgroup select summary tbody td tfoot th thead tr".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
@@ -60,6 +62,22 @@ def _words_of(tag: str, attrs: str) -> list[str]:
     return out
 
 
+def _skipped(tokens: list[re.Match]) -> dict[int, int]:
+    """Start tags of closed elements whose content isn't text, each with its end tag, by their places among the tokens."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for k, token in enumerate(tokens):
+        tag = (token["tag"] or "").lower()
+        if tag not in SKIPPED_TAGS:
+            continue
+        if not token["end"]:
+            if not token["attrs"].endswith("/"):
+                open_.setdefault(tag, []).append(k)
+        elif open_.get(tag):
+            out[open_[tag].pop()] = k
+    return out
+
+
 def blocks_of(page: str) -> list[tuple[list[str], str, int]]:
     """Leaf blocks in page order: words of the tag path, text, and how many of its characters are in links."""
     stack: list[tuple[str, list[str]]] = []
@@ -78,8 +96,12 @@ def blocks_of(page: str) -> list[tuple[list[str], str, int]]:
     def close(upto: int) -> None:
         del stack[upto:]
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at = stop = 0
+    tokens = list(_TOKEN.finditer(page))
+    skipped = _skipped(tokens)
+    for place, token in enumerate(tokens):
+        if place < stop:
+            continue
         if token.start() > at:
             piece = page[at : token.start()]
             text.append(piece)
@@ -90,6 +112,11 @@ def blocks_of(page: str) -> list[tuple[list[str], str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in SKIPPED_TAGS:
+            if place in skipped:
+                stop = skipped[place] + 1
+                at = tokens[stop - 1].end()
+            continue
         if tag == "br":
             text.append(" ")
             continue

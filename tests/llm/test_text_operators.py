@@ -374,6 +374,19 @@ def test_labeller_on_made_and_broken_pages(spark):
     assert got == {(1, "", 0), (2, "", 0), (None, "", 0), (3, "", 0), (4, "A & b\nOne two three. four", 25)}
 
 
+@pytest.mark.parametrize(
+    "between, text",
+    [(f"<{x}></{x}>", "") for x in ("video-player", "title-bar", "svg-icon", "object-view", "audio-player", "style-guide")]
+    + [("<svg/>", ""), ('<svg class="i" />', ""), ("<math/>", ""), ("<video>", ""), ("<audio src=a>", ""), ("<canvas>", ""), ("<object data=a>", ""), ("<iframe src='a'/>", ""), ("<video><source src=a>no player</video>", "")]
+    + [("<svg><text>a</text><svg><text>b</text></svg>c</svg>", ""), ("<svg>a<!-- </svg> -->b</svg>", ""), ("<video><p>seen</p><video>not seen</video>", "seen"), ("</video>", ""), ("<SCRIPT>if (a < b) '</p>'</SCRIPT >", "")]
+    + [("<p><math><mi>x</mi></math></p>", "x"), ("<p>y <object>fallback</object></p>", "y fallback"), ("<noscript><p>plain</p></noscript>", "plain"), ("<textarea>t</textarea>", ""), ("<template><p>t</p></template>", "")],
+)
+def test_no_element_swallows_what_is_behind_it(between, text):
+    got = [t for _, t, _ in htmltext.blocks_of(f"<article><p>first</p>{between}<p>rest</p></article>")]
+    assert got == ["first", *([text] if text else []), "rest"]
+    assert htmltext.blocks_of("<p>a</p><script>x<p>b</p>")[-1][1] == "a"
+
+
 def test_pages_of_the_table_give_their_articles(spark):
     import html
 
