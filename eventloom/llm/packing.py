@@ -1,17 +1,18 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
 Documents longer than a sequence are cut into whole sequences from their end on, so that only the first piece may be
-shorter; other documents are one piece. Pieces are dealt by a hash into shards of a bounded number of pieces, and each
-shard is packed by itself: largest first, each into the bin with the least room that is enough. A local search then works
-on the bins that aren't full: it takes the bin with the least in it and moves its pieces elsewhere; where a piece fits
-nowhere, it swaps it for one or two pieces that together are smaller, from a bin where the larger piece then fits better.
-Each exchange makes the sum of squared fills larger, so the search ends; a bin that comes out empty is gone. A shard costs
-at most a part of one sequence more than all pieces together would.
-
-Token ids are those of the vocabulary file for the tokenizers library (special tokens' strings are ordinary text, none are
-added). They are computed from the same vocabulary's rank file with tiktoken, several times faster; tests hold both equal.
-A null text is an empty one: its only token is the end mark. Repeated rows are packed as documents of their own. An empty
-table gives no rows.
+shorter; other documents are one piece. Pieces are dealt at random into shards of about ``shard_pieces`` pieces, however many
+of them one document or one doc_id has, and each shard is packed by itself: largest first, each into the bin with the least
+room that is enough. A local search then works on the bins that aren't full: it takes them from the least filled on and moves
+their pieces elsewhere; where a piece fits nowhere, it swaps it for one or two pieces that together are smaller, from a bin
+that is fuller for it. Every move and exchange makes the sum of squared fills larger, so the search ends; a bin that comes out
+empty is gone. The search goes on until no exchange is left or the number of bins is a lower bound of the shard. A shard costs
+at most a part of one sequence more than all pieces together would, beside what the search leaves.
+
+Token ids are those of the vocabulary file for the tokenizers library without special tokens added; a special token's string
+in a text is that token, as the library reads it. They are computed from the same vocabulary's rank file with tiktoken,
+several times faster; tests hold both equal. A null text is an empty one: its only token is the end mark. Repeated rows are
+packed as documents of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, END, VOCABULARY, SHARD_PIECES, TRIES = 2048, 0, "byte_bpe_50k.tiktoken", 20_000, 64
+from eventloom.llm.common import checkpoint
+
+CAPACITY, END, VOCABULARY, SHARD_PIECES = 2048, 0, "byte_bpe_50k.tiktoken", 20_000
+#: Special tokens of the vocabulary file, which the rank file leaves out.
+SPECIAL = {"<|endoftext|>": 50256}
 
 _ENCODERS: dict[str, object] = {}
 
 
 def encoder(vocabulary: str):
-    """Byte-level BPE over a rank file of the public tokenizers, built once in each worker."""
+    """Byte-level BPE over a rank file of the public tokenizers, built once in each worker: a function from text to ids."""
     if vocabulary not in _ENCODERS:
         import base64
 
@@ -40,7 +45,8 @@ def encoder(vocabulary: str):
 
         with open(public_tokenizers.path(vocabulary), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        own = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        _ENCODERS[vocabulary] = lambda text: own.encode(text, allowed_special="all") if any(s in text for s in SPECIAL) else own.encode_ordinary(text)
     return _ENCODERS[vocabulary]
 
 
@@ -48,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encoder(vocabulary)
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -71,35 +77,61 @@ class Bins:
         self.capacity, self.items, self.room = capacity, [], []
         self.by_room: dict[int, set[int]] = defaultdict(set)
         self.rooms = 0  # bit r is set if a bin has room r
+        #: For one piece and for two, by room: the sums that its bins hold as bits, and the bins of each sum. Kept after ``index``.
+        self.sums: list[dict[int, int]] = []
+        self.holders: list[dict[tuple[int, int], set[int]]] = []
+
+    def index(self) -> None:
+        self.sums, self.holders = [defaultdict(int), defaultdict(int)], [defaultdict(set), defaultdict(set)]
+        for bin_, items in enumerate(self.items):
+            if items:
+                self._note(bin_)
+
+    def _note(self, bin_: int) -> None:
+        room = self.room[bin_]
+        for sums, holders, own in zip(self.sums, self.holders, _sums(self.items[bin_].values()), strict=True):
+            for size in own:
+                sums[room] |= 1 << size
+                holders[room, size].add(bin_)
+
+    def _forget(self, bin_: int) -> None:
+        room = self.room[bin_]
+        for sums, holders, own in zip(self.sums, self.holders, _sums(self.items[bin_].values()), strict=True):
+            for size in own:
+                some = holders[room, size]
+                some.discard(bin_)
+                if not some:
+                    sums[room] &= ~(1 << size)
+
+    def fill(self, bin_: int) -> int:
+        return self.capacity - self.room[bin_]
 
     def _place(self, bin_: int) -> None:
         room = self.room[bin_]
         self.by_room[room].add(bin_)
         self.rooms |= 1 << room
+        if self.sums:
+            self._note(bin_)
 
     def _lift(self, bin_: int) -> None:
         room = self.room[bin_]
         self.by_room[room].discard(bin_)
         if not self.by_room[room]:
             self.rooms &= ~(1 << room)
+        if self.sums:
+            self._forget(bin_)
 
-    def tightest(self, size: int, but: int = -1) -> int:
+    def tightest(self, size: int) -> int:
         """Bin with the least room that is enough, or -1."""
         rooms = self.rooms >> size
-        while rooms:
-            low = (rooms & -rooms).bit_length() - 1
-            for bin_ in self.by_room[size + low]:
-                if bin_ != but:
-                    return bin_
-            rooms &= rooms - 1
-        return -1
+        return next(iter(self.by_room[size + (rooms & -rooms).bit_length() - 1])) if rooms else -1
 
     def put(self, item: int, size: int, bin_: int) -> None:
         if bin_ < 0:
             bin_ = len(self.items)
             self.items.append({})
             self.room.append(self.capacity)
-        else:
+        elif self.items[bin_]:
             self._lift(bin_)
         self.items[bin_][item] = size
         self.room[bin_] -= size
@@ -114,13 +146,41 @@ class Bins:
         return size
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = TRIES) -> tuple[np.ndarray, np.ndarray]:
+def _sums(sizes) -> tuple[set[int], set[int]]:
+    """Sizes of one piece, and of two together."""
+    ones: set[int] = set()
+    twos: set[int] = set()
+    for size in sizes:
+        twos.update([size + other for other in ones])
+        ones.add(size)
+    sizes = list(sizes)
+    twos.update(2 * size for size in ones if sizes.count(size) > 1)
+    return ones, twos
+
+
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing can do without: by volume, and by pieces that can't stand together.
+
+    For every size up to half a bin: larger pieces than what it leaves of a bin, and those above half, have a bin each; what
+    is at least of that size and finds no room beside the latter needs bins of its own."""
+    counts = np.bincount(sizes, minlength=capacity + 1)[: capacity + 1]
+    n, volume = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * np.arange(capacity + 1)))
+    least = np.arange(1, capacity // 2 + 1)
+    half = capacity // 2 + 1  # the first size above half a bin
+    alone, beside = n[-1] - n[capacity - least + 1], n[capacity - least + 1] - n[half]
+    room = beside * capacity - (volume[capacity - least + 1] - volume[half])
+    rest = volume[half] - volume[least]
+    more = np.maximum(0, -((room - rest) // capacity))
+    return max(-(-int(sizes.sum()) // capacity), int((alone + beside + more).max(initial=0)))
+
+
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each piece. Equal inputs give equal results."""
     bins = Bins(capacity)
     for item in np.argsort(-sizes, kind="stable").tolist():
         size = int(sizes[item])
         bins.put(item, size, bins.tightest(size))
-    improve(bins, tries)
+    improve(bins, lower_bound(sizes, capacity))
     where, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
     filled = [b for b in bins.items if b]
     for n, items in enumerate(filled):
@@ -131,85 +191,94 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = TRIES) -> tup
     return where, offset
 
 
-def improve(bins: Bins, tries: int = TRIES) -> None:
-    """Local search: empty the least filled bins by moves, one-for-one and two-for-one exchanges, up to ``tries`` failures."""
-    failures = 0
-    tried: set[int] = set()
-    while failures < tries:
-        slack = sum(room for items, room in zip(bins.items, bins.room, strict=True) if items)
-        if slack < bins.capacity:  # not even all room together holds a bin
-            return
-        left = [b for b, items in enumerate(bins.items) if items and b not in tried and bins.room[b]]
-        if not left:
-            return
-        source = max(left, key=lambda b: (bins.room[b], -b))
-        if not _drain(bins, source):
-            tried.add(source)
-            failures += 1
+def improve(bins: Bins, least: int = 0) -> None:
+    """Local search: pass over the bins that aren't full, the least filled first, until a pass changes nothing or ``least`` bins are left."""
+    left, changed = sum(map(bool, bins.items)), True
+    if left > least:
+        bins.index()
+    while changed and left > least:
+        changed = False
+        order = sorted((b for b, items in enumerate(bins.items) if items and bins.room[b]), key=lambda b: (bins.fill(b), b))
+        for source in order:
+            if bins.items[source] and bins.room[source]:
+                changed |= _drain(bins, source)
+                left -= not bins.items[source]
+                if left <= least:
+                    return
 
 
 def _drain(bins: Bins, source: int) -> bool:
-    """Whether the bin could be emptied; exchanges that raise the squared fill stay even if it couldn't."""
-    progress = True
-    while bins.items[source] and progress:
+    """Move or swap the pieces of a bin into fuller ones as long as that can be done; whether anything was."""
+    bins._lift(source)  # while it is drained, it isn't among the bins that are looked through
+    own, changed, progress = bins.items[source], False, True
+    while own and progress:
         progress = False
-        for item, size in sorted(bins.items[source].items(), key=lambda x: -x[1]):
-            to = bins.tightest(size, source)
-            if to >= 0:
-                bins.take(item, source)
+        for item, size in sorted(own.items(), key=lambda x: (-x[1], x[0])):
+            to = bins.tightest(size)
+            if to >= 0 and bins.fill(to) + size > bins.fill(source):
+                del own[item]
+                bins.room[source] += size
                 bins.put(item, size, to)
                 progress = True
             elif _exchange(bins, source, item, size):
                 progress = True
                 break
-    return not bins.items[source]
+        changed |= progress
+    if own:
+        bins._place(source)
+    return changed
 
 
 def _exchange(bins: Bins, source: int, item: int, size: int) -> bool:
-    """Swap an item of ``source`` for one or two smaller ones of a bin that then is fuller; the largest gain of the bins with most room."""
-    best = (0,)
-    looked = 0
-    rooms = bins.rooms
-    while rooms and looked < 256:
-        room = rooms.bit_length() - 1
-        rooms &= ~(1 << room)
-        if not room:
+    """Swap a piece of ``source`` for one or two that are smaller by what raises the squared fill most, from any bin that is fuller for it."""
+    fill = bins.fill(source)
+    best = (0, 0, 0, 0)  # gain in squared fill (halved), room, what goes out, pieces that it is in
+    rooms = bins.rooms & ~1
+    while rooms:
+        low = (rooms & -rooms).bit_length() - 1
+        rooms &= rooms - 1
+        full = bins.capacity - low
+        if full + min(low, size - 1) <= fill:  # this bin and the emptier ones can't become fuller than the source is
             break
-        for bin_ in bins.by_room[room]:
-            if bin_ == source:
-                continue
-            looked += 1
-            others = sorted(bins.items[bin_].items(), key=lambda x: x[1])[:24]
-            for i, (a, x) in enumerate(others):
-                if 0 < size - x <= room and size - x > best[0]:
-                    best = (size - x, bin_, (a,))
-                for b, y in others[i + 1 :]:
-                    if x + y >= size:
-                        break
-                    if size - x - y <= room and size - x - y > best[0]:
-                        best = (size - x - y, bin_, (a, b))
-            if looked >= 256:
-                break
+        for pieces, mask in enumerate((bins.sums[0][low], bins.sums[1][low]), 1):
+            #: The smallest that is enough: it leaves the bin fullest.
+            mask >>= max(1, size - low)
+            if mask:
+                out = max(1, size - low) + (mask & -mask).bit_length() - 1
+                more = size - out
+                gain = more * (full - fill + more)
+                if more > 0 and gain > best[0]:
+                    best = (gain, low, out, pieces)
     if not best[0]:
         return False
-    gain, bin_, out = best
-    moved = [(a, bins.take(a, bin_)) for a in out]
-    bins.take(item, source)
+    _, room, out, pieces = best
+    bin_ = next(iter(bins.holders[pieces - 1][room, out]))
+    moved = {a: bins.take(a, bin_) for a in _chosen(bins.items[bin_], out, pieces)}
     bins.put(item, size, bin_)
-    if bins.items[source]:
-        for a, x in moved:
-            bins.put(a, x, source)
-    else:  # the bin was taken out of the index when its last item left
-        for a, x in moved:
-            bins.items[source][a] = x
-            bins.room[source] -= x
-        bins._place(source)
+    del bins.items[source][item]
+    bins.items[source].update(moved)
+    bins.room[source] += size - out
     return True
 
 
+def _chosen(items: dict[int, int], out: int, pieces: int) -> tuple[int, ...]:
+    """The pieces of a bin, one or two, that sum to ``out``."""
+    at: dict[int, int] = {}
+    for item, size in items.items():
+        if pieces == 1 and size == out:
+            return (item,)
+        if pieces == 2 and out - size in at:
+            return at[out - size], item
+        at[size] = item
+    raise LookupError("the bin holds no such pieces")
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    shards = max(1, docs.count() // shard_pieces)
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
+
+    The pieces (without their ids) are written once, so that they can be counted and dealt by their places in what was written."""
+    cut = checkpoint(pieces(docs, capacity, vocabulary, end))
+    shards = max(1, round(cut.count() / shard_pieces))
 
     def run(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -217,6 +286,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
         base = shard["shard"][0].as_py() << 32
         return shard.drop_columns(["shard"]).append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
 
-    dealt = pieces(docs, capacity, vocabulary, end).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("long"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return dealt.groupBy("shard").applyInArrow(run, kinds)
