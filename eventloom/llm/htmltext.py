@@ -6,13 +6,16 @@ vectors, averaged) and a few numbers. A bidirectional LSTM in numpy reads the wh
 with what stands before and after it in view; blocks labelled as main text are the result.
 
 The model is trained here, on pages made by a seeded generator: many layouts of articles among menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, with invented words, so that it learns structure and not a vocabulary. It is
-trained once in a driver's life and sent to the tasks as a broadcast of a fixed size.
+notices, adverts, forms and reader comments, with invented words, so that it learns structure and not a vocabulary. Its
+weights are in ``block_labeller.npz``, written by ``python -m eventloom.llm.htmltext``; without that file the model is
+trained on the first call. It is sent to the tasks as a broadcast of a fixed size.
 
 Scripts, styles, comments and the content of drawings and players aren't text. Character references are decoded, white space
 inside a block (line breaks among it) becomes one space. Null and empty pages give an empty text; broken markup is read as far
 as it goes, an unclosed script, style, title, textarea or comment to the page's end, while of an unclosed or self-closed
-drawing or player only the tag is left out. Custom elements (title-bar) are elements like any other. Nothing is cut: a page of any number of blocks is labelled whole.
+drawing or player only the tag is left out. Custom elements (title-bar) are elements like any other. Nothing is cut: a page of any
+number of blocks is labelled whole. Reading takes time and memory in proportion to the page, whatever stands in it. Repeated
+rows give a row each, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,7 +23,11 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +48,75 @@ SKIPPED_TAGS = frozenset("template svg iframe canvas audio video".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK_TAGS - frozenset("body button caption head html label legend option optgroup select summary tbody td tfoot th thead tr".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: What ends the search for a new li, td, ... for open ones that it closes.
+BOUNDARY = frozenset("ul ol dl table select tr tbody thead".split())
+ROW_BOUNDARY = frozenset("table tbody thead".split())
+
+_NAME = re.compile(r"(/?)([a-zA-Z][\w:-]*)")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW_TAGS}
 _ATTR = re.compile(r"\b(class|id|role|style|hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Token(NamedTuple):
+    """A piece of markup; without a tag it is only left out."""
+
+    start: int
+    stop: int
+    tag: str = ""
+    end: bool = False
+    attrs: str = ""
+
+
+def _tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and > in the page, and for each the end of a tag whose attributes go on there (-1: it has none).
+
+    A quote in a tag runs to the next one like it. Read from the page's end on, each place is looked at once."""
+    marks = [m.start() for m in re.finditer("[\"'>]", page)]
+    ends, following = [-1] * (len(marks) + 1), {'"': -1, "'": -1}
+    for k in range(len(marks) - 1, -1, -1):
+        mark = page[marks[k]]
+        if mark == ">":
+            ends[k] = marks[k]
+        else:
+            ends[k] = ends[following[mark] + 1] if following[mark] >= 0 else -1
+            following[mark] = k
+    return marks, ends
+
+
+def tokens_of(page: str) -> list[Token]:
+    """Tags, comments, declarations and raw elements of a page in order. A < that begins nothing is text."""
+    out: list[Token] = []
+    marks, ends = _tag_ends(page)
+    last = page.rfind(">")
+    at = page.find("<")
+    while at >= 0:
+        stop = -1
+        head = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            stop = close + 3 if close >= 0 else len(page)
+            out.append(Token(at, stop))
+        elif head in ("!", "?"):
+            if at < last:
+                stop = page.find(">", at) + 1
+                out.append(Token(at, stop))
+        elif head and at < last and (name := _NAME.match(page, at + 1)):
+            end = ends[bisect_left(marks, name.end())]
+            if end >= 0:
+                tag, attrs = name[2].lower(), page[name.end() : end]
+                stop = end + 1
+                if tag in _RAW_END and not name[1] and (not attrs or attrs[0].isspace() or attrs[0] == "/"):
+                    close = _RAW_END[tag].search(page, stop)
+                    stop = page.find(">", close.end()) + 1 if close else 0
+                    stop = stop or len(page)
+                    out.append(Token(at, stop))
+                else:
+                    out.append(Token(at, stop, tag, bool(name[1]), attrs))
+        at = page.find("<", stop if stop >= 0 else at + 1)
+    return out
+
+
 def _words_of(tag: str, attrs: str) -> list[str]:
     """What a path says of an element."""
     out = [tag]
@@ -62,139 +130,196 @@ def _words_of(tag: str, attrs: str) -> list[str]:
     return out
 
 
-def _skipped(tokens: list[re.Match]) -> dict[int, int]:
+def _skipped(tokens: list[Token]) -> dict[int, int]:
     """Start tags of closed elements whose content isn't text, each with its end tag, by their places among the tokens."""
     out: dict[int, int] = {}
     open_: dict[str, list[int]] = {}
     for k, token in enumerate(tokens):
-        tag = (token["tag"] or "").lower()
-        if tag not in SKIPPED_TAGS:
+        if token.tag not in SKIPPED_TAGS:
             continue
-        if not token["end"]:
-            if not token["attrs"].endswith("/"):
-                open_.setdefault(tag, []).append(k)
-        elif open_.get(tag):
-            out[open_[tag].pop()] = k
+        if not token.end:
+            if not token.attrs.endswith("/"):
+                open_.setdefault(token.tag, []).append(k)
+        elif open_.get(token.tag):
+            out[open_[token.tag].pop()] = k
     return out
 
 
-def blocks_of(page: str) -> list[tuple[list[str], str, int]]:
-    """Leaf blocks in page order: words of the tag path, text, and how many of its characters are in links."""
-    stack: list[tuple[str, list[str]]] = []
-    out: list[tuple[list[str], str, int]] = []
-    text: list[str] = []
-    links = [0, 0]  # characters in links of the block, open links
+class TagPath(NamedTuple):
+    """A tag path: hashed words of all open elements as the bits of a number, and how many words there are."""
+
+    codes: int
+    n_words: int
+
+
+class Block(NamedTuple):
+    """A leaf block; ``linked`` of its characters are in links."""
+
+    path: TagPath
+    text: str
+    linked: int
+
+
+class _Open:
+    """The open elements, each with its path, and where each kind of them stands."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[TagPath] = [TagPath(0, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.block_places: list[int] = []
+
+    def push(self, tag: str, attrs: str) -> None:
+        codes, n_words = _element_codes(tag, attrs)
+        own = self.paths[-1]
+        self.paths.append(TagPath(own.codes | codes, own.n_words + n_words))
+        self.places[tag].append(len(self.tags))
+        if tag in BLOCK_TAGS:
+            self.block_places.append(len(self.tags))
+        self.tags.append(tag)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all inside it."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            self.paths.pop()
+            if tag in BLOCK_TAGS:
+                self.block_places.pop()
+
+    def last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def first_after(self, tags, depth: int) -> int:
+        """The outermost of such elements that is inside the one at this depth, or -1."""
+        found = [p[k] for t in tags if (p := self.places.get(t)) and (k := bisect_right(p, depth)) < len(p)]
+        return min(found, default=-1)
+
+    def end(self, tag: str) -> None:
+        """An end tag: it closes the last such element, but an inline one isn't closed across a block's edge."""
+        depth = self.last((tag,))
+        if depth >= 0 and (tag in BLOCK_TAGS or not self.block_places or self.block_places[-1] <= depth):
+            self.cut(depth)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a new element of this kind ends."""
+        if tag in CLOSES_P and self.block_places and self.tags[self.block_places[-1]] == "p":
+            self.cut(self.block_places[-1])
+        if tag == "tr":
+            depth = self.first_after(CLOSED_BY[tag], self.last(ROW_BOUNDARY))
+            if depth >= 0:
+                self.cut(depth)
+        elif tag in CLOSED_BY:
+            depth = self.last(CLOSED_BY[tag])
+            if depth > self.last(BOUNDARY):
+                self.cut(depth)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Leaf blocks in page order."""
+    open_, out, text = _Open(), [], []
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if text:
             clean = " ".join(html.unescape("".join(text)).split())
             if clean:
-                out.append(([w for _, words in stack for w in words], clean, min(links[0], len(clean))))
+                out.append(Block(open_.paths[-1], clean, min(linked, len(clean))))
             text.clear()
-        links[0] = 0
-
-    def close(upto: int) -> None:
-        del stack[upto:]
+        linked = 0
 
     at = stop = 0
-    tokens = list(_TOKEN.finditer(page))
+    tokens = tokens_of(page)
     skipped = _skipped(tokens)
     for place, token in enumerate(tokens):
         if place < stop:
             continue
-        if token.start() > at:
-            piece = page[at : token.start()]
-            text.append(piece)
-            if links[1]:
-                links[0] += len(piece)
-        at = token.end()
-        tag = token["tag"]
-        if tag is None:
+        if token.start > at:
+            text.append(page[at : token.start])
+            if in_link:
+                linked += token.start - at
+        at = token.stop
+        tag = token.tag
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in SKIPPED_TAGS:
             if place in skipped:
                 stop = skipped[place] + 1
-                at = tokens[stop - 1].end()
+                at = tokens[stop - 1].stop
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag in BLOCK_TAGS:
             flush()
-        if token["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[depth + 1 :])):
-                close(depth)
+        if token.end:
+            open_.end(tag)
             if tag == "a":
-                links[1] = 0
+                in_link = False
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK_TAGS:
-                    break
-        if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSED_BY[tag]:
-                    close(k)
-                    if tag != "tr":
-                        break
-                elif stack[k][0] in ("ul", "ol", "dl", "table", "select", "tr", "tbody") and tag != "tr" or stack[k][0] in ("table", "tbody", "thead"):
-                    break
-        if tag in VOID_TAGS or token["attrs"].endswith("/"):
+        open_.make_room(tag)
+        if tag in VOID_TAGS or token.attrs.endswith("/"):
             continue
         if tag == "a":
-            links[1] = 1
-        stack.append((tag, _words_of(tag, token["attrs"])))
+            in_link = True
+        open_.push(tag, token.attrs)
     if at < len(page):
         text.append(page[at:])
     flush()
     return out
 
 
-_PATH_CODES: dict[tuple[str, ...], list[int]] = {}
+_ELEMENT_CODES: dict[tuple[str, str], tuple[int, int]] = {}
 
 
 def _code(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
-def _path_codes(path: list[str]) -> list[int]:
-    """Hashed words of a tag path; pages repeat few paths often."""
-    key = tuple(path)
-    found = _PATH_CODES.get(key)
+def _element_codes(tag: str, attrs: str) -> tuple[int, int]:
+    """Hashed words of an element, as bits, and their number; pages repeat few elements often."""
+    found = _ELEMENT_CODES.get((tag, attrs))
     if found is None:
-        if len(_PATH_CODES) > 20_000:
-            _PATH_CODES.clear()
-        found = _PATH_CODES[key] = sorted({_code(p, PATHS) for p in path})
+        words, codes = _words_of(tag, attrs), 0
+        for word in words:
+            codes |= 1 << _code(word, PATHS)
+        found = codes, len(words)
+        if len(attrs) < 200:
+            if len(_ELEMENT_CODES) > 20_000:
+                _ELEMENT_CODES.clear()
+            _ELEMENT_CODES[tag, attrs] = found
     return found
 
 
 class Page:
-    """Inputs of a page's blocks: hashed path words and words with the block of each, and numbers."""
+    """Inputs of a page's blocks: the different tag paths (bits of hashed words) and that of each block, hashed words and
+    the block of each, and numbers."""
 
-    __slots__ = ("n", "paths", "path_at", "words", "word_at", "numbers")
+    __slots__ = ("n", "paths", "path_of", "words", "word_at", "numbers")
 
-    def __init__(self, blocks: list[tuple[list[str], str, int]]):
+    def __init__(self, blocks: list[Block]):
         self.n = len(blocks)
-        paths, path_at, words, word_at = [], [], [], []
+        words, word_at = [], []
+        paths: dict[int, int] = {}
+        self.path_of = np.zeros(self.n, np.int64)
         self.numbers = np.zeros((self.n, NUMBERS), np.float32)
         for k, (path, text, linked) in enumerate(blocks):
-            own = _path_codes(path)
-            paths += own
-            path_at += [k] * len(own)
+            self.path_of[k] = paths.setdefault(path.codes, len(paths))
             some = sorted({_code(w, WORDS) for w in set(text.lower().split())})
             words += some
             word_at += [k] * len(some)
             n = len(text)
-            self.numbers[k] = (np.log1p(n) / 6, linked / n, text.count(" ") / 40 if n < 400 else 1 + n / 4000, text[-1] in ".!?…", len(path) / 12, k / (self.n + 1))
+            self.numbers[k] = (np.log1p(n) / 6, linked / n, text.count(" ") / 40 if n < 400 else 1 + n / 4000, text[-1] in ".!?…", path.n_words / 12, k / (self.n + 1))
         self.numbers[:, 2] = np.minimum(self.numbers[:, 2], 3)
-        self.paths, self.path_at = np.array(paths, np.int64), np.array(path_at, np.int64)
+        self.paths = np.frombuffer(b"".join(p.to_bytes(PATHS // 8, "little") for p in paths), np.uint8).reshape(len(paths), PATHS // 8)
         self.words, self.word_at = np.array(words, np.int64), np.array(word_at, np.int64)
 
+    def path_bits(self, start: int, stop: int) -> np.ndarray:
+        """Which words the paths from one to another have, each weighed by the root of their number (path x word)."""
+        bits = np.unpackbits(self.paths[start:stop], axis=1, bitorder="little").astype(np.float32)
+        return bits / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
+
 
 def new_model(rng: np.random.Generator) -> dict[str, np.ndarray]:
     width = PATH_WIDTH + WORD_WIDTH + NUMBERS
@@ -213,11 +338,13 @@ def _inputs(model: dict, pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     for k, page in enumerate(pages):
         mask[: page.n, k] = 1
         x[: page.n, k, PATH_WIDTH + WORD_WIDTH :] = page.numbers
-        for table, ids, at, a, b in (("paths", page.paths, page.path_at, 0, PATH_WIDTH), ("words", page.words, page.word_at, PATH_WIDTH, PATH_WIDTH + WORD_WIDTH)):
-            if len(ids):
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                sums = np.add.reduceat(model[table][ids], first, axis=0)
-                x[at[first], k, a:b] = sums / np.sqrt(np.diff(np.append(first, len(ids))))[:, None]
+        some = [page.path_bits(a, a + 4096) @ model["paths"] for a in range(0, len(page.paths), 4096)]
+        if some:
+            x[: page.n, k, :PATH_WIDTH] = np.concatenate(some)[page.path_of]
+        if len(page.words):
+            first = np.flatnonzero(np.diff(page.word_at, prepend=-1))
+            sums = np.add.reduceat(model["words"][page.words], first, axis=0)
+            x[page.word_at[first], k, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = sums / np.sqrt(np.diff(np.append(first, len(page.words))))[:, None]
     return x, mask
 
 
@@ -306,12 +433,13 @@ def train(pages: list[Page], labels: list[np.ndarray], epochs: int = EPOCHS, bat
             d_h, d_x = d_odds[:, :, None] * model["out"], np.zeros_like(x)
             grad["wf"], grad["cf"] = _lstm_gradient(d_h[:, :, :HIDDEN], mask, model["wf"], keep_f, d_x)
             grad["wb"], grad["cb"] = _lstm_gradient(d_h[:, :, HIDDEN:], mask, model["wb"], keep_b, d_x)
-            for table, a, b in (("paths", 0, PATH_WIDTH), ("words", PATH_WIDTH, PATH_WIDTH + WORD_WIDTH)):
-                grad[table] = np.zeros_like(model[table])
-                for n, k in enumerate(some):
-                    ids, where = (pages[k].paths, pages[k].path_at) if table == "paths" else (pages[k].words, pages[k].word_at)
-                    size = np.sqrt(np.bincount(where, minlength=pages[k].n))[where][:, None]
-                    np.add.at(grad[table], ids, d_x[where, n, a:b] / size)
+            grad["paths"], grad["words"] = np.zeros_like(model["paths"]), np.zeros_like(model["words"])
+            for n, page in enumerate(pages[k] for k in some):
+                own = np.zeros((len(page.paths), PATH_WIDTH), np.float32)
+                np.add.at(own, page.path_of, d_x[: page.n, n, :PATH_WIDTH])
+                grad["paths"] += page.path_bits(0, len(page.paths)).T @ own
+                size = np.sqrt(np.bincount(page.word_at, minlength=page.n))[page.word_at][:, None]
+                np.add.at(grad["words"], page.words, d_x[page.word_at, n, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] / size)
             step += 1
             for key, g in grad.items():
                 g = np.clip(g, -1, 1)
@@ -321,21 +449,31 @@ def train(pages: list[Page], labels: list[np.ndarray], epochs: int = EPOCHS, bat
     return model
 
 
+WEIGHTS = Path(__file__).with_name("block_labeller.npz")
 _MODEL: dict | None = None
 
 
+def trained(pages: int = PAGES, seed: int = SEED) -> dict[str, np.ndarray]:
+    """A model from so many made pages; the same from the same seed."""
+    from eventloom.llm.pagemaker import made_pages
+
+    inputs, labels = [], []
+    for page, truth in made_pages(pages, seed):
+        found = blocks_of(page)
+        inputs.append(Page(found))
+        labels.append(np.array([text in truth for _, text, _ in found], np.float32))
+    return train(inputs, labels)
+
+
 def model() -> dict[str, np.ndarray]:
-    """The model, trained on the first call."""
+    """The weights in the package, or, where they are missing, those of a training."""
     global _MODEL
     if _MODEL is None:
-        from eventloom.llm.pagemaker import made_pages
-
-        pages, labels = [], []
-        for page, truth in made_pages(PAGES, SEED):
-            found = blocks_of(page)
-            pages.append(Page(found))
-            labels.append(np.array([text in truth for _, text, _ in found], np.float32))
-        _MODEL = train(pages, labels)
+        if WEIGHTS.exists():
+            with np.load(WEIGHTS) as file:
+                _MODEL = {key: file[key].astype(np.float32) for key in file.files}
+        else:
+            _MODEL = trained()
     return _MODEL
 
 
@@ -358,3 +496,7 @@ def main_text(pages: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{key: value.astype(np.float16) for key, value in trained().items()})
