@@ -6,12 +6,13 @@ have no kind). The fingerprint selects a declarative mapping: either where the l
 are called, or an ordered list of fields with the roles that they speak. Mappings are written for paths, and fingerprints
 of all the layouts that a mapping allows are made from it; a record that no mapping knows is reported, not guessed.
 
-Canonical turns are (role, text); roles of known dialects (human, gpt, ...) become user and assistant, others stay. The
-template writes a turn as ``### Role: text</turn>`` and a line feed. Inside texts and roles, backslash, ``#`` and ``</`` are
+Canonical turns are (role, text). A mapping names what roles are called in its layout's dialect (human, gpt); these become user
+and assistant, others stay, and layouts without a dialect keep every role as it is. The template writes a turn as ``### Role: text</turn>`` and a line feed. Inside texts and roles, backslash, ``#`` and ``</`` are
 escaped (in roles also ``:``), so neither mark can stand in them, and formatted text reads back exactly. The loss mask is the
 list of spans of assistant texts in the formatted text, as code points.
 
-Null texts and roles are empty. A record without turns formats as the empty text.
+Null texts and roles are empty. A record without turns formats as the empty text. Repeated records give a row each, an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Mapping:
-    """``turns``: path of a list whose items have ``role`` and ``text``; or ``fields``: (path, role) in order, optional ones marked by a ?."""
+    """``turns``: path of a list whose items have ``role`` and ``text``; or ``fields``: (path, role) in order, optional ones marked by a ?.
+
+    ``roles``: pairs of a role's name in the dialect and the canonical one."""
 
     name: str
     turns: str = ""
     role: str = ""
     text: str = ""
     fields: tuple[tuple[str, str], ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def layouts(self) -> Iterator[frozenset[str]]:
         """Every set of field paths that a record of this layout can have."""
@@ -51,18 +55,17 @@ class Mapping:
                 yield frozenset(x for part in chosen for x in part)
 
 
-#: Fixed layouts of conversation records.
+#: Fixed layouts of conversation records, and fixed names that their dialects have for roles.
+DIALECT = (("human", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
 MAPPINGS = (
     Mapping("messages", turns="messages", role="role", text="content"),
-    Mapping("sharegpt", turns="conversations", role="from", text="value"),
-    Mapping("dialog", turns="dialog.turns", role="speaker", text="utterance"),
+    Mapping("sharegpt", turns="conversations", role="from", text="value", roles=DIALECT),
+    Mapping("dialog", turns="dialog.turns", role="speaker", text="utterance", roles=DIALECT),
     Mapping("prompt", fields=(("system?", "system"), ("prompt", "user"), ("response", "assistant"))),
     Mapping("completion", fields=(("system?", "system"), ("prompt", "user"), ("completion", "assistant"))),
     Mapping("instruction", fields=(("instruction", "system"), ("input", "user"), ("output", "assistant"))),
     Mapping("task", fields=(("instruction", "user"), ("output", "assistant"))),
 )
-#: Fixed names that dialects have for roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 OPEN, CLOSE = "### ", "</turn>\n"
 
@@ -93,7 +96,7 @@ def known_schemas(mappings=MAPPINGS) -> dict[str, Mapping]:
     return known
 
 
-def canonical_turns(record: dict, mapping: Mapping, roles=ROLES) -> list[tuple[str, str]]:
+def canonical_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     def at(path: str):
         value = record
         for key in path.split("."):
@@ -102,7 +105,7 @@ def canonical_turns(record: dict, mapping: Mapping, roles=ROLES) -> list[tuple[s
 
     if mapping.turns:
         rows = [(x.get(mapping.role) or "", x.get(mapping.text) or "") for x in at(mapping.turns) or []]
-        return [(roles.get(role, role), text) for role, text in rows]
+        return [(dict(mapping.roles).get(role, role), text) for role, text in rows]
     return [(role, at(path.removesuffix("?")) or "") for path, role in mapping.fields if at(path.removesuffix("?")) is not None]
 
 
@@ -202,7 +205,9 @@ def conversation_records(turns: DataFrame) -> DataFrame:
 
     Turns stand by turn, then role, then text. Conversations of a user and an assistant turn are written as prompts or as
     tasks, those of a system, a user and an assistant turn as instructions, the others as one of the two lists of messages; conv_id
-    decides between the two. A null conv_id is a conversation."""
+    decides between the two, but one with a role that is a dialect's name for another is written as messages, which keep
+    every role. A null conv_id is a conversation; repeated rows are turns each. A record is one value, so a conversation
+    has to fit into a task's memory."""
     row = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = turns.select(F.col("conv_id").cast("long"), row.alias("row")).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("t"))
     said = F.array_join(F.transform("t", lambda x: F.replace(x["role"], F.lit(","), F.lit(" "))), ",")
@@ -214,7 +219,7 @@ def conversation_records(turns: DataFrame) -> DataFrame:
         F.when((said == "user,assistant") & even, json_(text(0).alias("prompt"), text(1).alias("response")))
         .when(said == "user,assistant", json_(text(0).alias("instruction"), text(1).alias("output")))
         .when(said == "system,user,assistant", json_(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output")))
-        .when(even, json_(listed("role", "content").alias("messages")))
+        .when(even | F.exists("t", lambda x: x["role"].isin([name for name, _ in DIALECT])), json_(listed("role", "content").alias("messages")))
         .otherwise(json_(listed("from", "value").alias("conversations")))
     )
     return whole.select("conv_id", record.alias("record"))

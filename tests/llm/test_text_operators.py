@@ -352,6 +352,17 @@ def test_chat_layouts_and_unknown_schemas(spark):
     assert all(rows[k]["formatted"] is None for k in (6, 7, 8)) and rows[9]["formatted"] == ""
 
 
+def test_roles_of_conversations_stay_as_they_are(spark):
+    rows = [(c, k, role, f"text {k}") for c in (1, 2, 3, 4) for k, role in enumerate([("human", "gpt"), ("user", "model", "bot"), ("human", "gpt", "assistant"), ("user", "assistant", "user")][c - 1])]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_records(chat.conversation_records(turns))
+    assert {r["conv_id"]: chat.parse_turns(r["formatted"]) for r in made.collect()} == {c: [(r, t) for x, _, r, t in rows if x == c] for c in (1, 2, 3, 4)}
+    got = {r["conv_id"]: (r["turns_sha256"], r["loss_chars"]) for r in chat.read_back(made).collect()}
+    for c in (1, 2, 3, 4):
+        own = [(r, t) for x, _, r, t in rows if x == c]
+        assert got[c] == (hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest(), sum(len(t) for r, t in own if r == "assistant"))
+
+
 def test_chat_conversations_with_nulls(spark):
     rows = [(1, 1, "user", None, 5), (1, 2, None, "x", 5), (None, None, "assistant", "y", 5), (2, 1, "user", "a", 5), (2, 1, "user", "a", 5)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record int")
