@@ -8,9 +8,11 @@ of n characters is walked for 2n steps at most; what lies after its end is writt
 A fingerprint has SLOTS bytes. Each samples one place of the written string, the same for all texts of about equal length
 (the last of a shared series of places below twice the length, as the least of random keys would choose), and hashes
 the GRAM characters read from there. The likeness of two fingerprints is the share of equal bytes. For finding pairs, bands of
-sampled bytes are joined and candidates verified by their likeness.
+sampled bits meet in buckets and candidates are verified by their likeness: a band samples all bits of BAND_BYTES slots,
+which are drawn at random without replacement, so no pair that is alike enough is missed.
 
 Null texts are empty; fingerprints of empty texts are equal. Texts are read whole. Equal texts have equal fingerprints.
+Repeated rows give a row each, an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import blocks, checkpoint, mix64
+from eventloom.llm.components import component_roots
 
 SLOTS, GRAM, SEED, PERIOD = 64, 4, 2024, 1 << 12
 #: Below so many texts still walking, each is walked by itself.
@@ -31,6 +34,8 @@ FEW = 48
 BANDS, BAND_BYTES, LIKENESS, CROWDED = 16, 4, 0.8, 4096
 
 _rng = np.random.default_rng(SEED)
+#: Slots in the order in which bands take them.
+_DRAWN = np.random.default_rng(SEED + 1).permutation(SLOTS).tolist()
 #: Shared random bits of the walk for (step, character class); the steps repeat after PERIOD.
 _STEPS = _rng.integers(0, 2, (PERIOD, 256), dtype=np.uint8)
 _STEP_ROWS = None
@@ -156,49 +161,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_links(prints: DataFrame, at_least: float = LIKENESS, bands: int = BANDS, band_bytes: int = BAND_BYTES, crowded: int = CROWDED) -> DataFrame:
     """a, b, likeness: links between distinct fingerprints that are alike enough, enough to connect all that are.
 
-    ``prints`` needs a column fingerprint; equal fingerprints are one class and aren't linked. Bands are disjoint runs of bytes,
-    as every byte is a random sample already. Fingerprints that are alike differ in so few bytes that they share two bands at
-    least, so none is missed: a bucket of one band is read by one task, and one with over ``crowded`` members is cut by every
-    later band first. A bucket gives a spanning forest of its links, never all its pairs."""
-    if int((1 - at_least) * SLOTS + 1e-9) > bands - 2:
+    ``prints`` needs a column fingerprint (binary); equal ones are one class and aren't linked. Fingerprints that are alike differ
+    in so few bytes that they share some bands at least (four, as a rule). Buckets are counted by hashes alone, and only
+    fingerprints that meet another are looked up. A bucket of one band is read by one task; one with over ``crowded`` members
+    is cut by every later band first, and again, up to as many bands as a pair is sure to share. A bucket gives a spanning
+    forest of its links, never all its pairs."""
+    shared = bands - int((1 - at_least) * SLOTS + 1e-9)
+    if shared < 2 or bands * band_bytes > SLOTS:
         raise ValueError(f"fingerprints with a likeness of {at_least} may share fewer than two of {bands} bands")
     classes = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    key = lambda k: F.substring("fingerprint", 1 + 2 * band_bytes * k, 2 * band_bytes).alias("key")
-    keyed = classes.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), key(k)) for k in range(bands)])).alias("x")).select("fingerprint", "x.*")
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(keyed.join(sizes, ["band", "key"]))
-    later = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("band2"), key(k).alias("key2")) for k in range(bands)]), lambda x: x["band2"] > F.col("band")))
-    fine = met.where(F.col("n") > crowded).select("fingerprint", "band", "key", later.alias("x")).select("fingerprint", "band", "key", "x.*")
-    found = _forest(met.where(F.col("n") <= crowded), ["band", "key"], at_least).unionByName(_forest(fine, ["band", "key", "band2", "key2"], at_least))
-    return found.dropDuplicates(["a", "b"])
-
-
-def _forest(members: DataFrame, keys: list[str], at_least: float) -> DataFrame:
-    width = len(keys)
-
+    classes = checkpoint(classes.withColumn("id", F.xxhash64("fingerprint")))
+    drawn = [_DRAWN[band_bytes * k : band_bytes * (k + 1)] for k in range(bands)]
+    band = lambda k: F.xxhash64(F.lit(k), *[F.substring("fingerprint", slot + 1, 1) for slot in drawn[k]])
+    keyed = classes.select("id", F.posexplode(F.array(*[band(k) for k in range(bands)])).alias("band", "key"))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = checkpoint(_crowds(keyed, parts).join(classes, "id").select("band", "key", "n", "fingerprint"))
+    out = _forest(met.where(F.col("n") <= crowded), at_least)
+    for _ in range(1, shared):
+        met = met.where(F.col("n") > crowded)
+        if met.isEmpty():
+            return out
+        later = F.filter(F.array(*[F.struct(F.lit(k).alias("band"), band(k).alias("key")) for k in range(bands)]), lambda x: x["band"] > F.col("band"))
+        cut = met.select("fingerprint", F.col("key").alias("above"), F.explode(later).alias("x"))
+        cut = cut.select("fingerprint", "x.band", F.xxhash64("above", "x.key").alias("key"))
+        met = checkpoint(_crowds(cut, parts))
+        out = out.unionByName(_forest(met.where(F.col("n") <= crowded), at_least))
+    return out.unionByName(_forest(met.where(F.col("n") > crowded), at_least))
+
+
+def _crowds(keyed: DataFrame, parts: int) -> DataFrame:
+    """Rows whose key others have, too, and the number of them, ``n``. One exchange serves the counting and the join."""
+    dealt = keyed.repartition(parts, "key")
+    return dealt.join(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def _forest(members: DataFrame, at_least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(width + 1)), strict=True):
-                if row[:width] != last and held:
-                    yield from _links(held, at_least)
+            keys = batch.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(starts, starts[1:], strict=False):
+                if keys[a] != last and held:
+                    yield from _links(b"".join(held), at_least)
                     held = []
-                last = row[:width]
-                held.append(row[width])
+                last = keys[a]
+                held.append(b"".join(batch.column(1).slice(a, b - a).to_pylist()))
         if held:
-            yield from _links(held, at_least)
+            yield from _links(b"".join(held), at_least)
 
-    dealt = members.select(*keys, "fingerprint").repartition(*keys).sortWithinPartitions(*keys, "fingerprint")
-    return dealt.mapInArrow(run, "a string, b string, likeness double")
+    dealt = members.select("key", "fingerprint").repartition("key").sortWithinPartitions("key", "fingerprint")
+    return dealt.mapInArrow(run, "a binary, b binary, likeness double")
 
 
-def _links(bucket: list[str], at_least: float) -> Iterator[pa.RecordBatch]:
+def _links(bucket: bytes, at_least: float) -> Iterator[pa.RecordBatch]:
     """Breadth first; a fingerprint that has been reached isn't compared again."""
-    if len(bucket) < 2:
-        return
-    prints = np.frombuffer(bytes.fromhex("".join(bucket)), np.uint8).reshape(len(bucket), -1)
-    open_, rows = np.ones(len(bucket), bool), []
-    for seed in range(len(bucket)):
+    prints = np.frombuffer(bucket, np.uint8).reshape(-1, SLOTS)
+    open_, rows = np.ones(len(prints), bool), []
+    for seed in range(len(prints)):
         front = [seed] if open_[seed] else []
         open_[seed] = False
         while front:
@@ -206,19 +226,35 @@ def _links(bucket: list[str], at_least: float) -> Iterator[pa.RecordBatch]:
             rest = np.flatnonzero(open_)
             alike = likeness(prints[rest], prints[x])
             for y, value in zip(rest[alike >= at_least].tolist(), alike[alike >= at_least].tolist(), strict=True):
-                rows.append((*sorted((bucket[x], bucket[y])), value))
+                rows.append((*sorted((prints[x].tobytes(), prints[y].tobytes())), value))
                 open_[y] = False
                 front.append(y)
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["a", "b", "likeness"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.float64()), strict=True)], ["a", "b", "likeness"])
+
+
+def with_classes(rows: DataFrame, at_least: float = LIKENESS) -> DataFrame:
+    """``rows`` (doc_id, fingerprint in hexadecimal) and ``class_id``: the smallest doc_id of all rows that links of fingerprints
+    at least so alike lead to, the row's own where there are none. Rows should be a written table: they are read twice."""
+    prints = rows.select("doc_id", F.unhex("fingerprint").alias("fingerprint"))
+    classes = checkpoint(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    roots = component_roots(near_links(classes, at_least).select("a", "b")).withColumnRenamed("node", "fingerprint")
+    linked = checkpoint(classes.join(roots, "fingerprint"))
+    least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    named = linked.join(least, "root").select("fingerprint", "class_id")
+    #: Only classes of more than one row are joined with the rows; of these, all the links that there are.
+    more = classes.where("n > 1").select("fingerprint", "first_id").join(named, "fingerprint", "full").select("fingerprint", F.coalesce("class_id", "first_id").alias("class_id"))
+    more = checkpoint(more).select(F.lower(F.hex("fingerprint")).alias("__print"), F.col("class_id").alias("__class"))
+    joined = rows.join(more, F.col("fingerprint") == F.col("__print"), "left")
+    return joined.select(*rows.columns, F.coalesce("__class", "doc_id").alias("class_id"))
 
 
 def _next_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id, text, part, ghost: rows dealt into ranges of descending doc_id, each range also with the first rows of the next.
+    """doc_id, packed, part, ghost: rows dealt into ranges of descending doc_id, each range also with the first rows of the next.
 
     The ranges' bounds are approximate quantiles of doc_id, their first doc_ids are looked up exactly; both are a value a range."""
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # null comes last
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = _compressed(docs)
     cuts = docs.select(F.percentile_approx(key, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 100 * parts)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
     above = F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), lambda c: c < key))
@@ -228,7 +264,21 @@ def _next_parts(docs: DataFrame, parts: int) -> DataFrame:
     to = {firsts[p]: order[k - 1] for k, p in enumerate(order)}
     before = F.try_element_at(F.create_map(*[F.lit(x) for pair in to.items() for x in pair]), key) if to else F.lit(None).cast("int")
     copies = F.array_compact(F.array(F.struct(above.alias("part"), F.lit(False).alias("ghost")), F.when(before.isNotNull(), F.struct(before.alias("part"), F.lit(True).alias("ghost")))))
-    return rows.select("doc_id", "text", F.explode(copies).alias("x")).select("doc_id", "text", F.col("x.part").cast("int").alias("part"), "x.ghost")
+    return rows.select("doc_id", "packed", F.explode(copies).alias("x")).select("doc_id", "packed", F.col("x.part").cast("int").alias("part"), "x.ghost")
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id and ``packed``, the text compressed: what a shuffle of whole texts costs most is their size on disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            packed = pa.array([press(x.as_py() or b"") for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, packed binary")
 
 
 def edited_fingerprints(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -236,19 +286,23 @@ def edited_fingerprints(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFram
 
     The edited text's last floor(n_chars / 3) characters are replaced by as many of the first of the next document in
     descending order of doc_id (null last), or all of them; after the last comes the first. Rows with the same doc_id
-    are in order of their texts. Texts are shuffled once, into ranges of doc_id; each range also gets the next one's
-    first row. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    are in order of their compressed texts, so equal ones stand together. Texts are shuffled once, compressed, into ranges of
+    doc_id; each range also gets the next one's first row.
+    Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
             for row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                doc_id, text, part, ghost = row
+                doc_id, packed, part, ghost = row
                 if last == (part, True):  # one row from beyond the range is enough
                     continue
-                text = text.as_py()
+                text = unpress(packed.as_py()).decode("utf-8")
                 held.append((doc_id, text, part, ghost))
                 size += len(text)
                 last = (part, ghost)
@@ -260,7 +314,7 @@ def edited_fingerprints(docs: DataFrame, batch_bytes: int = 8 << 20) -> DataFram
 
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     dealt = _next_parts(docs, parts).repartitionById(parts, F.col("part"))
-    return dealt.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text").mapInArrow(run, kinds)
+    return dealt.sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "packed").mapInArrow(run, kinds)
 
 
 def _compare(rows: list[tuple]) -> pa.RecordBatch:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import chat, curriculum, editprint, htmltext, langid, packing, quality, simhash, toxicity, warc
-from eventloom.llm.common import checkpoint, read, ship
+from eventloom.llm.common import checkpoint, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,7 @@ from p left join firsts using (payload_digest)
 
 @query
 def op4_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.edited_fingerprints(read(spark, sf_dir, "documents"))
+    return editprint.with_classes(written(editprint.edited_fingerprints(read(spark, sf_dir, "documents")), "prints"))
 
 
 @query

@@ -265,14 +265,67 @@ def test_edit_fingerprints_match_the_definition(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def plain_print(text):
+    """The walk a step at a time: the byte of each slot for one text."""
+    points = [ord(c) for c in text]
+    kinds = editprint._classes(np.array(points, np.int64)).tolist() if points else []
+    wanted = editprint.places_for(np.array([len(points)]))[0].tolist()
+    at, pointers = 0, {}
+    for step in range(max(wanted) + 1):
+        pointers[step] = at
+        if at < len(points):
+            at += int(editprint._STEPS[step % editprint.PERIOD][kinds[at]])
+    out = []
+    for step in wanted:
+        key = 0
+        for k in range(editprint.GRAM):
+            point = points[pointers[step] + k] if pointers[step] + k < len(points) else 0
+            key = (key * 0x100000001B3 + point + 1) % (1 << 64)
+        out.append(int(editprint.mix64(np.array([key], np.uint64))[0]) >> 56)
+    return bytes(out)
+
+
+def test_likeness_and_classes_match_brute_force(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000").select("doc_id", "text")
+    some = [r["text"] for r in docs.where("n_chars > 500").limit(8).collect()]
+    extra = [(9000 + 10 * k + m, t[:200] + "x" * m + t[200:]) for k, t in enumerate(some) for m in range(4)] + [(8999, ""), (9998, None), (9999, some[0])]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_edit_fingerprints"](spark, str(tmp_path)).collect()}
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
+    prints = {d: plain_print(t) for d, t in rows}
+    same = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    for (doc_id, text), (other, following) in zip(rows, rows[1:] + rows[:1], strict=True):
+        cut = len(text) // 3
+        edited = plain_print(text[: len(text) - cut] + following[:cut])
+        r = got[doc_id]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (prints[doc_id].hex(), edited.hex())
+        assert (r["near_edited"], r["near_next"]) == (same(prints[doc_id], edited), same(prints[doc_id], prints[other]))
+    root = {d: d for d in prints}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in prints:
+        for b in prints:
+            if a < b and same(prints[a], prints[b]) >= editprint.LIKENESS:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {d: r["class_id"] for d, r in got.items()} == {d: find(d) for d in prints}
+    assert len(set(map(find, prints))) < len(prints) - 10
+
+
 @pytest.mark.parametrize("crowded", [4096, 2])
 def test_near_links_connect_what_brute_force_does(spark, crowded):
     base = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 400").limit(30).collect()
     texts = [r["text"] for r in base] + [r["text"][:300] + "xyz" * k + r["text"][300:] for r in base for k in (1, 3)]
     prints = editprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    of = sorted({r["fingerprint"] for r in prints.collect()})
-    codes = [np.frombuffer(bytes.fromhex(x), np.uint8) for x in of]
-    found = editprint.near_links(prints, crowded=crowded).collect()
+    prints = prints.select(F.unhex("fingerprint").alias("fingerprint"))
+    of = sorted({bytes(r["fingerprint"]) for r in prints.collect()})
+    codes = [np.frombuffer(x, np.uint8) for x in of]
+    found = [{"a": bytes(r["a"]), "b": bytes(r["b"])} for r in editprint.near_links(prints, crowded=crowded).collect()]
     near = [(x, y) for k, x in enumerate(of) for m, y in enumerate(of) if m > k and editprint.likeness(codes[k], codes[m]) >= editprint.LIKENESS]
     assert near and {(r["a"], r["b"]) for r in found} <= set(near)
 
