@@ -69,7 +69,7 @@ def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_curriculum_mixing"] = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(coalesce(doc_id::varchar, '')) as h from documents),
+         md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
 ranked as (
   select source, sum(size)::bigint as source_size, row_number() over (order by encode(source) asc nulls last) - 1 as rank
   from sized group by source),

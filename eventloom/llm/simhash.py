@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventloom.llm.common import checkpoint
 from eventloom.llm.components import component_roots
@@ -177,45 +178,50 @@ def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
     return plain.unionByName(_forest(fine, ["half", "key", "part", "sub"], radius))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp (long), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of every row of ``docs``."""
-    prints = checkpoint(fingerprints(docs, shingle))
+def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, first_id (smallest doc_id with it), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of
+    every fingerprint in ``prints`` (doc_id, fp)."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = near_links(classes.select("fp"), radius)
-    roots = component_roots(edges)
+    roots = component_roots(near_links(classes.select("fp"), radius))
     linked = checkpoint(classes.join(roots.withColumnRenamed("node", "fp"), "fp"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     named = linked.join(least, "root").select("fp", "root", "least_id")
-    #: Written, so that the last join has nothing but its two exchanges and the rows of a hot fingerprint can be split.
-    named = checkpoint(classes.join(named, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "class_fp")
+    #: Written, so that a join with rows has nothing but its two exchanges and the rows of a hot fingerprint can be split.
+    return checkpoint(classes.join(named, "fp", "left").select("fp", "first_id", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp (long), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of every row of ``docs``."""
+    prints = checkpoint(fingerprints(docs, shingle))
+    return prints.join(fingerprint_classes(prints, radius), "fp").select("doc_id", "fp", "component_id", "class_fp")
 
 
-def _with_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``docs`` with their fingerprint as __fp."""
+def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """row (all columns of ``docs``, whatever their names) and fp."""
+    schema = StructType([StructField("row", docs.schema, False), StructField("fp", LongType(), False)])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in batch.column(at)]
-            yield batch.append_column("__fp", pa.array(prints, pa.int64()))
+            row = batch.column(0)
+            prints = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, shingle) for x in row.field(at)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(prints, pa.int64())], ["row", "fp"])
 
-    return docs.mapInArrow(run, docs.withColumn("__fp", F.lit(None).cast("long")).schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, schema)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the class's smallest doc_id.
 
     Of several rows of the class with that doc_id one stays, the one with the smallest text. A class without any doc_id keeps
-    one row, too. A doc_id that stands on texts of several classes may stay in each of them."""
-    keys = ["__id", "__named", "__fp"]  # a row's doc_id alone doesn't say of which class it is
-    own = F.col("doc_id").cast("long")
-    named = [F.coalesce(own, F.lit(0)).alias("__id"), own.isNotNull().alias("__named")]
-    classes = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*named, F.col("fp").alias("__fp"), "class_fp").distinct()
-    order = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
-    rows = _with_fingerprints(docs, shingle).select("*", *named)
+    one row, too. A doc_id that stands on texts of several classes may stay in each of them. Columns may have any names."""
+    classes = fingerprint_classes(checkpoint(fingerprints(docs, shingle)), radius)
+    #: Of each class the fingerprints that stand on its smallest doc_id; another row can't be the one that stays.
+    first = classes.where(F.col("first_id").eqNullSafe(F.col("component_id"))).select("fp", "component_id", "class_fp")
+    rows = with_fingerprints(docs, shingle).select("row", "fp", F.col("row.doc_id").cast("long").alias("id"))
+    order = [F.col("row.text"), *(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text"))]
     #: Repeated rows go before anything is joined, most of them before they are dealt.
-    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__turn = 1")
-    rows = rows.join(first, keys).withColumn("__turn", F.row_number().over(Window.partitionBy("class_fp").orderBy(*order)))
-    return rows.where("__turn = 1").select(*docs.columns)
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("fp", "id").orderBy(*order))).where("turn = 1")
+    rows = rows.join(first, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("class_fp").orderBy(*order))).where("turn = 1")
+    return rows.select("row.*")

@@ -184,6 +184,37 @@ def test_an_id_on_several_texts_loses_no_class(spark):
     assert sorted(r["n"] for r in simhash.keep_one(docs).collect()) == sorted(k[-1] for k in want.values())
 
 
+CLASHING = "c d s b h p at row fp id turn before bucket positions position Position_ __turn __fp class_fp component_id size target inside upto rank word n".split()
+
+
+def clashing(docs):
+    """Extra columns with the names that operators may use inside."""
+    return docs.drop("extra").select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHING)])
+
+
+def test_no_name_of_a_column_is_taken(spark):
+    docs = clashing(odd_documents(spark))
+    model = langid.learn(docs)
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1)], LABELS)
+    chain = toxicity.learn(docs, labels)
+    kept = {"near": simhash.keep_one(docs), "known": langid.keep_known(docs, model), "clean": toxicity.keep_clean(docs, chain), "mixed": curriculum.training_order(docs, position=None)}
+    for name, out in kept.items():
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == k for r in rows for k, c in enumerate(CLASHING)), name
+    assert curriculum.training_order(docs).columns == [*docs.columns, "position__"]
+    for run in (curriculum.mix, simhash.near_duplicates, editprint.edited_fingerprints, quality.text_statistics, packing.pack_documents, lambda d: langid.identify(d, model), lambda d: toxicity.score(d, chain)):
+        assert run(docs).count() >= 9
+
+
+def test_many_rows_of_one_id_are_mixed_over_many_buckets(spark):
+    docs = spark.createDataFrame([(None, f"text number {k}", "a") for k in range(400)], "doc_id long, text string, source string")
+    assert curriculum._sized(docs).select("bucket").distinct().count() > 300
+    rows = curriculum.mix(docs).collect()
+    assert sum(r["taken"] for r in rows) == 1800 and all(r["taken"] <= 2 * r["size"] for r in rows)
+    assert curriculum.training_order(docs).count() == 600
+
+
 def test_language_held_out_accuracy_and_mixtures(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
