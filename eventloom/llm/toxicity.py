@@ -1,7 +1,9 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by linear models. Each later model also gets the earlier categories' log-odds.
-It is trained with out-of-fold ones: a row's are those of a model that hasn't seen the row, as a new document's will be.
+It is trained with out-of-fold ones: a row's are those of a model that hasn't seen the row, as a new document's will be. Such a
+model hasn't seen the row's near copies either, for folds are dealt by classes of near duplicates, and its features are chosen
+without them. The models of a category, one a fold and the one of all rows, are fitted by a task each.
 
 Features are 64-bit hashes of what a text has at all: words, beginnings of words (three to eight letters), symbols, each once, twice or four times. A
 category's model uses the ``TOP`` features that say most about it (chi-squared over the sample), so a long document isn't condemned
@@ -22,9 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.llm import simhash
 from eventloom.llm.common import blocks, checkpoint, code_points, filter_rows, letter_table, mix64
 
 SAMPLE, TOP, FOLDS, RIDGE, ROUNDS, LEAST_ROWS = 8000, 256, 5, 1e-5, 600, 3
@@ -123,25 +126,68 @@ def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float(_sigmoid((odds[order[k]].astype(np.float64) + after) / 2))
 
 
-def train_chain(x: list[np.ndarray], y: np.ndarray, tables: list[np.ndarray], names: list[str], folds: int = FOLDS, seed: int = 7) -> list[Link]:
-    """A model for each category from feature hits by category and labels (row x category)."""
-    chain, earlier = [], np.empty((len(y), 0), np.float32)
-    fold = np.random.default_rng(seed).permutation(len(y)) % folds
+@dataclass
+class Labelled:
+    """The labelled sample: which rows have each candidate feature once, twice, four times (level x candidate x row, packed),
+    judgements (row x category), the fold of each row, and the candidates in order of what they say, by category and fold
+    left out (the last: none)."""
+
+    bits: np.ndarray
+    y: np.ndarray
+    fold: np.ndarray
+    order: list[list[np.ndarray]]
+
+    def matrix(self, columns: np.ndarray) -> np.ndarray:
+        flat = self.bits[:, columns].reshape(-1, self.bits.shape[2])
+        return np.unpackbits(flat, axis=1, count=len(self.y)).T.astype(np.float32)
+
+
+def fit_without(data: Labelled, k: int, fold: int, earlier: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A category's model from all rows that aren't in the fold: its features, its weights (none if there is nothing to
+    learn) and the log-odds of all rows."""
+    train, y = data.fold != fold, data.y[:, k]
+    columns = distinct_features(data.bits[0], data.order[k][fold], top, np.packbits(train))
+    if train.sum() < 2 * FOLDS or y[train].min() == y[train].max():
+        return columns, np.empty(0, np.float32), np.zeros(len(y), np.float32)
+    x = np.hstack([data.matrix(columns), earlier])
+    w = _fit(x[train], y[train].astype(np.float32))
+    return columns, w, (x @ w[:-1] + w[-1]).astype(np.float32)
+
+
+def train_chain(data: Labelled, features_: np.ndarray, names: list[str], top: int, run) -> list[Link]:
+    """A model for each category; ``run``, given a category's number and the earlier log-odds, fits without each fold and without none."""
+    chain, earlier = [], np.empty((len(data.y), 0), np.float32)
     for k, name in enumerate(names):
-        inputs, target = np.hstack([x[k].astype(np.float32), earlier]), y[:, k].astype(np.float32)
-        if len(y) < 2 * folds or target.min() == target.max():
-            chain.append(Link(name, tables[k], np.zeros(inputs.shape[1] + 1, np.float32), 2.0))
-            earlier = np.hstack([earlier, np.zeros((len(y), 1), np.float32)])
-            continue
-        odds = np.zeros(len(y), np.float32)
-        for f in range(folds):
-            w = _fit(inputs[fold != f], target[fold != f])
-            odds[fold == f] = inputs[fold == f] @ w[:-1] + w[-1]
-        chain.append(Link(name, tables[k], _fit(inputs, target), _threshold(odds, target)))
+        results = run(k, earlier)
+        columns, weights, _ = results[-1]
+        odds = np.zeros(len(data.y), np.float32)
+        for fold, result in enumerate(results[:-1]):
+            odds[data.fold == fold] = result[2][data.fold == fold]
+        if len(weights):
+            chain.append(Link(name, features_[columns], weights, _threshold(odds, data.y[:, k])))
+        else:
+            chain.append(Link(name, features_[columns], np.zeros(len(LEVELS) * len(columns) + k + 1, np.float32), 2.0))
         earlier = np.hstack([earlier, np.clip(odds, -30, 30)[:, None]])
     return chain
 
 
+def _in_tasks(spark: SparkSession, data: Labelled, top: int):
+    """A ``run`` for train_chain by Spark tasks; the sample goes to them once, its size bounded by that of the sample."""
+    sent = spark.sparkContext.broadcast(data)
+
+    def run(k: int, earlier: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for fold in batch.column(0).to_pylist():
+                    found = fit_without(sent.value, k, fold, earlier, top)
+                    yield pa.RecordBatch.from_arrays([pa.array([fold]), *(pa.array([x.tobytes()], pa.binary()) for x in found)], ["fold", "columns", "weights", "odds"])
+
+        rows = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit, "fold long, columns binary, weights binary, odds binary").collect()
+        return [(np.frombuffer(r["columns"], np.int64), np.frombuffer(r["weights"], np.float32), np.frombuffer(r["odds"], np.float32)) for r in sorted(rows, key=lambda r: r["fold"])]
+
+    return run
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
     """text and a 0/1 column y0, y1, ... a category, for at most ``sample`` labelled rows."""
     marks = [F.expr(condition).cast("int").alias(f"y{k}") for k, (_, condition) in enumerate(categories)]
@@ -152,69 +198,92 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, s
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), F.col("doc_id") == F.col("d")).drop("d")
 
 
+def with_folds(rows: DataFrame) -> DataFrame:
+    """``rows`` and ``fold``, by which near duplicates stand together."""
+    prints = checkpoint(simhash.with_fingerprints(rows))
+    classes = simhash.fingerprint_classes(prints.select(F.col("row.doc_id").cast("long").alias("doc_id"), "fp"))
+    fold = F.pmod(F.xxhash64("class_fp"), F.lit(FOLDS)).cast("int").alias("fold")
+    return prints.join(classes.select("fp", fold), "fp").select("row.*", "fold")
+
+
 def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE, top: int = TOP) -> list[Link]:
-    names = [name for name, _ in categories]
+    names, spark = [name for name, _ in categories], docs.sparkSession
     ys = [f"y{k}" for k in range(len(names))]
-    rows = checkpoint(labelled_sample(docs, labels, categories, sample))
+    rows = checkpoint(with_folds(labelled_sample(docs, labels, categories, sample)))
+    sums = [f"{c}_{f}" for f in range(FOLDS) for c in ("n", *ys)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, 1):
             keys, owner = features([x or "" for x in part.column(1).to_pylist()])
-            marks = np.stack([part.column(2 + k).to_numpy() for k in range(len(names))], 1)
+            marks = np.stack([np.ones(part.num_rows, np.int64), *(part.column(3 + k).to_numpy() for k in range(len(names)))], 1)
+            own = np.zeros((part.num_rows, FOLDS, 1 + len(names)), np.int64)
+            own[np.arange(part.num_rows), part.column(2).to_numpy()] = marks
             order = np.lexsort((owner, keys))
             keys, owner = keys[order], owner[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
             keys, owner = keys[new], owner[new]
-            own, start = np.unique(keys, return_index=True)
-            if not len(own):
+            found, start = np.unique(keys, return_index=True)
+            if not len(found):
                 continue
-            n = np.diff(np.append(start, len(keys)))
-            sums = np.add.reduceat(marks[owner].astype(np.int64), start, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(sums[:, k]) for k in range(len(names)))], ["feature", "n", *ys])
+            total = np.add.reduceat(own.reshape(part.num_rows, -1)[owner], start, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(total[:, k]) for k in range(len(sums)))], ["feature", *sums])
 
-    counts = rows.select("doc_id", "text", *ys).mapInArrow(count, "feature long, n long, " + ", ".join(f"{y} long" for y in ys))
-    counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *ys)]).where(F.col("n") >= LEAST_ROWS)
-    totals = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
+    counts = rows.select("doc_id", "text", "fold", *ys).mapInArrow(count, "feature long, " + ", ".join(f"{c} long" for c in sums))
+    counts = counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in sums]).where(sum(F.col(f"n_{f}") for f in range(FOLDS)) >= LEAST_ROWS)
     counts = checkpoint(counts)
-    tables, ranks = [], []
+    totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(y).alias(y) for y in ys]).collect()}
+    ranks: list[list[np.ndarray]] = []
     for y in ys:
-        t, p = float(totals["n"]), float(totals[y])
-        # chi-squared of the two by two table of having the feature and being in the category
-        gap = F.col(y) * F.lit(t) - F.col("n") * F.lit(p)
-        chi = gap * gap / (F.col("n") * (F.lit(t) - F.col("n") + 1e-9) * F.lit(max(p * (t - p), 1e-9)))
-        best = counts.orderBy(chi.desc(), "feature").limit(CANDIDATES * top).select("feature").toArrow()["feature"].to_numpy()
-        ranks.append(best.view(np.uint64))
-        tables.append(np.sort(ranks[-1]))
+        ranks.append([])
+        for left_out in range(FOLDS + 1):
+            seen = [f for f in range(FOLDS) if f != left_out]
+            t, p = (float(sum(totals[f][c] for f in seen if f in totals)) for c in ("n", y))
+            n, hit = (sum(F.col(f"{c}_{f}") for f in seen) for c in ("n", y))
+            # chi-squared of the two by two table of having the feature and being in the category
+            gap = hit * F.lit(t) - n * F.lit(p)
+            chi = gap * gap / (n * (F.lit(t) - n + 1e-9) * F.lit(max(p * (t - p), 1e-9)))
+            best = counts.where(n >= LEAST_ROWS).orderBy(chi.desc(), "feature").limit(CANDIDATES * top)
+            ranks[-1].append(best.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
+    table = np.unique(np.concatenate([x for some in ranks for x in some]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, 1):
-            texts = [x or "" for x in part.column(1).to_pylist()]
-            packed = [[row.tobytes() for row in np.packbits(found, axis=1)] for found in hits(texts, tables)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", *ys, *(f"x{k}" for k in range(len(names)))])
-
-    kinds = "doc_id long, " + ", ".join(f"{y} int" for y in ys) + "".join(f", x{k} binary" for k in range(len(names)))
-    seen = rows.select("doc_id", "text", *ys).mapInArrow(look, kinds).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    x = [
-        np.unpackbits(np.frombuffer(b"".join(seen[f"x{k}"].to_pylist()), np.uint8).reshape(seen.num_rows, -1), axis=1, count=len(LEVELS) * len(tables[k])) if seen.num_rows and len(tables[k]) else np.zeros((seen.num_rows, len(LEVELS) * len(tables[k])), np.uint8)
-        for k in range(len(names))
-    ]
-    labels_ = np.stack([seen[y].to_numpy() for y in ys], 1) if seen.num_rows else np.zeros((0, len(names)), np.int64)
-    for k, table in enumerate(tables):
-        own = distinct_features(x[k][:, : len(table)], np.searchsorted(table, ranks[k]), top)
-        x[k], tables[k] = x[k][:, np.concatenate([own + n * len(table) for n in range(len(LEVELS))])], table[own]
-    return train_chain(x, labels_, tables, names)
-
-
-def distinct_features(present: np.ndarray, order: np.ndarray, top: int) -> np.ndarray:
-    """Up to ``top`` columns, sorted, taken in the given order unless they share most of their rows with one that is taken already."""
-    seen = present.astype(np.float32)
-    common = seen.T @ seen
-    n = common.diagonal()
+            (found,) = hits([x or "" for x in part.column(1).to_pylist()], [table])
+            packed = [row.tobytes() for row in np.packbits(found, axis=1)]
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(packed, pa.binary())], ["fold", *ys, "x"])
+
+    kinds = "fold int, " + "".join(f"{y} int, " for y in ys) + "x binary"
+    seen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", *ys).select("doc_id", "text", "fold", *ys).mapInArrow(look, kinds).toArrow()
+    judged = np.stack([seen[y].to_numpy() for y in ys], 1) if seen.num_rows else np.zeros((0, len(names)), np.int64)
+    data = Labelled(_by_feature(seen["x"].to_pylist(), len(table)), judged, seen["fold"].to_numpy(), [[np.searchsorted(table, x) for x in some] for some in ranks])
+    return train_chain(data, table, names, top, _in_tasks(spark, data, top))
+
+
+def _by_feature(rows: list[bytes], n_features: int) -> np.ndarray:
+    """Packed bits of rows (row x level and feature) as packed bits of features (level x feature x row), a stretch at a time."""
+    width = len(LEVELS) * n_features
+    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1) if rows else np.zeros((0, -(-width // 8)), np.uint8)
+    parts = [np.packbits(np.unpackbits(packed[:, a : a + 64], axis=1), axis=0).T for a in range(0, packed.shape[1], 64)]
+    flat = np.concatenate(parts)[:width] if parts else np.zeros((0, -(-len(rows) // 8)), np.uint8)
+    return np.ascontiguousarray(flat).reshape(len(LEVELS), n_features, flat.shape[1])
+
+
+def distinct_features(bits: np.ndarray, order: np.ndarray, top: int, rows: np.ndarray) -> np.ndarray:
+    """Up to ``top`` features, sorted, taken in the given order unless they share most of their rows with one that is taken already.
+
+    ``bits`` says which rows have a feature and ``rows`` which count, both packed."""
     kept: list[int] = []
+    own = np.empty((top, len(rows)), np.uint8)
+    n = np.empty(top, np.int64)
     for c in order.tolist():
-        shared = common[c, kept]
-        if len(kept) < top and not (shared > SAME_ROWS * (n[c] + n[kept] - shared)).any():
+        if len(kept) == top:
+            break
+        mine = bits[c] & rows
+        size, k = int(np.bitwise_count(mine).sum()), len(kept)
+        shared = np.bitwise_count(own[:k] & mine).sum(1, dtype=np.int64)
+        if not (shared > SAME_ROWS * (size + n[:k] - shared)).any():
+            own[k], n[k] = mine, size
             kept.append(c)
     return np.array(sorted(kept), np.int64)
 

@@ -622,20 +622,69 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(chain[1].weights) == len(toxicity.LEVELS) * len(chain[1].table) + 2
 
 
+def labelled(x, y, fold):
+    """A sample for training from features (row x feature), all candidates in order."""
+    bits = np.packbits(np.stack([x.T, x.T & False, x.T & False]), axis=2)
+    order = [[np.arange(x.shape[1])] * (toxicity.FOLDS + 1)] * y.shape[1]
+    return toxicity.Labelled(bits, y, fold, order)
+
+
+def train_here(data, names, top):
+    return toxicity.train_chain(data, np.arange(data.bits.shape[1]).astype(np.uint64), names, top, lambda k, earlier: [toxicity.fit_without(data, k, f, earlier, top) for f in range(toxicity.FOLDS + 1)])
+
+
 def test_earlier_categories_are_fed_out_of_fold():
     rng = np.random.default_rng(0)
     noise = rng.random((400, 60)) < 0.3
     first = rng.random(400) < 0.5
-    x = [np.hstack([noise, first[:, None]]), noise]
-    chain = toxicity.train_chain(x, np.stack([first, first], 1).astype(int), [np.arange(61).astype(np.uint64), np.arange(60).astype(np.uint64)], ["a", "b"])
+    data = labelled(np.hstack([noise, first[:, None]]), np.stack([first, first], 1).astype(int), np.arange(400) % 5)
+    data.order = [[np.arange(61)] * 6, [np.arange(60)] * 6]  # the second doesn't see the feature that says it
+    chain = train_here(data, ["a", "b"], 61)
     assert chain[1].weights[-2] > 5 * np.abs(chain[1].weights[:-2]).mean()  # the second can only know from the first
 
 
+def test_what_only_a_fold_knows_is_not_fed_to_the_next_model():
+    """Every row has a feature of its own, which says its category: out of fold it is worth nothing."""
+    rng = np.random.default_rng(1)
+    y = (rng.random(100) < 0.5).astype(int)
+    x = np.hstack([np.eye(100, dtype=bool), rng.random((100, 3)) < 0.5])
+    data = labelled(x, np.stack([y, y], 1), np.arange(100) % 5)
+    fitted, odds = toxicity.fit_without(data, 0, 5, np.empty((100, 0), np.float32), 103)[2], np.zeros(100)
+    for fold in range(5):
+        some = toxicity.fit_without(data, 0, fold, np.empty((100, 0), np.float32), 103)[2]
+        odds[data.fold == fold] = some[data.fold == fold]
+    assert ((fitted > 0) == y).mean() > 0.95 and abs(((odds > 0) == y).mean() - 0.5) < 0.2
+
+
+def test_near_copies_are_in_one_fold(spark):
+    rows = [(k, f"word{k % 7} one two three four five six seven eight nine ten eleven {'x' * (k % 2)}", k % 2) for k in range(40)]
+    got = toxicity.with_folds(spark.createDataFrame(rows, "doc_id long, text string, y0 int")).collect()
+    assert len(got) == 40
+    prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) & (1 << 64) - 1 for r in got}
+    folds = {r["doc_id"]: r["fold"] for r in got}
+    assert all(folds[a] == folds[b] for a in folds for b in folds if (prints[a] ^ prints[b]).bit_count() <= 3)
+    assert len(set(folds.values())) > 1
+
+
+def test_probabilities_are_those_of_the_plain_chain(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.learn(docs, labels, top=32)
+    for r in toxicity.score(docs, chain).join(docs.select("doc_id", "text"), "doc_id").limit(60).collect():
+        found = Counter(toxicity.features([r["text"]])[0].tolist())
+        earlier = []
+        for link in chain:
+            x = [float(found[int(f)] >= n) for n in toxicity.LEVELS for f in link.table] + earlier
+            z = sum(float(w) * v for w, v in zip(link.weights, x, strict=False)) + float(link.weights[-1])
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            assert abs(r[f"p_{link.name}"] - p) < 1e-5 and (r[f"is_{link.name}"] == (p >= link.threshold) or abs(p - link.threshold) < 1e-6)
+            earlier.append(float(np.clip(z, -30, 30)))
+
+
 def test_copies_of_one_document_leave_room_for_other_features():
     rng = np.random.default_rng(5)
     copies = np.repeat(rng.random((200, 1)) < 0.2, 30, axis=1)  # thirty words of one document and its copies
     words = rng.random((200, 5)) < 0.3
-    present = np.hstack([copies, words])
-    kept = toxicity.distinct_features(present, np.arange(35), 6)
-    assert kept.tolist() == [0, 30, 31, 32, 33, 34]
-    assert toxicity.distinct_features(np.zeros((0, 3), bool), np.arange(3), 2).tolist() == [0, 1]
+    present = np.packbits(np.hstack([copies, words]).T, axis=1)
+    every = np.packbits(np.ones(200, bool))
+    assert toxicity.distinct_features(present, np.arange(35), 6, every).tolist() == [0, 30, 31, 32, 33, 34]
+    assert toxicity.distinct_features(np.zeros((3, 0), np.uint8), np.arange(3), 2, np.empty(0, np.uint8)).tolist() == [0, 1]
