@@ -1,17 +1,15 @@
 """A training corpus from the documents table, in five stages.
 
 Each stage works on what its predecessor kept; all but the last return the columns of documents. ``run`` writes each
-stage's rows as Parquet into the shared folder and rereads them for the next.
+stage's rows as Parquet into the shared folder, rereads them for the next, and then deletes those of the stage before.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import curriculum, langid, packing, simhash, toxicity
-from eventloom.llm.common import read, shared_dir, ship
+from eventloom.llm.common import read, remove, scratch, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +25,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near duplicates."""
+    """One document, that of the smallest doc_id, of each class of near duplicates; of several with that id, the smallest text."""
     ship(spark)
     return simhash.keep_one(docs)
 
@@ -35,7 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, each as often as its source's target takes it."""
     ship(spark)
-    return curriculum.training_order(docs).select(*docs.columns)
+    return curriculum.training_order(docs, position=None)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +50,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned verdicts and fingerprints can't be had in SQL; tests hold each stage against brute force.
+#: Learned verdicts and fingerprints can't be had in SQL; tests hold each stage, and run, against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    top = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    top, before = scratch(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{top}/{name}"
     return docs
