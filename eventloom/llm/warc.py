@@ -1,7 +1,9 @@
 """WARC records in ZIP archives: written by tasks into the shared folder, read back by ranges without extraction.
 
-An archive is a ZIP file with two stored (uncompressed) members: ``archive/data.warc.gz``, records each a gzip member of
-its own, and ``indexes/index.cdx``, one line a record with its place in the WARC member. Archives are written with ZIP64
+An archive is a ZIP file with two stored (uncompressed) members: ``archive/data.warc.gz``, a warcinfo record and then the pages'
+records, each a gzip member of its own, and ``indexes/index.cdx``, one line a page's record with its place in the WARC member.
+A response holds a short HTTP header and the page; a revisit has the profile of equal payload digests and names the URN of the
+page that it refers to. Archives are written with ZIP64
 sizes, so they may pass 4 GiB. Each task writes one archive under a name of its own attempt; only names that successful
 tasks return are read, so files of lost attempts do no harm.
 
@@ -25,12 +27,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import checkpoint, shared_dir
+from eventloom.llm.common import checkpoint, remove, scratch
 
 MIN_BYTES, RUN_RECORDS, TAIL = 100, 256, 22 + (1 << 16)
+#: Fixed parts of records: the HTTP header of a payload and the profile of a revisit.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdx"
 
 #: Fixed layouts of the ZIP format (little-endian), after their four-byte signatures.
@@ -43,24 +48,27 @@ def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def _page_urn(page_id: int | None) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}"
+
+
+def _compressed(head: list[str], block: bytes) -> bytes:
+    """A WARC record with an id of its own, as a gzip member."""
+    head = ["WARC/1.1", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", *head, f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 1, mtime=0)
+
+
+def _info() -> bytes:
+    return _compressed(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC record, compressed as a gzip member."""
-    kind = "response" if refers_to is None else "revisit"
-    body = payload if refers_to is None else b""
-    uri = " ".join((url or "").split()).encode("utf-8", "replace").decode()
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Target-URI: {uri}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Payload-Digest: sha256:{digest}",
-        "Content-Type: application/octet-stream",
-        f"Content-Length: {len(body)}",
-    ]
-    if refers_to is not None:
-        head.insert(4, f"WARC-Refers-To: <urn:page:{refers_to}>")
-    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
+    """The record of a page. One without a url has the page's URN as its target."""
+    uri = " ".join((url or "").split()).encode("utf-8", "replace").decode() or _page_urn(page_id)
+    head = [f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Page: {_page_urn(page_id)}"]
+    if refers_to is None:
+        return _compressed(["WARC-Type: response", *head], HTTP_HEAD + payload)
+    return _compressed(["WARC-Type: revisit", f"WARC-Profile: {SAME_PAYLOAD}", f"Refers-To-Page: {_page_urn(refers_to)}", *head], HTTP_HEAD)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -68,7 +76,8 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     plain = gzip.decompress(data)
     head, _, rest = plain.partition(b"\r\n\r\n")
     headers = {k.lower(): v for k, _, v in (line.partition(": ") for line in head.decode().split("\r\n")[1:])}
-    return headers, rest[: int(headers["content-length"])]
+    block = rest[: int(headers["content-length"])]
+    return headers, block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, partitions: int | None = None) -> DataFrame:
@@ -89,9 +98,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, pa
             return
         path = f"{folder}/{uuid.uuid4().hex}.zip"
         fs, place = _open(path)
-        index, at = [], 0
+        info = _info()
+        index, at = [], len(info)
         with fs.open_output_stream(place) as raw, zipfile.ZipFile(_Unseekable(raw), "w", zipfile.ZIP_STORED) as out:
             with out.open(zipfile.ZipInfo(WARC_MEMBER), "w", force_zip64=True) as member:
+                member.write(info)
                 while head is not None:
                     for page_id, url, payload, digest, refers_to in zip(*(head.column(k).to_pylist() for k in range(5)), strict=True):
                         data = _record(page_id, url, payload, digest, refers_to)
@@ -209,8 +220,8 @@ def read_archives(archives: DataFrame, run_records: int = RUN_RECORDS) -> DataFr
                     file.seek(start)
                     for n in lengths:
                         h, payload = parse_record(file.read(n))
-                        ident = lambda key: (lambda v: int(v) if v else None)(h.get(key, "").removeprefix("<urn:page:").removesuffix(">"))  # noqa: B023, E731
-                        rows.append((ident("warc-record-id"), h["warc-target-uri"], h["warc-type"], ident("warc-refers-to"), h["warc-payload-digest"].removeprefix("sha256:"), payload))
+                        ident = lambda key: (lambda v: int(v) if v else None)(h.get(key, "").removeprefix("urn:page:"))  # noqa: B023, E731
+                        rows.append((ident("page"), h["warc-target-uri"], h["warc-type"], ident("refers-to-page"), h["warc-payload-digest"].removeprefix("sha256:"), payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -233,15 +244,12 @@ def verified(records: DataFrame) -> DataFrame:
     return rows.where("record_type = 'response'").select(*out(F.col("n"))).unionByName(revisits.select(*out(full)))
 
 
-def archive_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one, for one set of archives."""
-    uri = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    fs, path = _open(uri)
-    fs.create_dir(path, recursive=True)
-    return uri
-
-
 def round_trip(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Write all pages to archives and read them back."""
-    archives = write_archives(pages, archive_folder(pages.sparkSession), min_bytes)
-    return verified(read_archives(archives))
+    """Write all pages to archives in a new folder of the shared one, read them back, and delete them."""
+    folder = scratch(pages.sparkSession, "warc")
+    fs, path = _open(folder)
+    fs.create_dir(path, recursive=True)
+    #: The archives have been read whole when this is there; what is left to do works on digests that are written.
+    out = verified(read_archives(write_archives(pages, folder, min_bytes)))
+    remove(pages.sparkSession, folder)
+    return out

@@ -254,6 +254,17 @@ def test_warc_round_trip_and_zip64(spark, tmp_path):
         assert {i.filename: i.file_size for i in z.infolist()} == {k: v[2] for k, v in found.items()}
         assert all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
     assert warc.round_trip(pages.limit(0)).collect() == []
+    with zipfile.ZipFile(place) as z:
+        raw, heads = z.read(warc.WARC_MEMBER), []
+    at = 0
+    while at < len(raw):  # a gzip member after the other, as any reader of such files goes through them
+        member = zlib.decompressobj(31)
+        heads.append(member.decompress(raw[at:]).partition(b"\r\n\r\n")[0].decode())
+        at = len(raw) - len(member.unused_data)
+    assert "WARC-Type: warcinfo" in heads[0] and all(h.startswith("WARC/1.1\r\n") for h in heads)
+    ids = re.findall(r"WARC-Record-ID: <urn:uuid:([-0-9a-f]{36})>", "\n".join(heads))
+    assert len(set(ids)) == len(heads)
+    assert all(warc.SAME_PAYLOAD in h for h in heads if "WARC-Type: revisit" in h) and all("WARC-Target-URI: " in h for h in heads[1:])
 
 
 def test_zip64_directory_is_parsed(tmp_path):
