@@ -6,7 +6,7 @@ estimates the share of each language among its words. The set of languages start
 smallest share as long as the likelihood less a penalty for each language (``penalty`` times half the logarithm of the
 number of words) doesn't fall. The prediction is the language with the largest share, ties by the learned order of names;
 its share is the score. Texts that are null or have no letter are ``und`` with score 0, and so is everything if there is
-nothing to learn from.
+nothing to learn from. Repeated rows give a row each, an empty table gives none; a doc_id may be missing.
 
 The counts go to the driver as one table of at most ``2 ** BITS`` rows a language, whatever the corpus.
 """

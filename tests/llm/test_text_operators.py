@@ -228,6 +228,54 @@ def test_language_held_out_accuracy_and_mixtures(spark):
     assert not share[1:].any()
 
 
+def plain_mixture(text, table):
+    """Shares of the languages in one text, by words and loops."""
+    grams, _, begins = langid._trigrams([text])
+    n_langs = table.shape[1]
+    score, like = [], []
+    for gram, begin in zip(grams.tolist(), begins.tolist(), strict=True):
+        score = score + [np.zeros(n_langs)] if begin else score
+        score[-1] = score[-1] + table[gram]
+    if not score:
+        return [0.0] * n_langs
+    like = [[np.exp(max(x - max(s), -60)) for x in s] for s in score]
+
+    def em(share):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * n_langs
+            for row in like:
+                total = sum(p * q for p, q in zip(row, share, strict=True))
+                for k in range(n_langs):
+                    new[k] += row[k] * share[k] / total / len(like)
+            moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+            share = new
+            if moved < 2e-3:
+                break
+        return share, sum(np.log(sum(p * q for p, q in zip(row, share, strict=True))) for row in like)
+
+    share, fit = em([1 / n_langs] * n_langs)
+    price = langid.PENALTY * 0.5 * np.log(len(like) + 1.0)
+    while sum(s > 0 for s in share) > 1:
+        least = min((k for k in range(n_langs) if share[k] > 0), key=lambda k: share[k])
+        fewer = [0.0 if k == least else s for k, s in enumerate(share)]
+        fewer, fit_fewer = em([s / max(sum(fewer), 1e-9) for s in fewer])
+        if fit_fewer + price < fit:
+            break
+        share, fit = fewer, fit_fewer
+    return share
+
+
+def test_mixtures_match_a_plain_expectation_maximisation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    _, table = langid.learn(docs)
+    texts = [r["text"][:400] for r in docs.where("n_chars > 50").limit(40).collect()]
+    texts = [*texts, texts[0] + " " + texts[1], "", "42", "ein"]
+    found = [langid.mixtures([t], table)[0] for t in texts]  # alone, as the rounds end when all texts of a batch have settled
+    want = [plain_mixture(t, table.astype(np.float64)) for t in texts]
+    assert np.abs(np.array(found) - np.array(want)).max() < 0.02
+    assert [np.flatnonzero(f).tolist() for f in found] == [np.flatnonzero(w).tolist() for w in want]
+
+
 def test_held_out_is_crc32_of_the_id_as_text(spark):
     rows = spark.range(200).select("id", langid.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
@@ -621,6 +669,38 @@ def test_rules_hold_on_rows_they_were_not_learned_from(spark):
     assert quality.learn_rules(np.zeros((0, 2)), np.zeros(0, bool), ["a", "b"]) == []
 
 
+def test_rules_find_planted_conditions_and_their_verdict_is_the_list():
+    rng = np.random.default_rng(2)
+    x = rng.random((3000, 3))
+    bad = (x[:, 0] > 0.9) | ((x[:, 1] < 0.2) & (x[:, 2] > 0.5))
+    rules = quality.learn_rules(x, bad, ["a", "b", "c"])
+    said = np.zeros(len(x), bool)
+    for rule in rules:
+        for row in np.flatnonzero(~said):
+            said[row] = all(x[row, "abc".index(n)] >= cut if sign == ">=" else x[row, "abc".index(n)] < cut for n, sign, cut in rule)
+    assert (said == bad).mean() > 0.98 and 2 <= len(rules) <= 6
+    left = np.ones(len(x), bool)
+    for rule in rules:  # each rule is precise on what the ones before it leave
+        hit = left & quality._covers(rule, x, ["a", "b", "c"])
+        assert bad[hit].mean() >= quality.PRECISION
+        left &= ~hit
+
+
+def test_kept_is_the_decision_list_row_by_row(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.learn_verdict(quality.text_statistics(docs), labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.QUERIES["op10_quality_rules"](spark, sf).collect():
+        n_words, word_chars, n_symbols, n_dup, n_repeat = brute_statistics(texts[r["doc_id"]])
+        lines = [x for x in (texts[r["doc_id"]] or "").split("\n") if words(x)]
+        capitals = sum("A" <= c <= "Z" for c in texts[r["doc_id"]] or "")
+        value = {"n_words": n_words, "word_length": word_chars / max(n_words, 1), "symbols_per_word": n_symbols / max(n_words, 1), "duplicate_lines": n_dup / max(len(lines), 1), "repeated_words": n_repeat / max(n_words, 1), "capitals": capitals / max(word_chars, 1), "words_per_line": n_words / max(len(lines), 1)}
+        failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+        hit = any(all(value[n] >= cut if sign == ">=" else value[n] < cut for n, sign, cut in rule) for rule in rules)
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not hit), r
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     chain = toxicity.learn(docs, labels.where("doc_id % 3 <> 0"))
