@@ -1,6 +1,7 @@
 """Time: inclusive ranges with a last second, relative dates, local buckets, axes without gaps.
 
-Timestamps of the model have no zone and mean UTC. Bounds are literals, so filters reach the Parquet scan."""
+Timestamps of the model have no zone and mean UTC. Bounds are literals, so filters reach the Parquet scan. Nothing here goes
+through the session's zone: such a way would move times that its clock change leaves out."""
 
 from __future__ import annotations
 
@@ -24,6 +25,10 @@ def moment(text: str, end: bool = False, tz: str = "UTC") -> datetime:
     return zoned.astimezone(ZoneInfo("UTC")).replace(tzinfo=None)
 
 
+def epoch() -> Column:
+    return F.expr("timestamp_ntz'1970-01-01'")
+
+
 def literal(at: datetime) -> Column:
     return F.expr(f"TIMESTAMP_NTZ'{at:%Y-%m-%d %H:%M:%S}'")
 
@@ -76,12 +81,16 @@ def local(ts: Column, tz: str) -> Column:
 
 def bucket(ts: Column, unit: str, tz: str = "UTC") -> Column:
     """Start of the local period: a date, for hours a time without zone. Weeks start on Monday."""
-    start = F.date_trunc(unit, local(ts, tz))
-    return start.cast("timestamp_ntz") if unit == "hour" else start.cast("date")
+    at = local(ts, tz)
+    if unit == "hour":
+        return F.timestamp_add("HOUR", F.floor(millis(at) / 3_600_000).cast("int"), epoch())
+    day = at.cast("date")
+    return day if unit == "day" else F.trunc(day, unit).cast("date")
 
 
 def label(b: Column, unit: str) -> Column:
-    return F.date_format(b, "yyyy-MM-dd HH:mm:ss" if unit == "hour" else "yyyy-MM-dd")
+    """A period as text: its date, and for hours the time."""
+    return b.cast("string")
 
 
 def next_bucket(b: Column, unit: str, n: int = 1) -> Column:
@@ -113,4 +122,33 @@ def n_periods(date_from: str, date_to: str, unit: str) -> int:
 
 def millis(ts: Column) -> Column:
     """Milliseconds of UTC since 1970, parts cut."""
-    return F.unix_millis(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
+    seconds = (ts.cast("timestamp_ntz") - epoch()).cast("interval second").cast("decimal(20,6)")
+    return F.floor(seconds * 1000).cast("long")
+
+
+def month(ts: Column) -> Column:
+    """Year and month as text."""
+    return F.substring(ts.cast("string"), 1, 7)
+
+
+def iso_text(ts: Column) -> Column:
+    """ISO 8601 text of UTC in whole seconds; the milliseconds are always .000."""
+    return F.concat(F.replace(F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19), F.lit(" "), F.lit("T")), F.lit(".000Z"))
+
+
+def read_time(text: Column) -> Column:
+    """Time of UTC that a text names, null if it names none.
+
+    ISO dates and times; with / or . between the parts, too, and with the day first; dates like Feb 27 2026; unix time in seconds (9 or 10 digits) or
+    milliseconds (13). An offset or Z is taken off, a time without one means UTC."""
+    t = F.trim(text)
+    iso = F.regexp_replace(t, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)", "$3-$2-$1")
+    named, months = r"^([A-Z][a-z]{2})[a-z]* (\d{1,2}),? (\d{4})(?!\d)", F.lit("JanFebMarAprMayJunJulAugSepOctNovDec")
+    at = F.position(F.regexp_extract(t, named, 1), months)
+    day = F.concat_ws("-", F.regexp_extract(t, named, 3), F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"), F.lpad(F.regexp_extract(t, named, 2), 2, "0"))
+    iso = F.when(t.rlike(named) & (at % 3 == 1), F.concat(day, F.regexp_replace(t, named, ""))).otherwise(iso)
+    since = lambda micros: epoch() + F.make_dt_interval(secs=micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(10,0)"))
+    micros = F.when(t.rlike(r"^\d{9,10}$"), t.try_cast("long") * 1_000_000).when(t.rlike(r"^\d{13}$"), t.try_cast("long") * 1000)
+    zoned = iso.rlike(r":\d{2}(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(micros.isNotNull(), since(micros)).when(zoned, since(F.unix_micros(iso.try_cast("timestamp")))).otherwise(iso.try_cast("timestamp_ntz"))

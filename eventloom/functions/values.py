@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from eventloom.functions.timeutil import read_time
+
 #: What counts as a plain number in a property.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -47,8 +49,8 @@ class Property:
 
     @property
     def moment(self) -> Column:
-        """Timestamp without zone; null where the text is none."""
-        return self.text.try_cast("timestamp_ntz")
+        """Timestamp without zone, in UTC; null where the text names none."""
+        return read_time(self.text)
 
 
 def compact(names: Column) -> Column:

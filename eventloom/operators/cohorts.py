@@ -13,7 +13,7 @@ from eventloom.functions import timeutil as T
 from eventloom.functions.filters import Filter, condition, matches
 from eventloom.functions.values import Property, history
 
-MOST_LEAVES, MOST_DEPTH = 50, 4
+MOST_LEAVES, MOST_DEPTH, MOST_IN_GROUP, MOST_COHORTS, MOST_DAYS = 50, 4, 20, 20, 365
 PERCENTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
@@ -159,13 +159,17 @@ CONDITIONS = {
 
 
 def validate(node: dict, depth: int = 1) -> int:
-    """Number of leaves; an error if there are too many, or levels."""
+    """Number of leaves; an error if there are too many, or levels, or in a group, or a window isn't of 1 to 365 days."""
     if depth > MOST_DEPTH + 1:
         raise ValueError(f"conditions are nested in at most {MOST_DEPTH} levels")
     if node["type"] not in ("AND", "OR"):
         if node["type"] not in CONDITIONS:
             raise ValueError(f"unknown condition {node['type']}")
+        if any(not 1 <= days <= MOST_DAYS for key, days in node.items() if key.endswith("window_days")):
+            raise ValueError(f"windows are of 1 to {MOST_DAYS} days")
         return 1
+    if len(node["values"]) > MOST_IN_GROUP:
+        raise ValueError(f"at most {MOST_IN_GROUP} conditions in a group")
     n = sum(validate(x, depth + 1) for x in node["values"])
     if n > MOST_LEAVES:
         raise ValueError(f"at most {MOST_LEAVES} conditions")
@@ -190,7 +194,9 @@ def _persons(c: Context, node: dict) -> DataFrame:
 
 
 def restrict(rows: DataFrame, c: Context, nodes: list[dict]) -> DataFrame:
-    """Rows of persons that are in all the cohorts."""
+    """Rows of persons that are in all the cohorts, at most MOST_COHORTS."""
+    if len(nodes) > MOST_COHORTS:
+        raise ValueError(f"at most {MOST_COHORTS} cohorts")
     return reduce(lambda a, n: a.join(persons(c, n), "person_id", "left_semi"), nodes, rows)
 
 
@@ -248,8 +254,46 @@ def stale(cohorts: DataFrame, as_of: str, minutes: int = 15, most_errors: int =
 
 
 def drop_orphans(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of cohorts that still exist."""
-    return members.join(known.select("cohort_id").distinct(), "cohort_id", "left_semi")
+    """Members of cohorts that still exist. If none is known, nothing goes: the list may be late, not empty."""
+    known = known.select("cohort_id").distinct()
+    #: One row on the right.
+    none = known.agg((F.count("*") == 0).alias("__none"))
+    rows = members.crossJoin(none).join(known.withColumn("__known", F.lit(True)), "cohort_id", "left")
+    return rows.where(F.col("__none") | F.col("__known")).select(*members.columns)
+
+
+def add_members(members: DataFrame, cohort_id: str, person_ids: DataFrame) -> DataFrame:
+    """Static members after adding persons (person_id) to a cohort; those in it already stay once."""
+    new = person_ids.select(F.lit(cohort_id).alias("cohort_id"), "person_id")
+    return members.select("cohort_id", "person_id").unionByName(new).distinct()
+
+
+def remove_members(members: DataFrame, cohort_id: str, person_ids: DataFrame) -> DataFrame:
+    gone = person_ids.select(F.lit(cohort_id).alias("cohort_id"), "person_id").distinct()
+    return members.join(gone, ["cohort_id", "person_id"], "left_anti")
+
+
+def duplicate_as_static(source: DataFrame, cohort_id: str, new_id: str) -> DataFrame:
+    """Static members of a copy, from the members of the cohort (static ones, or the last computed ones)."""
+    return source.where(F.col("cohort_id") == cohort_id).select(F.lit(new_id).alias("cohort_id"), "person_id").distinct()
+
+
+def stamped(node: dict, static: set[str]) -> dict:
+    """A condition tree whose references to cohorts say whether they are static."""
+    if node["type"] in ("AND", "OR"):
+        return {**node, "values": [stamped(x, static) for x in node["values"]]}
+    return {**node, "is_static": node["cohort_id"] in static} if node["type"] == "cohort" else node
+
+
+def members_of(c: Context, cohort: dict, static: DataFrame, computed: DataFrame) -> DataFrame:
+    """person_id of a cohort (cohort_id, definition, is_static, materialized): static members, the last computed ones, or the
+    persons that its conditions give now."""
+    if cohort.get("is_static"):
+        return static.where(F.col("cohort_id") == cohort["cohort_id"]).select("person_id").distinct()
+    if cohort.get("materialized"):
+        own = computed.where(F.col("cohort_id") == cohort["cohort_id"])
+        return latest_members(own).select("person_id").distinct()
+    return persons(c, cohort["definition"])
 
 
 def import_members(ids: DataFrame, kind: str, cohort_id: str, distinct_ids: DataFrame, people: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import UTC, datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
-from eventloom.functions.filters import Filter, all_of, condition, matches
+from eventloom.functions.filters import Filter, all_of, any_of, condition, matches
 from eventloom.functions.values import Property
 from eventloom.operators import funnel, retention
 from eventloom.operators.trend import TrendSpec
@@ -53,8 +55,39 @@ def person_list(people: DataFrame, distinct_ids: DataFrame, filters: tuple[Filte
     return rows.join(ids, "person_id", "left")
 
 
-def person_events(events: DataFrame, person_id: str) -> DataFrame:
-    return events.where((F.col("person_id") == person_id) | (F.col("raw_person_id") == person_id))
+def person_by_id(people: DataFrame, distinct_ids: DataFrame, person_id: str) -> DataFrame:
+    """The person, with its sorted distinct ids (none give an empty list)."""
+    return persons_by_ids(people, distinct_ids, [person_id]).drop("place")
+
+
+def persons_by_ids(people: DataFrame, distinct_ids: DataFrame, person_ids: list[str]) -> DataFrame:
+    """Persons of the given ids in their order (``place``), each once, with their distinct ids; unknown ids are left out."""
+    order = {p: k for k, p in reversed(list(enumerate(person_ids)))}
+    own = F.col("person_id").isin(*order)
+    ids = distinct_ids.where(own).groupBy("person_id").agg(F.array_sort(F.collect_set("distinct_id")).alias("distinct_ids"))
+    rows = people.where(own).join(ids, "person_id", "left").withColumn("distinct_ids", F.coalesce("distinct_ids", F.array().cast("array<string>")))
+    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("person_id")] if order else F.lit(0)
+    return rows.withColumn("place", place).orderBy("place")
+
+
+def person_page(people: DataFrame, distinct_ids: DataFrame, filters: tuple[Filter, ...] = (), search: str = "", limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the persons that fit, the last updated first, with the number of all that fit (``total``)."""
+    rows = person_list(people, distinct_ids, filters, search)
+    #: One row on the right.
+    return page(rows, [F.desc("updated_at"), "person_id"], limit, offset).crossJoin(rows.agg(F.count("*").alias("total")))
+
+
+def person_events(raw: DataFrame, overrides: DataFrame, person_id: str) -> DataFrame:
+    """The events of a person by their own id or by the one that their distinct id belongs to now, with both.
+
+    The distinct ids that belong to the person are looked up first, a few rows; both conditions reach the scan of the events.
+    ``overrides``: project_id, distinct_id, person_id, one row a distinct id."""
+    ids = sorted({r[0] for r in overrides.where(F.col("person_id") == person_id).select("distinct_id").collect()})
+    rows = raw.where((F.col("person_id") == person_id) | F.col("distinct_id").isin(*ids) if ids else F.col("person_id") == person_id)
+    now = overrides.select("project_id", "distinct_id", F.col("person_id").alias("now_id"))
+    rows = rows.withColumnRenamed("person_id", "raw_person_id").join(now, ["project_id", "distinct_id"], "left")
+    rows = rows.withColumn("person_id", F.coalesce("now_id", "raw_person_id")).drop("now_id")
+    return rows.where((F.col("person_id") == person_id) | (F.col("raw_person_id") == person_id))
 
 
 def person_cohorts(person_id: str, *memberships: DataFrame) -> DataFrame:
@@ -91,30 +124,91 @@ def event_detail(events: DataFrame, event_id: int, at: str) -> DataFrame:
 def event_definitions(events: DataFrame) -> DataFrame:
     """event_name, n_events, last_seen (floored to the hour, as text)."""
     rows = events.groupBy("event_name").agg(F.count("*").alias("n_events"), F.max("ts").alias("t"))
-    return rows.select("event_name", "n_events", F.date_format(F.date_trunc("hour", "t"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
+    return rows.select("event_name", "n_events", T.bucket(F.col("t"), "hour").cast("string").alias("last_seen"))
 
 
-def property_definitions(events: DataFrame, bag: str = "properties", most_length: int = 200) -> DataFrame:
-    """event_name, property_name, value_type (of the earliest value that has one), last_seen."""
-    pairs = events.select("event_name", "ts", "event_id", bag, F.explode(F.json_object_keys(bag)).alias("property_name")).where(F.length("property_name") <= most_length)
-    text = F.try_variant_get(F.try_parse_json(F.col(bag)), "$", "map<string,variant>")
-    value = F.try_element_at(text, F.col("property_name"))
-    pairs = pairs.withColumn("value_type", value_type(F.col("property_name"), F.try_variant_get(value, "$", "string"), F.schema_of_variant(value)))
+def property_definitions(events: DataFrame, bag: str = "properties", most_length: int = 200, as_of: datetime | None = None) -> DataFrame:
+    """event_name, property_name, value_type (of the earliest value that has one), last_seen. A row's JSON is parsed once."""
+    values = F.explode(F.try_variant_get(F.try_parse_json(F.col(bag)), "$", "map<string,variant>"))
+    pairs = events.select("event_name", "ts", "event_id", values.alias("property_name", "value")).where(F.length("property_name") <= most_length)
+    kind = value_type(F.col("property_name"), F.try_variant_get("value", "$", "string"), F.schema_of_variant("value"), as_of)
+    pairs = pairs.select("event_name", "ts", "event_id", "property_name", kind.alias("value_type"))
     order = F.when(F.col("value_type").isNotNull(), F.struct("ts", "event_id"))
     rows = pairs.groupBy("event_name", "property_name").agg(F.min_by("value_type", order).alias("value_type"), F.max("ts").alias("t"))
-    return rows.select("event_name", "property_name", "value_type", F.date_format(F.date_trunc("hour", "t"), "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
-
-
-def value_type(name, text, kind):
-    """String, Numeric, Boolean, DateTime or null, from a property's name, its value's text and its JSON kind."""
-    lower = F.lower(name)
-    number = F.coalesce(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.lit(False))
+    return rows.select("event_name", "property_name", "value_type", T.bucket(F.col("t"), "hour").cast("string").alias("last_seen"))
+
+
+#: Fixed parts of names by which a property may be a time, and beginnings (and one name) of those that are texts whatever they hold.
+TIME_WORDS = ("time", "timestamp", "date", "_at", "-at", "createdat", "updatedat")
+TEXT_BEGINNINGS, TEXT_NAME = ("utm_", "$initial_utm_", "$feature/", "$survey_response"), "$feature_flag_response"
+#: Fixed patterns of texts that look like a date, and of those that are a number.
+DATE_TEXT = r"^\d{4}-\d{2}-\d{2}[T\s]|^\s*(\d{4}[/-][0-2]\d[/-][0-3]\d|[0-2]\d[/-][0-3]\d[/-]\d{4})([ T][0-2]\d:[0-6]\d:[0-6]\d.*)?\s*$"
+NUMBER_TEXT = r"^\s*([+-]?(Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)|0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)\s*$"
+#: How far a number of seconds may lie before and after now to be taken for a time.
+PAST_SECONDS, FUTURE_SECONDS = 15_768_000, 10 * 365 * 86_400
+
+
+def value_type(name: Column, text: Column, kind: Column, as_of: datetime | None = None) -> Column:
+    """String, Numeric, Boolean, DateTime or null, from a property's name, its value's text and its JSON kind.
+
+    Names of campaigns, features and surveys are texts. A name that speaks of time makes a DateTime of a number only if it is
+    seconds near ``as_of`` (now, if none is given). Objects, lists and null have no type."""
+    lower, is_text = F.lower(name), kind == "STRING"
+    is_number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)")
+    dated, number = is_text & text.rlike(DATE_TEXT), text.try_cast("double")
+    now = F.lit(as_of.replace(tzinfo=UTC).timestamp()) if as_of else F.unix_timestamp().cast("double")
+    near = is_number & (number >= F.floor(now) - PAST_SECONDS) & (number <= F.floor(now) + FUTURE_SECONDS)
+    fixed = any_of([*[F.startswith(lower, F.lit(x)) for x in TEXT_BEGINNINGS], lower == TEXT_NAME])
+    timely = any_of([F.contains(lower, F.lit(x)) for x in TIME_WORDS])
     return (
-        F.when(text.isNull() | kind.rlike("^(OBJECT|ARRAY|VOID)"), F.lit(None).cast("string"))
-        .when(lower.rlike(r"^(\$)?(utm_|feature|survey)"), "String")
-        .when(lower.rlike(r"(^|_)(date|time|timestamp)$|_at$") & (number | text.try_cast("timestamp_ntz").isNotNull()), "DateTime")
-        .when((kind == "BOOLEAN") | F.lower(text).isin("true", "false"), "Boolean")
-        .when(number, "Numeric")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}") & text.try_cast("timestamp_ntz").isNotNull(), "DateTime")
+        F.when(fixed, "String")
+        .when(text.isNull() | kind.rlike("^(OBJECT|ARRAY|VOID)"), F.lit(None).cast("string"))
+        .when(timely & (dated | near), "DateTime")
+        .when(kind == "BOOLEAN", "Boolean")
+        .when(is_number, "Numeric")
+        .when(F.trim(text).isin("true", "false", "TRUE", "FALSE"), "Boolean")
+        .when(dated, "DateTime")
+        .when(text.rlike(NUMBER_TEXT), "Numeric")
         .otherwise("String")
     )
+
+
+#: Columns that a user sets on a definition.
+EDITABLE = ("description", "tags", "verified", "value_type", "is_numerical")
+
+
+def definition_list(rows: DataFrame, search: str = "", filters: dict | None = None, order: str = "last_seen", descending: bool = True, limit: int = 100, offset: int = 0, name: str = "event_name") -> DataFrame:
+    """A page of definitions and ``total``, the number of all that fit; ``search`` is part of the name in any case."""
+    fits = [F.contains(F.lower(name), F.lit(search.lower()))] if search else []
+    rows = rows.where(all_of([*fits, *[F.col(c).eqNullSafe(F.lit(v)) for c, v in (filters or {}).items()]]))
+    total = rows.agg(F.count("*").alias("total"))
+    shown = page(rows, [F.desc(order) if descending else F.asc(order), name], limit, offset)
+    #: One row on the right.
+    return shown.crossJoin(total)
+
+
+def upsert_definitions(known: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Definitions after changes: a null in a change keeps what is known; keys that aren't known come in as new rows."""
+    new = changes.select(*keys, *[F.col(c).alias(f"new_{c}") for c in changes.columns if c not in keys])
+    both = known.join(new, keys, "full")
+    own = lambda c: F.coalesce(f"new_{c}", c) if c in changes.columns else F.col(c)
+    out = both.select(*[F.col(c) if c in keys else own(c).alias(c) for c in known.columns])
+    return out.withColumn("verified", F.coalesce("verified", F.lit(False))) if "verified" in out.columns else out
+
+
+def delete_definitions(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (definitions, or properties of events) whose keys aren't among those that were deleted."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def merged_catalog(known: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The catalog after a batch of definitions seen: a type once known stays, the later last_seen holds, other columns are the known ones'."""
+    new = seen.select(*keys, *[F.col(c).alias(f"new_{c}") for c in seen.columns if c not in keys])
+    both = known.join(new, keys, "full")
+
+    def column(c: str) -> Column:
+        if c in keys or f"new_{c}" not in both.columns:
+            return F.col(c)
+        return (F.greatest(c, f"new_{c}") if c == "last_seen" else F.coalesce(c, f"new_{c}")).alias(c)
+
+    return both.select(*map(column, known.columns))

@@ -53,8 +53,12 @@ class FunnelSpec:
         return self.window * UNIT_MS[self.window_unit]
 
     def validate(self) -> None:
-        if not 1 <= len(self.steps) <= 10:
-            raise ValueError("a funnel has up to 10 steps")
+        if not 2 <= len(self.steps) <= 10:
+            raise ValueError("a funnel has 2 to 10 steps")
+        if self.sampling == self.sampling and not 0.01 <= self.sampling <= 1:
+            raise ValueError("sampling takes 0.01 to 1 of the persons")
+        if not 2 <= self.breakdown_limit <= 25:
+            raise ValueError("a breakdown shows 2 to 25 values")
         if self.mode not in ("ordered", "strict", "unordered"):
             raise ValueError("mode is ordered, strict or unordered")
         if not 0 < self.window_ms <= MOST_WINDOW:
@@ -108,6 +112,50 @@ def _strict(n: int, window: int) -> Column:
     return F.aggregate("h", start, move, lambda acc: acc["level"])
 
 
+def _cover(n: int, window: int) -> Column:
+    """best: for each step the newest time of it from which all steps follow in the window; most: how many steps do at best.
+
+    One sweep from the newest event on: the next time of every step is known at each."""
+    empty = lambda kind: F.array_repeat(F.lit(None).cast(kind), n)
+    start = F.struct(F.lit(None).cast("long").alias("at"), F.array_repeat(F.lit(False), n).alias("here"), empty("long").alias("next"), empty("long").alias("best"), F.lit(0).alias("most"))
+
+    def move(acc: Column, e: Column) -> Column:
+        same = acc["at"].eqNullSafe(e["ms"])
+        here = F.zip_with(acc["here"], e["m"], lambda a, b: (same & a) | b)  # steps with an event at this very time
+        following = F.zip_with(acc["next"], e["m"], lambda a, b: F.when(b, e["ms"]).otherwise(a))
+        found = F.size(F.filter(following, lambda x: x <= e["ms"] + window))
+        best = F.zip_with(acc["best"], here, lambda a, b: F.when(a.isNull() & b & (found == n), e["ms"]).otherwise(a))
+        new = F.struct(e["ms"].alias("at"), here.alias("here"), following.alias("next"), best.alias("best"), F.greatest(acc["most"], found).alias("most"))
+        return F.when(F.exists(e["m"], lambda x: x), new).otherwise(acc)
+
+    return F.aggregate(F.reverse("h"), start, move, lambda acc: F.struct(acc["best"].alias("best"), acc["most"].alias("most")))
+
+
+def _spoiled(k: int, window: int, anchor: Column | None) -> Column:
+    """Whether a person has a way between exclusion k's steps with its event inside, and none without.
+
+    ``x`` of an event says whether it begins such a way, ends one, or is the excluded one. Only what came strictly before counts:
+    the last beginning, the last excluded event, and the last beginning before that one are enough for every end."""
+    none = F.lit(None).cast("long")
+    start = F.struct(none.alias("at"), F.lit(False).alias("new_f"), F.lit(False).alias("new_e"), none.alias("f"), none.alias("e"), none.alias("fe"), F.lit(False).alias("dirty"), F.lit(False).alias("clean"))
+
+    def move(s: Column, e: Column) -> Column:
+        mark, later = F.get(e["x"], F.lit(k)), e["ms"] > s["at"]
+        begins = mark["f"] if anchor is None else mark["f"] & F.coalesce((e["ms"] >= anchor) & (e["ms"] <= anchor + window), F.lit(False))
+        last_e = F.when(later & s["new_e"], s["at"]).otherwise(s["e"])
+        before_e = F.when(later & s["new_e"], s["f"]).otherwise(s["fe"])
+        last_f = F.when(later & s["new_f"], s["at"]).otherwise(s["f"])
+        near = lambda f: F.coalesce(f >= e["ms"] - window, F.lit(False))
+        clean = s["clean"] | (mark["t"] & near(last_f) & F.coalesce(last_e <= last_f, F.lit(True)))
+        stay = F.coalesce(~later, F.lit(False))
+        return F.struct(
+            e["ms"].alias("at"), ((stay & s["new_f"]) | begins).alias("new_f"), ((stay & s["new_e"]) | mark["e"]).alias("new_e"),
+            last_f.alias("f"), last_e.alias("e"), before_e.alias("fe"), (s["dirty"] | (mark["t"] & near(before_e))).alias("dirty"), clean.alias("clean"),
+        )
+
+    return F.aggregate("h", start, move, lambda s: s["dirty"] & ~s["clean"])
+
+
 def _is_step(k: int):
     return lambda e: F.get(e["m"], F.lit(k))
 
@@ -117,66 +165,53 @@ def _from(column: str):
 
 
 def per_person(events: DataFrame, spec: FunnelSpec, exclude: bool = True) -> DataFrame:
-    """person_id, max_step, t (array of each step's times), anchor, first_value: one row a person with a step event."""
+    """person_id, max_step, t (array of each step's times), anchor, first_value: one row a person with a step event.
+
+    With exclusions their events are collected too, and a person with a spoiled way and no clean one is left out; for them
+    steps count by event name alone, and in unordered funnels a way begins at the anchor or after it."""
     spec.validate()
     n, w = len(spec.steps), spec.window_ms
     rows = sampled(events.where(T.in_range(spec.date_from, spec.date_to, spec.tz)), spec.sampling)
     mark = F.array(*[matches(s.names, s.filters) for s in spec.steps])
     is_step = any_of([matches(s.names, s.filters) for s in spec.steps])
-    names = sorted({x for s in spec.steps for x in s.names})
-    rows = rows.withColumn("m", mark).withColumn("b", Property(spec.breakdown).text if spec.breakdown else F.lit(""))
+    names = {x for s in spec.steps for x in s.names}
+    ways = spec.exclusions if exclude else ()
+    named = lambda k: F.col("event_name").isin(*spec.steps[k].names)
+    out_of_way = [F.struct(named(x.from_step).alias("f"), named(x.to_step).alias("t"), matches((x.name,), x.filters).alias("e")) for x in ways]
+    rows = rows.withColumn("m", mark).withColumn("b", Property(spec.breakdown).text if spec.breakdown else F.lit("")).withColumn("x", F.array(*out_of_way) if ways else F.lit(0))
     if spec.mode == "strict":
         able = rows.where(is_step).select("person_id").distinct()
         rows = rows.join(able, "person_id", "left_semi")
     else:
-        rows = rows.where(F.col("event_name").isin(*names)).where(is_step)
-    out = rows.groupBy("person_id").agg(history("ms", "event_id", "m", "b").alias("h"))
+        rows = rows.where(F.col("event_name").isin(*sorted(names | {x.name for x in ways})))
+        rows = rows.where(is_step | F.exists("x", lambda x: x["f"] | x["t"] | x["e"])) if ways else rows.where(is_step)
+    out = rows.groupBy("person_id").agg(history("ms", "event_id", "m", "b", *(["x"] if ways else [])).alias("h"))
+    if ways and spec.mode != "strict":
+        out = out.where(F.exists("h", lambda e: F.exists(e["m"], lambda x: x)))
     times = [F.transform(F.filter("h", _is_step(k)), lambda e: e["ms"]).alias(f"t{k}") for k in range(n)]
-    out = out.select("person_id", "h", *times)
-    covered = lambda a: sum((F.exists(f"t{k}", lambda x: (x >= a) & (x <= a + w)).cast("int") for k in range(n)), F.lit(0))
-    if spec.mode == "unordered":
-        out = out.where(F.size("t0") > 0)
-        out = out.withColumn("max_step", F.array_max(F.transform(F.flatten(F.array(*[f"t{k}" for k in range(n)])), covered)))
-        full = [F.array_max(F.filter(f"t{k}", lambda a: covered(a) == n)) for k in range(n)]
-        out = out.withColumn("anchor", F.coalesce(*full) if n > 1 else F.array_min("t0"))
-    else:
-        out = out.withColumn("max_step", _ordered(n, w) if spec.mode == "ordered" else _strict(n, w)).withColumn("anchor", F.lit(None).cast("long"))
-    firsts = F.filter("h", _is_step(0))
     if spec.mode == "unordered":
-        value = F.get(F.transform(F.filter("h", lambda e: e["ms"] == F.col("anchor")), lambda e: e["b"]), F.lit(0))
+        out = out.where(F.exists("h", _is_step(0))).select("person_id", "h", *times, _cover(n, w).alias("c"))
+        full = F.get(F.filter("c.best", lambda x: x.isNotNull()), F.lit(0))
+        out = out.withColumn("max_step", F.col("c.most")).withColumn("anchor", full if n > 1 else F.array_min("t0")).drop("c")
+        value = F.get(F.transform(F.filter("h", lambda e: (e["ms"] == F.col("anchor")) & F.exists(e["m"], lambda x: x)), lambda e: e["b"]), F.lit(0))
     else:
-        value = F.try_element_at(firsts, F.lit(1 if spec.mode == "ordered" else -1))["b"]
-    out = out.withColumn("first_value", F.coalesce(value, F.lit(""))).drop("h")
-    return out.join(excluded(events, spec, out), "person_id", "left_anti") if exclude and spec.exclusions else out
-
-
-def excluded(events: DataFrame, spec: FunnelSpec, people: DataFrame) -> DataFrame:
-    """person_id of those with a spoiled way between two steps of an exclusion and no clean one.
-
-    Steps count by event name alone here; exclusions' filters hold."""
-    w, out = spec.window_ms, None
-    rows = sampled(events.where(T.in_range(spec.date_from, spec.date_to, spec.tz)), spec.sampling)
-    for x in spec.exclusions:
-        a, b = spec.steps[x.from_step].names, spec.steps[x.to_step].names
-        bad = matches((x.name,), x.filters)
-        found = rows.where(F.col("event_name").isin(*a, *b, x.name)).groupBy("person_id")
-        list_ = lambda c, name: F.array_sort(F.collect_list(F.when(c, F.col("ms")))).alias(name)
-        found = found.agg(list_(F.col("event_name").isin(*a), "f"), list_(F.col("event_name").isin(*b), "t"), list_(bad, "e")).where(F.size("e") > 0)
+        out = out.select("person_id", "h", *times, (_ordered(n, w) if spec.mode == "ordered" else _strict(n, w)).alias("max_step"), F.lit(None).cast("long").alias("anchor"))
+        value = F.try_element_at(F.filter("h", _is_step(0)), F.lit(1 if spec.mode == "ordered" else -1))["b"]
+    out = out.withColumn("first_value", F.coalesce(value, F.lit("")))
+    for k in range(len(ways)):
         if spec.mode == "unordered":
-            near = people.select("person_id", "anchor").where("anchor is not null")
-            found = found.join(near, "person_id").withColumn("f", F.filter("f", lambda v: (v >= F.col("anchor")) & (v <= F.col("anchor") + w)))
-        spoiled = lambda f, t: F.exists("e", lambda e: (e > f) & (e < t))
-        pair = lambda f, t: (t > f) & (t <= f + w)
-        dirty = F.exists("f", lambda f: F.exists("t", lambda t: pair(f, t) & spoiled(f, t)))
-        clean = F.exists("f", lambda f: F.exists("t", lambda t: pair(f, t) & ~spoiled(f, t)))
-        some = found.where(dirty & ~clean).select("person_id")
-        out = some if out is None else out.unionByName(some)
-    return out.distinct()
+            out = out.where(F.col("anchor").isNull() | ~_spoiled(k, w, F.col("anchor")))
+        else:
+            out = out.where(~_spoiled(k, w, None))
+    return out.drop("h")
 
 
 def step_counts(people: DataFrame, n: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """step (from 1), n_persons, conversion_rate, drop_off, drop_off_rate; a row a step, also without any person."""
-    sums = people.groupBy(*by).agg(*[F.count_if(F.col("max_step") >= k + 1).alias(f"c{k}") for k in range(n)])
+    return _steps(people.groupBy(*by).agg(*[F.count_if(F.col("max_step") >= k + 1).alias(f"c{k}") for k in range(n)]), n, by)
+
+
+def _steps(sums: DataFrame, n: int, by: list[str]) -> DataFrame:
     rows = sums.select(*by, F.posexplode(F.array(*[f"c{k}" for k in range(n)])).alias("k", "n_persons"), F.col("c0").alias("top"), F.array(*[f"c{k}" for k in range(n)]).alias("all"))
     following = F.get("all", F.col("k") + 1)
     lost = F.when(following.isNull(), F.lit(0)).otherwise(F.col("n_persons") - following).cast("long")
@@ -273,3 +308,10 @@ def truncated(events: DataFrame, spec: FunnelSpec) -> DataFrame:
     return values.select((F.col("n") > spec.breakdown_limit).alias("breakdown_truncated"))
 
 
+def aggregate_steps(rows: DataFrame, n: int) -> DataFrame:
+    """Step counts over all groups of a breakdown; without any group, n steps of zero."""
+    steps = rows.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias("step"))
+    sums = steps.join(rows.groupBy("step").agg(F.sum("n_persons").alias("n")), "step", "left").select("step", F.coalesce("n", F.lit(0)).alias("n"))
+    #: At most ten rows from here on.
+    wide = sums.groupBy().agg(*[F.sum(F.when(F.col("step") == k + 1, F.col("n"))).alias(f"c{k}") for k in range(n)])
+    return _steps(wide, n, [])

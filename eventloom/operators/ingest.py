@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.timeutil import month
+
 #: Fixed ids that stand for nobody.
-BLACKLIST = (
-    "anonymous guest null undefined none nil 0 nan id distinct_id email true false [object object] not_authenticated".split()
+BLACKLIST = ("anonymous", "null", "undefined", "none", "nil", "[object object]", "nan", "true", "false", "0", "guest")
+#: Fixed greatest lengths of what a client says of an event's context.
+CONTEXT_LENGTHS = {
+    "session_id": 128, "url": 2048, "referrer": 2048, "page_title": 500, "page_path": 2048, "device_type": 50, "browser": 100, "browser_version": 50,
+    "os": 100, "os_version": 50, "language": 35, "timezone": 100, "sdk_name": 100, "sdk_version": 50,
+}
+#: Fixed properties of persons that change with every page view; events have columns for them.
+NOISY = (
+    "$browser", "$browser_version", "$os", "$os_version", "$device_type", "$screen_width", "$screen_height", "$viewport_width", "$viewport_height", "$current_url",
+    "$referrer", "$referring_domain", "$pathname", "$ip", "$geoip_country_code", "$geoip_city_name", "$timezone", "$language",
 )
 #: Fixed event names that are types of their own.
 TYPES = {"$identify": "identify", "$pageview": "pageview", "$pageleave": "pageleave", "$set": "set", "$set_once": "set_once", "$screen": "screen"}
@@ -15,14 +27,16 @@ MAX_NAME, MAX_ID, MAX_KEYS, MAX_KEY, MAX_SKEW_MS = 255, 255, 200, 200, 48 * 3_60
 RATE, RATE_SECONDS, RATE_SLIDE = 100_000, 60, 10
 
 
-def problem() -> Column:
-    """Why an event is turned down, or null."""
+def problem(context: tuple[str, ...] = ()) -> Column:
+    """Why an event is turned down, or null. ``context``: columns of CONTEXT_LENGTHS that the rows have."""
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     keys = F.json_object_keys("properties")
+    long = reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > CONTEXT_LENGTHS[c], F.lit(False)) for c in context], F.lit(False))
     return (
         F.when(blank("project_id") | blank("event_name") | (F.length("event_name") > MAX_NAME), "invalid_event")
         .when(blank("distinct_id") | (F.length("distinct_id") > MAX_ID) | F.lower(F.trim("distinct_id")).isin(*BLACKLIST), "illegal_distinct_id")
         .when((F.coalesce(F.size(keys), F.lit(0)) > MAX_KEYS) | F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.length(k) > MAX_KEY), "invalid_properties")
+        .when(long, "invalid_context")
     )
 
 
@@ -64,9 +78,10 @@ def identified(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merges(rows: DataFrame) -> DataFrame:
-    """Overrides that identify events ask for: the anonymous id belongs to the user's person from then on."""
+    """Overrides that identify events ask for (project_id, distinct_id, person_id, version): the anonymous id belongs to the user's
+    person from then on. Of several users the last event's holds, of simultaneous ones the larger person."""
     own = rows.where((F.col("event_name") == "$identify") & (F.coalesce(F.col("anonymous_id"), F.lit("")) != "") & (F.col("anonymous_id") != F.col("distinct_id")))
-    return own.groupBy("project_id", F.col("anonymous_id").alias("distinct_id")).agg(F.max_by("person_id", "ms").alias("person_id"), F.max("ms").alias("version"))
+    return own.groupBy("project_id", F.col("anonymous_id").alias("distinct_id")).agg(F.max(F.struct("ms", "person_id")).alias("m")).select("project_id", "distinct_id", "m.person_id", F.col("m.ms").alias("version"))
 
 
 def person_properties(changes: DataFrame, key: str = "person_id") -> DataFrame:
@@ -83,6 +98,21 @@ def person_properties(changes: DataFrame, key: str = "person_id") -> DataFrame:
     return rows.select(key, "name", value.alias("value")).where("value is not null")
 
 
+def property_changes(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep``'s columns, name, value, kind of every change that events' user_properties ask for: keys of $set and of the top are
+    set (the top's win), those of $set_once fill what is missing, the list of $unset removes. Noisy ones are left out."""
+    bag = F.coalesce(F.try_parse_json("user_properties"), F.parse_json(F.lit("{}")))
+    rows = rows.select(*keep, bag.alias("__bag"))
+    of = lambda path: F.coalesce(F.try_variant_get("__bag", path, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    top = F.map_filter(of("$"), lambda k, _: ~k.isin("$set", "$set_once", "$unset"))
+    change = lambda kind: lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"), F.lit(kind).alias("kind"))
+    given = F.map_filter(of("$['$set']"), lambda k, _: ~F.map_contains_key(top, k))
+    gone = F.transform(F.coalesce(F.try_variant_get("__bag", "$['$unset']", "array<string>"), F.array().cast("array<string>")), lambda k: F.struct(k.alias("name"), F.lit(None).cast("string").alias("value"), F.lit("unset").alias("kind")))
+    every = F.concat(*[F.transform(F.map_entries(m), change(kind)) for m, kind in ((top, "set"), (given, "set"), (of("$['$set_once']"), "set_once"))], gone)
+    out = rows.select(*keep, F.explode(every).alias("__x")).select(*keep, "__x.*")
+    return out.where((F.col("kind") == "unset") | ~F.col("name").isin(*NOISY))
+
+
 def merged_properties(people: DataFrame, moves: DataFrame) -> DataFrame:
     """person_id, name, value after merges (from_id into to_id): the user's own value wins over the merged one's."""
     moved = people.join(moves.withColumnRenamed("from_id", "person_id"), "person_id", "left")
@@ -99,6 +129,33 @@ def user_agent(text: Column) -> list[Column]:
     return [browser.alias("browser"), system.alias("os"), device.alias("device_type")]
 
 
+def with_device(rows: DataFrame, text: str = "user_agent") -> DataFrame:
+    """Adds browser, os and device_type by the user agent where the client didn't say them itself."""
+    for c, own in zip(("browser", "os", "device_type"), user_agent(F.coalesce(F.col(text), F.lit(""))), strict=True):
+        rows = rows.withColumn(c, F.when(F.col(c) != "", F.col(c)).otherwise(own) if c in rows.columns else own)
+    return rows
+
+
+#: Columns of an event in the model that are taken over from the client as they are.
+TAKEN = ("anonymous_id", "user_id", "session_id", "url", "referrer", "page_title", "page_path", "language", "timezone", "sdk_name", "sdk_version", "batch_id")
+
+
+def screen_dimension(text: Column) -> Column:
+    """The whole number that a width or height begins with; 0 where there is none above 0."""
+    n = F.regexp_extract(text.cast("string"), r"^\s*\+?(\d+)", 1).try_cast("long")
+    return F.coalesce(n, F.lit(0))
+
+
+def mapped_fields(rows: DataFrame, server: Column, *keep: str) -> DataFrame:
+    """An event's columns in the model from what a client sent: missing texts are empty, types and times have their defaults.
+    ``keep``: further columns that stay."""
+    text = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")).alias(c)
+    screen = [screen_dimension(F.col(c)).alias(c) if c in rows.columns else F.lit(0).alias(c) for c in ("screen_width", "screen_height")]
+    kind = F.when(F.col("event_type") != "", F.col("event_type")).otherwise("track") if "event_type" in rows.columns else event_type(F.col("event_name"))
+    bags = [F.coalesce(F.col(c), F.lit("{}")).alias(c) for c in ("properties", "user_properties")]
+    return rows.select(text("event_id"), "project_id", "event_name", kind.alias("event_type"), "distinct_id", *map(text, TAKEN), *screen, *bags, F.coalesce(F.col("timestamp"), server).alias("timestamp"), *keep)
+
+
 def ip_number(ip: Column) -> Column:
     """IPv4 address as a number, null for other texts."""
     parts = F.split(ip, r"\.")
@@ -116,11 +173,11 @@ def with_country(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def rate_buckets(rows: DataFrame, limit: int = RATE) -> DataFrame:
     """project_id, window_start, n, over: events by sliding windows of a minute, moved on by ten seconds."""
-    counts = rows.groupBy("project_id", F.window(F.col("ts").cast("timestamp"), f"{RATE_SECONDS} seconds", f"{RATE_SLIDE} seconds").alias("w")).agg(F.count("*").alias("n"))
-    return counts.select("project_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", (F.col("n") > limit).alias("over"))
+    counts = rows.groupBy("project_id", F.window("ts", f"{RATE_SECONDS} seconds", f"{RATE_SLIDE} seconds").alias("w")).agg(F.count("*").alias("n"))
+    return counts.select("project_id", F.col("w.start").cast("string").alias("window_start"), "n", (F.col("n") > limit).alias("over"))
 
 
 def over_quota(rows: DataFrame, plans: DataFrame) -> DataFrame:
     """project_id, month, n of projects over their plan's monthly events (null: no limit)."""
-    counts = rows.groupBy("project_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("project_id", month(F.col("ts")).alias("month")).agg(F.count("*").alias("n"))
     return counts.join(plans, "project_id").where("events_limit is not null and n > events_limit").select("project_id", "month", "n")

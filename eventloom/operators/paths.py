@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
 from eventloom.functions.filters import all_of
-from eventloom.functions.values import compact, history
+from eventloom.functions.values import history
 
 TOP_PATHS = 20
 
@@ -51,8 +51,12 @@ def person_paths(events: DataFrame, spec: PathSpec) -> DataFrame:
     if spec.start_event:
         began = events.where(inside & (F.col("event_name") == spec.start_event)).select("person_id").distinct()
         rows = rows.join(began, "person_id", "left_semi")
-    rows = rows.withColumn("name", cleaned(spec)).groupBy("person_id").agg(history("ms", "event_id", "name").alias("h"))
-    rows = rows.select("person_id", F.slice(compact(F.transform("h", lambda e: e["name"])), 1, spec.step_limit).alias("path")).where(F.size("path") >= 2)
+    by = Window.partitionBy("person_id").orderBy("ms", "event_id")
+    rows = rows.select("person_id", "ms", "event_id", cleaned(spec).alias("name")).withColumn("before", F.lag("name").over(by))
+    #: Only the first steps of a person are ever held together, however many events there are; the windows spill.
+    rows = rows.where(~F.col("name").eqNullSafe(F.col("before"))).withColumn("place", F.row_number().over(by)).where(F.col("place") <= spec.step_limit)
+    rows = rows.groupBy("person_id").agg(history("place", "name").alias("h"))
+    rows = rows.select("person_id", F.transform("h", lambda e: e["name"]).alias("path")).where(F.size("path") >= 2)
     if spec.start_event:
         at = F.array_position("path", spec.start_event)
         rows = rows.where(at > 0).withColumn("path", F.slice("path", F.greatest(at, F.lit(1)).cast("int"), F.size("path"))).where(F.size("path") >= 2)

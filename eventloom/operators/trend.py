@@ -80,15 +80,21 @@ def first_events(events: DataFrame, spec: TrendSpec, keep_filters: bool) -> Data
     """person_id, ts, breakdown, series of persons whose first matching event is in the range and who have none before it.
 
     The look into the past leaves the series' filters out unless ``keep_filters`` says otherwise."""
-    out = None
+    value = Property(spec.breakdown).text if spec.breakdown else F.lit("")
+    start, end = (T.literal(T.moment(x, e, spec.tz)) for x, e in ((spec.date_from, False), (spec.date_to, True)))
+    rows, names = events.where(F.col("ts") <= end), sorted({n for s in spec.series for n in s.names})
+    if all(s.names for s in spec.series):
+        rows = rows.where(F.col("event_name").isin(*names))
+    seen = []
     for k, s in enumerate(spec.series):
-        value = Property(spec.breakdown).text if spec.breakdown else F.lit("")
-        inside = events.where(matches(s.names, s.filters) & T.in_range(spec.date_from, spec.date_to, spec.tz))
-        first = inside.groupBy("person_id").agg(F.min("ts").alias("ts"), F.min_by(value, F.struct("ts", "event_id")).alias("breakdown"))
-        past = events.where(matches(s.names, s.filters if keep_filters else ())).where(F.col("ts") < T.literal(T.moment(spec.date_from, False, spec.tz)))
-        rows = first.join(past.select("person_id"), "person_id", "left_anti").withColumn("series", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("event_id", F.lit(0)).withColumn("number", F.lit(0.0))
+        inside = matches(s.names, s.filters) & (F.col("ts") >= start)
+        past = matches(s.names, s.filters if keep_filters else ()) & (F.col("ts") < start)
+        seen += [F.min(F.when(inside, F.struct("ts", "event_id", value.alias("breakdown")))).alias(f"first{k}"), F.max(past).alias(f"past{k}")]
+    #: One scan and one row a person for all series.
+    rows = rows.groupBy("person_id").agg(*seen)
+    own = [F.when(~F.col(f"past{k}") & F.col(f"first{k}").isNotNull(), F.struct(F.lit(k).alias("series"), F.col(f"first{k}").alias("first"))) for k in range(len(spec.series))]
+    rows = rows.select("person_id", F.explode(F.array_compact(F.array(*own))).alias("x"))
+    return rows.select("person_id", F.col("x.first.ts").alias("ts"), F.col("x.first.breakdown").alias("breakdown"), F.col("x.series").alias("series"), F.lit(0).alias("event_id"), F.lit(0.0).alias("number"))
 
 
 def trend(events: DataFrame, spec: TrendSpec) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
-from eventloom.functions.values import half_up, percent
+from eventloom.functions.values import Property, half_up, percent
 
 #: A session with one page view and less than this is a bounce.
 BOUNCE_SECONDS, TOP, PAGE_VIEW = 10, 20, "view"
+#: Dimensions of page views by name: columns, and properties of campaigns.
+DIMENSIONS = {c: c for c in ("referrer", "country", "region", "city", "device_type", "browser", "os")} | {c: f"properties.{c}" for c in ("utm_source", "utm_medium", "utm_campaign")}
 
 
 def sessions(events: DataFrame, date_from: str, date_to: str, tz: str = "UTC", page_view: str = PAGE_VIEW) -> DataFrame:
@@ -53,3 +55,10 @@ def top_pages(events: DataFrame, date_from: str, date_to: str, tz: str = "UTC",
     rows = events.where(T.in_range(date_from, date_to, tz) & (F.col("event_name") == page_view) & (F.col("page_path") != ""))
     counts = rows.groupBy(F.col("page_path").alias("value")).agg(F.count_distinct("person_id").alias("visitors"), F.count("*").alias("pageviews"))
     return counts.orderBy(F.desc("pageviews"), "value").limit(TOP)
+
+
+def top_dimension(events: DataFrame, dimension: str, date_from: str, date_to: str, tz: str = "UTC", page_view: str = PAGE_VIEW) -> DataFrame:
+    """value, visitors, pageviews of the largest values that page views have in a dimension; empty ones are left out."""
+    rows = events.where(T.in_range(date_from, date_to, tz) & (F.col("event_name") == page_view)).select("person_id", Property(DIMENSIONS[dimension]).text.alias("value"))
+    counts = rows.where("value <> ''").groupBy("value").agg(F.count_distinct("person_id").alias("visitors"), F.count("*").alias("pageviews"))
+    return counts.orderBy(F.desc("visitors"), "value").limit(TOP)

@@ -8,13 +8,14 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from eventloom.functions.filters import Filter
+from eventloom.functions.timeutil import bucket
 from eventloom.operators import cohorts as C
 from eventloom.operators import funnel as U
 from eventloom.operators import paths as P
 from eventloom.operators import web as W
 from eventloom.plans.insights import _MEMBERS, FROM, IN, TO, members
-from eventloom.plans.registry import query
-from eventloom.sources import model as M
+from eventloom.plans.registry import MODEL, query
+from eventloom.plans import fixtures as M
 
 HOUR = 3_600_000
 STEPS = (U.Step(("signup",)), U.Step(("view",)), U.Step(("purchase",)))
@@ -61,7 +62,17 @@ cov as (select a.person_id, a.ms, a.s as own, count(distinct b.s) as n from e a
 lv as (select person_id, max(n) as max_step from cov group by person_id)"""
 UNORDERED = replace(FUNNEL, mode="unordered")
 _funnel("funnel_unordered", _COVER + _counts(3), UNORDERED)
-_funnel("funnel_strict", None, replace(FUNNEL, mode="strict", window=3, window_unit="day"))
+_STRICT_ON = f"s.level > 0 and o.m = s.level and o.ms <= s.begin + {3 * 24 * HOUR}"
+_STRICT = f""", od as (select person_id, ms, row_number() over (partition by person_id order by ms, event_id) as rn, case event_name when 'signup' then 0 when 'view' then 1 when 'purchase' then 2 else -1 end as m
+  from ev where {IN} and person_id in (select person_id from ev where {IN} and event_name in ('signup', 'view', 'purchase'))),
+st as (select distinct person_id, 0::bigint as rn, 0 as level, 0::bigint as begin, false as done from od
+  union all
+  select o.person_id, o.rn, case when s.done or s.level >= 3 then s.level when {_STRICT_ON} then s.level + 1 when o.m = 0 and s.level <= 1 then 1 else s.level end,
+    case when s.done or s.level >= 3 or ({_STRICT_ON}) then s.begin when o.m = 0 and s.level <= 1 then o.ms else s.begin end,
+    case when s.done or s.level >= 3 then s.done when {_STRICT_ON} then false when o.m = 0 and s.level <= 1 then false when s.level = 0 then s.done else true end
+  from st s join od o on o.person_id = s.person_id and o.rn = s.rn + 1),
+lv as (select person_id, max_by(level, rn) as max_step from st group by person_id)"""
+_funnel("funnel_strict", "--bare " + MODEL.replace("with ov", "with recursive ov") + _STRICT + _counts(3), replace(FUNNEL, mode="strict", window=3, window_unit="day"))
 _funnel("funnel_sampled", None, replace(FUNNEL, sampling=0.25))
 _EXCLUDED = f""", f as (select person_id, ms from ev where event_name = 'signup' and {IN}), t as (select person_id, ms from ev where event_name = 'view' and {IN}), x as (select person_id, ms from ev where event_name = 'error' and {IN}),
 pr as (select f.person_id, exists (select 1 from x where x.person_id = f.person_id and x.ms > f.ms and x.ms < t.ms) as bad from f join t on f.person_id = t.person_id and t.ms > f.ms and t.ms <= f.ms + {6 * HOUR}),
@@ -74,6 +85,12 @@ _funnel(
 _BREAK = _chain(_E, 6 * HOUR, more="device_type").replace("lv as (select", "lv0 as (select")
 
 
+@query(_chain(_E, 6 * HOUR) + _counts(3))
+def funnel_aggregate_steps(spark, sf):
+    """The steps of all groups together are those of the funnel without a breakdown, if all groups are shown."""
+    return U.aggregate_steps(U.funnel_breakdown(M.events(spark, sf), replace(FUNNEL, breakdown="device_type")), 3)
+
+
 @query(_BREAK + ", fv as (select person_id, min_by(b, (ms, event_id)) as breakdown from e where event_name = 'signup' group by 1), fs as (select person_id, max_step, coalesce(breakdown, '(none)') as breakdown from lv0 left join fv using (person_id)), ns as (select distinct person_id, 0 as max_step, '(none)' as breakdown from e where event_name in ('view', 'purchase') and person_id not in (select person_id from lv0)), lv as (select * from fs union all select * from ns)" + _counts(3, "breakdown"))
 def funnel_breakdown(spark, sf):
     return U.funnel_breakdown(M.events(spark, sf), replace(FUNNEL, breakdown="device_type"))
@@ -225,6 +242,25 @@ def web_top_pages(spark, sf):
     return W.top_pages(M.events(spark, sf), FROM, TO)
 
 
+def _placed(spark, sf):
+    """Events with places of the user, and with properties that name a campaign."""
+    rows = M.with_geography(spark, sf, M.events(spark, sf)).withColumn("city", F.when(F.col("user_id") % 6 > 0, F.concat(F.lit("c"), (F.col("user_id") % 6).cast("string"))).otherwise(""))
+    bag = F.format_string('{"utm_source": "s%d", "utm_medium": "%s", "utm_campaign": null}', F.col("event_id") % 3, F.when(F.col("event_id") % 4 == 0, "").otherwise("mail"))
+    return rows.withColumn("properties", F.when(F.col("event_id") % 5 > 0, bag).otherwise(F.lit("{}")))
+
+
+def _dimension(name: str, dimension: str, value: str) -> None:
+    sql = f", d as (select person_id, {value} as value from ev join nation n on ev.user_id % 25 = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey where event_name = 'view' and {IN}) select value, count(distinct person_id) as visitors, count(*) as pageviews from d where value <> '' group by 1 order by 2 desc, 1 limit 20"
+    query(sql, name)(lambda spark, sf: W.top_dimension(_placed(spark, sf), dimension, FROM, TO))
+
+
+_dimension("web_regions", "region", "r_name")
+_dimension("web_cities", "city", "case when user_id % 6 > 0 then 'c' || (user_id % 6) else '' end")
+_dimension("web_utm_sources", "utm_source", "case when event_id % 5 > 0 then 's' || (event_id % 3) else '' end")
+_dimension("web_utm_mediums", "utm_medium", "case when event_id % 5 > 0 and event_id % 4 > 0 then 'mail' else '' end")
+_dimension("web_utm_campaigns", "utm_campaign", "''")
+
+
 @query(_web_sql().replace("min(user_id) as user_id", "min_by(n.n_name, (ts, event_id)) as country").replace("from ev where", "from ev join nation n on ev.user_id % 25 = n.n_nationkey where") + " select country as value, count(distinct person_id) as visitors, sum(pageviews)::bigint as pageviews from s group by 1 order by 2 desc, 1 limit 20")
 def web_geography(spark, sf):
     return W.top_by(W.sessions(M.with_geography(spark, sf, M.events(spark, sf)), FROM, TO), "country")
@@ -294,6 +330,36 @@ def cohort_materialized_sizes(spark, sf):
 
 @query("select 'c_dynamic' as cohort_id, strftime(ts, '%Y-%m-%d') as \"date\", max_by(n, ts) as n_persons from (select date_trunc('hour', ts) as ts, count(distinct user_id) as n from ev where ts >= timestamp '2024-01-10' group by 1) group by 2")
 def cohort_size_history(spark, sf):
-    hours = M.events(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("recorded_at")).agg(F.count_distinct("user_id").alias("count"))
+    hours = M.events(spark, sf).groupBy(bucket(F.col("ts"), "hour").alias("recorded_at")).agg(F.count_distinct("user_id").alias("count"))
     rows = hours.select(F.lit("c_dynamic").alias("cohort_id"), F.to_date("recorded_at").alias("date"), "count", "recorded_at")
-    return C.size_history(rows, "2024-01-10").select("cohort_id", F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("count").alias("n_persons"))
+    return C.size_history(rows, "2024-01-10").select("cohort_id", F.col("date").cast("string").alias("date"), F.col("count").alias("n_persons"))
+
+
+_STATIC = "select cast(user_id as varchar) as person_id from events where user_id % 4 = 0"
+
+
+@query(f"--bare select 'c_static' as cohort_id, person_id from (({_STATIC}) union (select cast(user_id as varchar) from events where user_id % 9 = 1)) where cast(person_id as int) % 8 <> 0 union select 'copy', person_id from ({_STATIC})")
+def cohort_static_members(spark, sf):
+    """A static cohort after adding persons, removing others, and a copy of what it was."""
+    users = M.read(spark, sf, "events").select(F.col("user_id").cast("string").alias("person_id"), "user_id").distinct()
+    before = M.static_members(spark, sf)
+    now = C.add_members(before, "c_static", users.where("user_id % 9 = 1").select("person_id"))
+    now = C.remove_members(now, "c_static", users.where("user_id % 8 = 0").select("person_id"))
+    return now.unionByName(C.duplicate_as_static(before, "c_static", "copy"))
+
+
+@query(f", r as (select 'inline' as kind, person_id from ({_COUNT}) union select 'static', person_id from ({_STATIC}) union select 'computed', cast(user_id as varchar) from events where user_id % 7 < 3) select kind, count(distinct person_id) as n_persons from r group by 1")
+def cohort_routing(spark, sf):
+    c, static, computed = context(spark, sf), M.static_members(spark, sf), M.materialized_members(spark, sf)
+    kinds = {"inline": {"cohort_id": "x", "definition": EVENT}, "static": {"cohort_id": "c_static", "is_static": True}, "computed": {"cohort_id": "c_dynamic", "materialized": True}}
+    parts = [C.members_of(c, cohort, static, computed).select(F.lit(kind).alias("kind"), "person_id") for kind, cohort in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count_distinct("person_id").alias("n_persons"))
+
+
+@query(f"--bare select 'known' as case_, count(distinct user_id) as n from events where user_id % 4 = 0 union all select 'none known', count(distinct user_id) from events where user_id % 4 = 0")
+def cohort_drop_orphans(spark, sf):
+    members = M.static_members(spark, sf)
+    more = members.unionByName(members.select(F.lit("gone").alias("cohort_id"), "person_id"))
+    known = members.select("cohort_id").distinct()
+    left, all_ = C.drop_orphans(more, known), C.drop_orphans(members, known.where("false"))
+    return left.select(F.lit("known").alias("case_")).unionByName(all_.select(F.lit("none known").alias("case_"))).groupBy("case_").agg(F.count("*").alias("n"))

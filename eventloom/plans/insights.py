@@ -10,7 +10,7 @@ from eventloom.functions.filters import OPERATORS, Filter, condition
 from eventloom.operators import retention as R
 from eventloom.operators import trend as T
 from eventloom.plans.registry import query
-from eventloom.sources import model as M
+from eventloom.plans import fixtures as M
 
 FROM, TO = "2024-01-05", "2024-01-25"
 IN = "ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-25 23:59:59'"

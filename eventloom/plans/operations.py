@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from eventloom.operators import trend as T
 from eventloom.plans.behaviour import _E, _chain, FUNNEL, HOUR, UNORDERED, _COVER
 from eventloom.plans.insights import _RECUR, _life_sql, _retention_sql, DAYS, FROM, IN, LIFE, TO, VIEW
 from eventloom.plans.registry import query
-from eventloom.sources import model as M
+from eventloom.plans import fixtures as M
+from eventloom.sources import files, model
 
 
 # Drill-downs
@@ -61,7 +62,7 @@ def person_list(spark, sf):
 
 @query("select event_id, event_name from ev where person_id = '11' or raw_person_id = '11'")
 def person_events(spark, sf):
-    return D.person_events(M.events(spark, sf), "11").select("event_id", "event_name")
+    return D.person_events(M.raw_events(spark, sf), model.latest_overrides(M.overrides(spark, sf)), "11").select("event_id", "event_name")
 
 
 @query("--bare select distinct c as cohort_id from (select case when user_id % 4 = 0 then 'c_static' end as c from events where user_id = 8 union select case when user_id % 7 < 3 then 'c_dynamic' end from events where user_id = 8) where c is not null")
@@ -89,10 +90,80 @@ def event_list_topn(spark, sf):
     return D.event_list(M.events(spark, sf), (Filter("properties.k", "gt", "10"),), "2024-01-20", "2024-01-20").select("event_id", "event_name", "person_id")
 
 
-@query("select event_id, event_name from ev where event_id = 5 and ts between timestamp '2024-01-01 00:10:00' and timestamp '2024-01-01 00:40:00'")
+@query("select event_id, event_name from ev where event_id = 5 and ts between timestamp '2024-01-01 00:10:00' and timestamp '2024-01-01 00:20:00'")
 def event_detail(spark, sf):
-    rows = M.events(spark, sf)
-    return rows.where((F.col("event_id") == 5) & (F.col("ts") >= F.expr("timestamp_ntz'2024-01-01 00:10:00'")) & (F.col("ts") <= F.expr("timestamp_ntz'2024-01-01 00:40:00'"))).select("event_id", "event_name")
+    return D.event_detail(M.events(spark, sf), 5, "2024-01-01 00:15:00").select("event_id", "event_name")
+
+
+_PEOPLE = """, p as (select person_id, max_by(segment, (ts, event_id)) as segment, max(ts) as updated_at from ev group by 1), i as (select person_id, string_agg(distinct distinct_id, ',' order by distinct_id) as ids from ev group by 1)"""
+
+
+def _shown(rows, *more):
+    return rows.select("person_id", F.get_json_object("properties", "$.segment").alias("segment"), F.array_join("distinct_ids", ",").alias("ids"), *more)
+
+
+@query(_PEOPLE + " select person_id, segment, ids from p join i using (person_id) where person_id = '11'")
+def person_by_id(spark, sf):
+    return _shown(D.person_by_id(M.persons(spark, sf), M.distinct_ids(spark, sf), "11"))
+
+
+@query(_PEOPLE + " select person_id, segment, ids, case person_id when '42' then 0 when '11' then 1 else 3 end as place from p join i using (person_id) where person_id in ('42', '11', '7')")
+def persons_by_ids(spark, sf):
+    return _shown(D.persons_by_ids(M.persons(spark, sf), M.distinct_ids(spark, sf), ["42", "11", "nobody", "7", "11"]), "place")
+
+
+@query(_PEOPLE + " select person_id, segment, ids, (select count(*) from p where segment = 's1') as total from p join i using (person_id) where segment = 's1' order by updated_at desc, person_id limit 10 offset 5")
+def person_page(spark, sf):
+    return _shown(D.person_page(M.persons(spark, sf), M.distinct_ids(spark, sf), (Filter("properties.segment", "eq", "s1"),), limit=10, offset=5), "total")
+
+
+def _known(spark, sf):
+    """Definitions as a catalog has them: those of three events, edited before."""
+    rows = D.event_definitions(M.events(spark, sf)).where("event_name in ('view', 'click', 'signup')")
+    return rows.select("event_name", F.lit("2024-01-05 00:00:00").alias("last_seen"), F.when(F.col("event_name") == "view", "seen").alias("description"), F.lit(True).alias("verified"))
+
+
+_KNOWN = ", kn as (select distinct event_name, '2024-01-05 00:00:00' as last_seen, case when event_name = 'view' then 'seen' end as description, true as verified from ev where event_name in ('view', 'click', 'signup'))"
+
+
+@query(_KNOWN + " select event_name, description, (select count(*) from kn where contains(event_name, 'i')) as total from kn where contains(event_name, 'i') order by event_name desc limit 2")
+def definition_list(spark, sf):
+    return D.definition_list(_known(spark, sf), "I", order="event_name", limit=2).select("event_name", "description", "total")
+
+
+@query("--bare select * from (values ('view', 'seen', false), ('click', 'pressed', true), ('signup', null, true), ('new', 'not yet', false)) t(event_name, description, verified)")
+def definition_upsert(spark, sf):
+    changes = spark.createDataFrame([("view", None, False), ("click", "pressed", None), ("new", "not yet", None)], "event_name string, description string, verified boolean")
+    return D.upsert_definitions(_known(spark, sf), changes, ["event_name"]).select("event_name", "description", "verified")
+
+
+@query(_KNOWN + " select event_name from kn where event_name <> 'click'")
+def definition_delete(spark, sf):
+    return D.delete_definitions(_known(spark, sf), spark.createDataFrame([("click",), ("unknown",)], "event_name string"), ["event_name"]).select("event_name")
+
+
+@query(_KNOWN + ", sn as (select event_name, strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H:%M:%S') as last_seen from ev group by 1) select event_name, greatest(kn.last_seen, sn.last_seen) as last_seen, description, verified from kn full join sn using (event_name)")
+def catalog_merge(spark, sf):
+    return D.merged_catalog(_known(spark, sf), D.event_definitions(M.events(spark, sf)).drop("n_events"), ["event_name"])
+
+
+#: Names and JSON values whose types are asked for.
+_NAMED = ("load_time", "features_used", "utm_source", "created_at", "$feature/x", "plan", "$survey_response_1", "birthdate", "$feature_flag_response")
+_VALUES = ("3.2", '"2024-01-15"', '"15/01/2024 10:00:00"', "true", '"TRUE"', '" 12 "', '"x"', '{"a": 1}', "null", "1706000000", "1306000000", '""', '"1e5"', '"2024-01-15 noon"')
+
+
+@query(
+    f"""--bare with n as (select unnest([{", ".join(repr(x) for x in _NAMED)}]) as name), v as (select unnest([{", ".join("'" + x + "'" for x in _VALUES)}]) as value),
+x as (select name, value, json_type(value) as kind, json_extract_string(value, '$') as s from n cross join v),
+y as (select *, kind in ('UBIGINT', 'BIGINT', 'DOUBLE') as numeric, kind = 'VARCHAR' and (regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]') or regexp_matches(trim(s), '^([0-9]{{4}}[/-][0-2][0-9][/-][0-3][0-9]|[0-2][0-9][/-][0-3][0-9][/-][0-9]{{4}})([ T][0-2][0-9]:[0-6][0-9]:[0-6][0-9].*)?$')) as dated from x)
+select name, value, case when name similar to 'utm_.*|[$]feature/.*|[$]feature_flag_response|[$]survey_response.*' then 'String' when kind in ('OBJECT', 'NULL') then null
+  when name similar to '.*(time|date|_at).*' and (dated or numeric and cast(s as double) between 1706745600 - 15768000 and 1706745600 + 315360000) then 'DateTime'
+  when kind = 'BOOLEAN' then 'Boolean' when numeric then 'Numeric' when trim(s) in ('true', 'TRUE', 'false', 'FALSE') then 'Boolean' when dated then 'DateTime' when try_cast(trim(s) as double) is not null then 'Numeric' else 'String' end as value_type from y"""
+)
+def value_type_inference(spark, sf):
+    rows = spark.createDataFrame([(n, v) for n in _NAMED for v in _VALUES], "name string, value string").withColumn("v", F.parse_json("value"))
+    kind = D.value_type(F.col("name"), F.try_variant_get("v", "$", "string"), F.schema_of_variant("v"), datetime(2024, 2, 1))
+    return rows.select("name", "value", kind.alias("value_type"))
 
 
 @query("select event_name, count(*) as n_events, strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H:%M:%S') as last_seen from ev group by 1")
@@ -118,7 +189,7 @@ def resolve_person(spark, sf):
 @query("select user_id, event_name, event_id, value from (select *, row_number() over (partition by user_id, event_name order by ts desc, event_id desc) as n from ev) where n = 1")
 def dedup_events_latest(spark, sf):
     rows = M.raw_events(spark, sf).select("user_id", "event_name", F.struct("ts", "event_id").alias("version"), "event_id", "value")
-    return M.dedup_latest(rows, ["user_id", "event_name"], "version").select("user_id", "event_name", "event_id", "value")
+    return model.dedup_latest(rows, ["user_id", "event_name"], "version").select("user_id", "event_name", "event_id", "value")
 
 
 @query(
@@ -134,20 +205,40 @@ def person_properties_fold(spark, sf):
     return I.person_properties(changes)
 
 
+@query(
+    """--bare with e as (select event_id, event_id % 4 as q, 'v' || (event_id % 11) as v from events)
+select event_id, 'top' as name, v as value, 'set' as kind from e union all select event_id, 'both', 't' || v, 'set' from e union all select event_id, 'given', v, 'set' from e where q = 1
+union all select event_id, 'first', '7', 'set_once' from e where q = 2 union all select event_id, x, null, 'unset' from e cross join (select unnest(['old', '$ip']) as x) where q = 3"""
+)
+def person_property_changes(spark, sf):
+    v = F.concat(F.lit("v"), (F.col("event_id") % 11).cast("string"))
+    more = F.when(F.col("event_id") % 4 == 1, F.format_string(', "$set": {"given": "%s", "both": "lost", "$browser": "x"}', v)).when(F.col("event_id") % 4 == 2, F.lit(', "$set_once": {"first": 7, "$os": "y"}'))
+    more = more.when(F.col("event_id") % 4 == 3, F.lit(', "$unset": ["old", "$ip"]')).otherwise(F.lit(', "$ip": "z"'))
+    bag = F.concat(F.format_string('{"top": "%s", "both": "t%s"', v, v), more, F.lit("}"))
+    return I.property_changes(M.raw_events(spark, sf).select("event_id", bag.alias("user_properties")), "event_id")
+
+
+@query("--bare select event_id, 'track' as event_type, '' as session_id, case when event_id % 3 = 0 then 1024 when event_id % 3 = 1 then 800 else 0 end::bigint as screen_width, '{}' as properties from events")
+def field_mapping(spark, sf):
+    width = F.when(F.col("event_id") % 3 == 0, "1024px").when(F.col("event_id") % 3 == 1, "800").otherwise("-5")
+    rows = M.raw_events(spark, sf).select("event_id", "project_id", "event_name", F.lit("").alias("event_type"), "distinct_id", F.lit(None).cast("string").alias("session_id"), width.alias("screen_width"), F.lit(None).cast("string").alias("properties"), "user_properties", F.lit(None).cast("string").alias("timestamp"))
+    return I.mapped_fields(rows, F.lit("now")).select(F.col("event_id").cast("long").alias("event_id"), "event_type", "session_id", "screen_width", "properties")
+
+
 @query(
     """--bare with p as (select distinct cast(user_id as varchar) as person_id, 'plan' as name, cast(user_id as varchar) as value from events)
 select person_id, name, min_by(value, (f, origin)) as value from (select case when cast(person_id as int) % 10 = 0 then cast(cast(person_id as int) + 1 as varchar) else person_id end as person_id, name, value, cast(person_id as int) % 10 = 0 as f, person_id as origin from p) group by 1, 2"""
 )
 def person_merge(spark, sf):
     people = M.raw_events(spark, sf).select("person_id", F.lit("plan").alias("name"), F.col("person_id").alias("value")).distinct()
-    moves = M.latest_overrides(M.overrides(spark, sf)).select(F.col("distinct_id").alias("from_id"), F.col("person_id").alias("to_id"))
+    moves = model.latest_overrides(M.overrides(spark, sf)).select(F.col("distinct_id").alias("from_id"), F.col("person_id").alias("to_id"))
     return I.merged_properties(people, moves)
 
 
-@query("--bare select event_id, case when event_type = 'error' then 'invalid_event' when user_id % 20 = 0 then 'illegal_distinct_id' end as problem from events")
+@query("--bare select event_id, case when event_type = 'error' then 'invalid_event' when user_id % 20 = 0 or user_id % 20 = 1 then 'illegal_distinct_id' end as problem from events")
 def validate_events(spark, sf):
     rows = M.raw_events(spark, sf).withColumn("event_name", F.when(F.col("event_name") == "error", " ").otherwise(F.col("event_name")))
-    rows = rows.withColumn("distinct_id", F.when(F.col("user_id") % 20 == 0, "Anonymous").otherwise(F.col("distinct_id")))
+    rows = rows.withColumn("distinct_id", F.when(F.col("user_id") % 20 == 0, "Anonymous").when(F.col("user_id") % 20 == 1, " [object Object]").when(F.col("user_id") % 20 == 2, "email").otherwise(F.col("distinct_id")))
     return I.validated(rows).select("event_id", "problem")
 
 
@@ -168,11 +259,11 @@ def clock_skew(spark, sf):
     return M.raw_events(spark, sf).select("event_id", I.corrected_ms(F.col("ms") + 500, sent, F.col("ms") + late).alias("ms"))
 
 
-@query("--bare select distinct event_type as event_name, case event_type when 'view' then 'pageview' else 'track' end as event_type from events")
+@query("--bare with n as (select event_id, ['$identify', '$pageview', '$pageleave', '$set', '$set_once', '$screen', '$other', 'view'][(event_id % 8 + 1)::int] as event_name from events) select event_id, event_name, case when event_name in ('$other', 'view') then 'track' else event_name[2:] end as event_type from n")
 def event_types(spark, sf):
-    rows = M.raw_events(spark, sf).select("event_name").distinct()
-    name = F.when(F.col("event_name") == "view", "$pageview").otherwise(F.col("event_name"))
-    return rows.select("event_name", I.event_type(name).alias("event_type"))
+    names = F.array(*[F.lit(n) for n in (*I.TYPES, "$other", "view")])
+    rows = M.raw_events(spark, sf).select("event_id", F.get(names, (F.col("event_id") % 8).cast("int")).alias("event_name"))
+    return rows.select("event_id", "event_name", I.event_type(F.col("event_name")).alias("event_type"))
 
 
 @query(
@@ -213,19 +304,37 @@ def quota_over_limit(spark, sf):
     return I.over_quota(rows, rows.select("project_id").distinct().withColumn("events_limit", F.lit(65)))
 
 
-@query()
+@query("--bare select event_type as event_name, count(*) as n from events where user_id <> 0 group by 1")
 def stream_ingest(spark, sf):
-    """File stream of the events as JSON lines through the whole ingest job; events by name as the result."""
+    """File stream of the events as JSON lines through the whole ingest job; events by name as the result. User 0 is nobody."""
     from eventloom.streaming.ingest import start
 
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{top.rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}" if top else tempfile.mkdtemp(prefix="eventloom-")
-    rows = M.raw_events(spark, sf)
-    rows.select("project_id", F.col("event_id").cast("string"), F.col("event_name").alias("event"), "distinct_id", "properties", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")).write.json(f"{folder}/in")
-    start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    folder, rows = M.scratch(spark, "stream"), M.raw_events(spark, sf)
+    time = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z")).alias("timestamp")
+    rows.select("project_id", F.col("event_id").cast("string"), F.col("event_name").alias("event"), "distinct_id", "properties", time).write.json(f"{folder}/in")
+    start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", imported=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out/events").groupBy("event_name").agg(F.count("*").alias("n"))
 
 
+@query("--bare with e as (select event_id, cast(user_id as varchar) as d, user_id from events where user_id <> 0) select event_id, case when user_id % 5 = 1 then 'moved' else 'own' end as person from e")
+def stream_identity(spark, sf):
+    """Two runs of the job: the first has an identify event for every fifth user, the second that user's events, which are the other person's."""
+    from eventloom.streaming.ingest import start
+
+    folder, rows = M.scratch(spark, "stream"), M.raw_events(spark, sf).where("user_id <> 0")
+    other = F.concat(F.lit("account-"), "distinct_id")
+    some = rows.where("user_id % 5 = 1").select("project_id", "distinct_id").distinct()
+    asked = some.select("project_id", F.concat(F.lit("i"), "distinct_id").alias("event_id"), F.lit("$identify").alias("event"), other.alias("distinct_id"), F.col("distinct_id").alias("anonymous_id"))
+    told = rows.select("project_id", F.col("event_id").cast("string"), F.col("event_name").alias("event"), "distinct_id", F.lit(None).cast("string").alias("anonymous_id"))
+    for part in (asked, told):
+        part.write.mode("append").json(f"{folder}/in")
+        start(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{folder}/out/events").where("event_name <> '$identify'")
+    own = lambda d: I.person_id(F.col("project_id"), d)
+    person = F.when(F.col("person_id") == own(F.col("distinct_id")), "own").when(F.col("person_id") == own(other), "moved").otherwise("wrong")
+    return got.select(F.col("event_id").cast("long").alias("event_id"), person.alias("person"))
+
+
 # Ad-hoc
 @query(f"select count_if(plan = 'pro')::double as value_a, count_if(plan = 'free')::double as value_b, floor((count_if(plan = 'free') - count_if(plan = 'pro')) * 100.0 / count_if(plan = 'pro') * 100.0 + 0.5) / 100.0 as diff_percent from pe where event_name = 'view' and {IN}")
 def segment_compare(spark, sf):
@@ -396,17 +505,15 @@ def distinct_filter(spark, sf):
 
 @query("--bare select event_id, user_id from events where event_id not in (select event_id from events where event_type = 'error')")
 def delete_by_predicate(spark, sf):
-    return M.read(spark, sf, "events").where(~F.coalesce(F.col("event_type") == "error", F.lit(False))).select("event_id", "user_id")
+    target = M.scratch(spark, "deleted")
+    files.delete_where(spark, f"{sf}/events.parquet", target, F.col("event_type") == "error")
+    return spark.read.parquet(target).select("event_id", "user_id")
 
 
 @query("--bare select o_orderkey, o_orderdate::varchar as d from orders where (o_orderdate, o_orderkey) > (timestamp '1996-01-01', 100) order by o_orderdate, o_orderkey limit 50")
 def keyset_page(spark, sf):
-    from datetime import datetime
-
-    from eventloom.sources.files import after
-
-    rows = after(M.read(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'1996-01-01'"), (datetime(1996, 1, 1), 100), ("o_orderdate", "o_orderkey"), 50)
-    return rows.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("d"))
+    rows = files.after(M.read(spark, sf, "orders").where("o_orderdate >= timestamp_ntz'1996-01-01'"), (datetime(1996, 1, 1), 100), ("o_orderdate", "o_orderkey"), 50)
+    return rows.select("o_orderkey", F.col("o_orderdate").cast("string").alias("d"))
 
 
 @query("--bare select count(*) as n from events")

@@ -21,7 +21,7 @@ ev as (
          left(e.props, length(e.props) - 1) || case e.event_id % 5 when 1 then ', "plan": "free", "ok": true}' when 2 then ', "plan": "pro", "ok": false}'
            when 3 then ', "plan": "", "ok": null}' when 4 then ', "plan": "12.5", "seen": "2024-01-15"}' else '}' end as properties,
          's' || (e.user_id % 5) as segment,
-         cast(e.user_id as varchar) || '-' || strftime(e.ts, '%Y-%m-%d') as session_id, '/' || e.event_type as page_path,
+         cast(e.user_id as varchar) || '-' || strftime(e.ts, '%Y-%m-%d') as session_id, '/' || e.event_type || '/' || (e.event_id % 7) as page_path,
          case when e.event_id % 4 = 0 then '' else 'ref' || (e.event_id % 4) end as referrer,
          case e.user_id % 3 when 0 then 'desktop' when 1 then 'mobile' else 'tablet' end as device_type,
          case e.user_id % 3 when 0 then 'chrome' when 1 then 'firefox' else 'safari' end as browser,

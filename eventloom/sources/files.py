@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.functions.timeutil import month
+
 #: An event as clients send it.
-EVENT_SCHEMA = "project_id string, event_id string, event string, distinct_id string, anonymous_id string, properties string, user_properties string, timestamp string, sent_at string, ip string, user_agent string"
+EVENT_SCHEMA = (
+    "project_id string, event_id string, event string, distinct_id string, anonymous_id string, user_id string, properties string, user_properties string, timestamp string, sent_at string, ip string, user_agent string, "
+    "session_id string, url string, referrer string, page_title string, page_path string, device_type string, browser string, browser_version string, os string, os_version string, screen_width string, screen_height string, "
+    "language string, timezone string, sdk_name string, sdk_version string, batch_id string"
+)
 ID_HEADERS = {"distinct_id": "distinct_id", "id": "person_id", "person_id": "person_id", "user_id": "distinct_id", "email": "email", "e-mail": "email"}
 
 
@@ -31,9 +37,11 @@ def read_member_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
 
 
 def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by month, sorted for scans by event name; a month's rows are spread over tasks before they are written."""
-    rows = rows.withColumn("event_month", F.date_format("ts", "yyyy-MM"))
-    rows.repartition("event_month", "event_name").sortWithinPartitions("project_id", "event_name", "ts").write.mode(mode).partitionBy("event_month").parquet(path)
+    """Parquet by month, sorted for scans by event name and time. Rows are dealt by ranges of these, so a month, or a name that
+    most events have, is spread over as many tasks and files as it needs."""
+    order = ["event_month", "event_name", "ts"]
+    rows = rows.withColumn("event_month", month(F.col("ts"))).repartitionByRange(*order)
+    rows.sortWithinPartitions("event_month", "project_id", "event_name", "ts").write.mode(mode).partitionBy("event_month").parquet(path)
 
 
 def drop_expired(rows: DataFrame, as_of: str, days: int = 365) -> DataFrame:
@@ -57,7 +65,20 @@ def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).mode("overwrite").csv(path)
 
 
+def markdown_header(rows: DataFrame) -> str:
+    """The two first lines of a Markdown table."""
+    names = [c.replace("|", "\\|") for c in rows.columns]
+    return f"| {' | '.join(names)} |\n|{' --- |' * len(names)}\n"
+
+
 def export_markdown(rows: DataFrame, path: str) -> None:
-    """Lines of a Markdown table, in files as Spark writes them; the header is the caller's."""
+    """A Markdown table: its header in the first file by name, its lines in the files after it."""
+    names = rows.sparkSession.createDataFrame([(markdown_header(rows).rstrip("\n"),)], "value string")
     cells = [F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in rows.columns]
     rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
+    place = rows.sparkSession._jvm.org.apache.hadoop.fs.Path
+    names.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.header")
+    files = place(path).getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(place(f"{path.rstrip('/')}.header")) if f.getPath().getName().startswith("part-"))
+    files.rename(part, place(f"{path.rstrip('/')}/header-00000.txt"))
+    files.delete(place(f"{path.rstrip('/')}.header"), True)

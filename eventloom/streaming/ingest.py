@@ -4,7 +4,8 @@ Delivery is at least once; the checkpoint remembers what was read, and each micr
 number, so that a repeated batch replaces itself. Repeated events are dropped by (project_id, event_id): a batch is joined
 with the keys of all earlier ones, so no event is dropped for its time, and a repeat is found however late it comes. The
 join reads two columns of what has been written, which grows; it spills, where a stream's state would be held in memory.
-Events without an id get one of their own, and rows with a problem are never compared."""
+Events without an id get one of their own, and rows with a problem are never compared. A distinct id's person is the one that
+an identify event of an earlier batch moved it to, else its own; what a batch moves holds for queries at once, by the overrides."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from eventloom.operators import ingest
 from eventloom.sources.files import EVENT_SCHEMA
+from eventloom.sources.model import OVERRIDES, latest_overrides
 
 FILES_PER_TRIGGER = 100
 
@@ -23,18 +25,18 @@ def source(spark: SparkSession, path: str, files: int = FILES_PER_TRIGGER) -> Da
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).json(path)
 
 
-def prepared(rows: DataFrame) -> DataFrame:
-    """Columns of the model from raw events; rows with a problem keep it."""
+def prepared(rows: DataFrame, imported: bool = False) -> DataFrame:
+    """Columns of the model from raw events; rows with a problem keep it.
+
+    Without sent_at the server's time holds, but an import's own times are taken as they are."""
     ms = lambda c: F.unix_millis(F.col(c).try_cast("timestamp"))
     server = F.unix_millis(F.current_timestamp())
-    rows = rows.withColumnRenamed("event", "event_name").withColumn("properties", F.coalesce("properties", F.lit("{}")))
+    rows = rows.withColumnRenamed("event", "event_name")
     rows = rows.withColumn("event_id", F.when(F.trim("event_id") != "", F.col("event_id")).otherwise(F.uuid()))
-    at = ingest.corrected_ms(server, ms("sent_at"), ms("timestamp"))
-    #: Without sent_at an import's own time holds.
-    at = F.when(F.col("sent_at").isNull() & ms("timestamp").isNotNull(), ms("timestamp")).otherwise(at)
-    rows = rows.withColumn("ms", at).withColumn("time", F.timestamp_millis("ms")).withColumn("problem", ingest.problem())
-    rows = rows.withColumn("event_type", ingest.event_type(F.col("event_name"))).withColumn("person_id", ingest.person_id(F.col("project_id"), F.col("distinct_id")))
-    return rows.select("project_id", "event_id", "event_name", "event_type", "distinct_id", "anonymous_id", "person_id", "ms", "time", "properties", "user_properties", "problem", "ip", *ingest.user_agent(F.coalesce("user_agent", F.lit(""))))
+    at = F.coalesce(ms("timestamp"), server) if imported else ingest.corrected_ms(server, ms("sent_at"), ms("timestamp"))
+    rows = rows.withColumn("ms", at).withColumn("time", F.timestamp_millis("ms")).withColumn("problem", ingest.problem(tuple(c for c in ingest.CONTEXT_LENGTHS if c in rows.columns)))
+    rows = ingest.with_device(rows.withColumn("event_type", ingest.event_type(F.col("event_name"))))
+    return ingest.mapped_fields(rows, F.current_timestamp().cast("string"), "ms", "time", "problem", "ip", "browser", "os", "device_type")
 
 
 def fresh(rows: DataFrame, out: str, number: int) -> DataFrame:
@@ -50,15 +52,41 @@ def fresh(rows: DataFrame, out: str, number: int) -> DataFrame:
     return good.join(written.where(F.col("batch") < number).select(*keys), keys, "left_anti")
 
 
-def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True, files: int = FILES_PER_TRIGGER) -> StreamingQuery:
-    """Events go to ``out``/events, rejected ones to ``out``/warnings, a batch that couldn't be written to ``out``/dead."""
-    rows = prepared(source(spark, path, files))
+def known_persons(spark: SparkSession, out: str, number: int) -> DataFrame | None:
+    """project_id, distinct_id, person_id: where identify events of the batches before have moved distinct ids; None at first."""
+    try:
+        rows = spark.read.schema(OVERRIDES + ", batch long").parquet(f"{out}/overrides")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return latest_overrides(rows.where(F.col("batch") < number))
+
+
+def write_batch(batch: DataFrame, out: str, number: int) -> None:
+    """A batch's rows as files under its number: events with their persons, overrides and property changes that they ask for,
+    and warnings. Writing it again replaces it."""
+    known = known_persons(batch.sparkSession, out, number)
+    good = fresh(batch, out, number)
+    good = good.withColumn("person_id", ingest.person_id(F.col("project_id"), F.col("distinct_id"))) if known is None else ingest.identified(good, known)
+    put = lambda rows, kind: rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch={number}")
+    put(good, "events")
+    #: What follows from the events is made of what was written, so that the ids are the same.
+    stored = batch.sparkSession.read.parquet(f"{out}/events/batch={number}")
+    put(ingest.merges(stored), "overrides")
+    put(ingest.property_changes(stored, "project_id", "person_id", "ms", "event_id"), "changes")
+    put(batch.where("problem is not null").select("project_id", F.col("problem").alias("type"), "event_name", "distinct_id", "ms"), "warnings")
+
+
+def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True, files: int = FILES_PER_TRIGGER, imported: bool = False) -> StreamingQuery:
+    """Events go to ``out``/events, overrides of persons to ``out``/overrides, changes of their properties to ``out``/changes, rejected
+    rows to ``out``/warnings, a batch that couldn't be written to ``out``/dead."""
+    rows = prepared(source(spark, path, files), imported)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            fresh(batch, out, number).write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-            batch.where("problem is not null").select("project_id", F.col("problem").alias("type"), "event_name", "distinct_id").write.mode("overwrite").parquet(f"{out}/warnings/batch={number}")
+            write_batch(batch, out, number)
         except Exception:
             batch.write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
             raise
@@ -69,9 +97,37 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def replay(spark: SparkSession, out: str, number: int) -> DataFrame:
-    """Rows of a batch among the dead letters, to be written again."""
-    return fresh(spark.read.parquet(f"{out}/dead/batch={number}"), out, number)
+def dead_batches(spark: SparkSession, out: str) -> list[int]:
+    """Numbers of the batches among the dead letters."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/dead")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def replay(spark: SparkSession, out: str, most_failures: int = 3) -> list[int]:
+    """Write the dead letters' batches again, the oldest first, and take each away once it is written; their numbers.
+
+    After ``most_failures`` batches in a row that fail again it stops, and what is left stays for another time."""
+    done, failures = [], 0
+    for number in dead_batches(spark, out):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/dead/batch={number}")
+        try:
+            write_batch(spark.read.parquet(place.toString()), out, number)
+        except Exception:  # it stays among the dead letters
+            failures += 1
+            if failures >= most_failures:
+                break
+            continue
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        done.append(number)
+        failures = 0
+    return done
+
+
+def stored_warnings(spark: SparkSession, out: str, limit: int = 100) -> DataFrame:
+    """The newest warnings first."""
+    return spark.read.parquet(f"{out}/warnings").orderBy(F.desc("ms"), "project_id", "type", "distinct_id").limit(limit)
 
 
 def minute_counts(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -112,10 +112,10 @@ def test_average_time_and_histogram(spark):
 
 
 def test_breakdown_keeps_the_empty_value(spark):
-    e = rows(spark, ("p", "A", 0, '{"x": "u"}'), ("p", "B", 1), ("q", "A", 0), ("r", "A", 0, '{"x": "v"}'))
-    got = funnel.funnel_breakdown(e, FunnelSpec(ABC[:2], breakdown="properties.x", breakdown_limit=1, **DAY)).where("step = 1").collect()
-    assert {r["breakdown"]: r["n_persons"] for r in got} == {"u": 1, "(none)": 1}
-    assert funnel.truncated(e, FunnelSpec(ABC[:2], breakdown="properties.x", breakdown_limit=1, **DAY)).first()[0]
+    e = rows(spark, ("p", "A", 0, '{"x": "u"}'), ("p", "B", 1), ("q", "A", 0), ("r", "A", 0, '{"x": "v"}'), ("s", "A", 0, '{"x": "w"}'))
+    got = funnel.funnel_breakdown(e, FunnelSpec(ABC[:2], breakdown="properties.x", breakdown_limit=2, **DAY)).where("step = 1").collect()
+    assert {r["breakdown"]: r["n_persons"] for r in got} == {"u": 1, "v": 1, "(none)": 1}
+    assert funnel.truncated(e, FunnelSpec(ABC[:2], breakdown="properties.x", breakdown_limit=2, **DAY)).first()[0]
 
 
 PROPS = ['{"x": "abc"}', '{"x": 5}', '{"x": true}', '{"x": null}', '{"x": ""}', "{}", "broken", '{"x": "130.9"}', '{"x": "2024-01-15T10:00:00"}', '{"x": {"y": 1}}']
