@@ -215,13 +215,18 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
     Of several rows of the class with that doc_id one stays, the one with the smallest text. A class without any doc_id keeps
     one row, too. A doc_id that stands on texts of several classes may stay in each of them. Columns may have any names."""
-    classes = fingerprint_classes(checkpoint(fingerprints(docs, shingle)), radius)
-    #: Of each class the fingerprints that stand on its smallest doc_id; another row can't be the one that stays.
-    first = classes.where(F.col("first_id").eqNullSafe(F.col("component_id"))).select("fp", "component_id", "class_fp")
+    prints = checkpoint(fingerprints(docs, shingle))
+    classes = fingerprint_classes(prints, radius)
+    #: Of each class the fingerprints that stand on its smallest doc_id: another row can't be the one that stays.
+    first = classes.where(F.col("first_id").eqNullSafe(F.col("component_id"))).select("fp", F.col("component_id").alias("id"), "class_fp")
+    copies = prints.groupBy(F.col("fp").alias("f"), F.col("doc_id").alias("d")).agg(F.count("*").alias("n"))
+    first = first.join(copies, (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("d"))).select("fp", "id", "class_fp", "n")
+    rows_of = first.groupBy("class_fp").agg((F.sum("n") == 1).alias("sole"))
+    first = checkpoint(first.join(rows_of, "class_fp").select(F.col("fp").alias("f"), F.col("id").alias("d"), "class_fp", "sole"))
     rows = with_fingerprints(docs, shingle).select("row", "fp", F.col("row.doc_id").cast("long").alias("id"))
+    #: Whole rows are dealt once, for this join; only those of classes where several could stay are dealt again.
+    met = rows.join(first, (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("d"))).select("row", "class_fp", "sole")
     order = [F.col("row.text"), *(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text"))]
-    #: Repeated rows go before anything is joined, most of them before they are dealt.
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("fp", "id").orderBy(*order))).where("turn = 1")
-    rows = rows.join(first, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("class_fp").orderBy(*order))).where("turn = 1")
-    return rows.select("row.*")
+    turn = F.row_number().over(Window.partitionBy("class_fp").orderBy(*order))
+    several = met.where("not sole").withColumn("turn", turn).where("turn = 1")
+    return met.where("sole").select("row.*").unionByName(several.select("row.*"))
