@@ -11,6 +11,7 @@ from eventloom.functions import timeutil as T
 from eventloom.functions.filters import Filter, all_of, any_of, condition, matches
 from eventloom.functions.values import Property
 from eventloom.operators import funnel, retention
+from eventloom.operators.ingest import NOISY
 from eventloom.operators.trend import TrendSpec
 
 VALUES, EVENTS = 50, 50
@@ -138,6 +139,21 @@ def property_definitions(events: DataFrame, bag: str = "properties", most_length
     return rows.select("event_name", "property_name", "value_type", T.bucket(F.col("t"), "hour").cast("string").alias("last_seen"))
 
 
+def person_property_definitions(events: DataFrame, most_length: int = 200, as_of: datetime | None = None) -> DataFrame:
+    """As ``property_definitions``, of what events say of their persons: keys of user_properties, and those in its $set and $set_once."""
+    bag = F.try_parse_json("user_properties")
+    top = F.map_filter(F.try_variant_get(bag, "$", "map<string,variant>"), lambda k, _: ~k.isin("$set", "$set_once", "$unset"))
+    maps = [top, *[F.try_variant_get(bag, f"$['{k}']", "map<string,variant>") for k in ("$set", "$set_once")]]
+    entries = F.flatten(F.array(*[F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:variant>>")) for m in maps]))
+    pairs = events.select("ts", "event_id", F.explode(entries).alias("x")).select("ts", "event_id", F.col("x.key").alias("property_name"), "x.value")
+    pairs = pairs.where((F.length("property_name") <= most_length) & ~F.col("property_name").isin(*NOISY))
+    kind = value_type(F.col("property_name"), F.try_variant_get("value", "$", "string"), F.schema_of_variant("value"), as_of)
+    pairs = pairs.select("ts", "event_id", "property_name", kind.alias("value_type"))
+    order = F.when(F.col("value_type").isNotNull(), F.struct("ts", "event_id"))
+    rows = pairs.groupBy("property_name").agg(F.min_by("value_type", order).alias("value_type"), F.max("ts").alias("t"))
+    return rows.select("property_name", "value_type", T.bucket(F.col("t"), "hour").cast("string").alias("last_seen"))
+
+
 #: Fixed parts of names by which a property may be a time, and beginnings (and one name) of those that are texts whatever they hold.
 TIME_WORDS = ("time", "timestamp", "date", "_at", "-at", "createdat", "updatedat")
 TEXT_BEGINNINGS, TEXT_NAME = ("utm_", "$initial_utm_", "$feature/", "$survey_response"), "$feature_flag_response"

@@ -120,6 +120,12 @@ def merged_properties(people: DataFrame, moves: DataFrame) -> DataFrame:
     return rows.groupBy("person_id", "name").agg(F.min_by("value", F.struct("foreign", "origin")).alias("value"))
 
 
+def moved_ids(distinct_ids: DataFrame, moves: DataFrame) -> DataFrame:
+    """project_id, distinct_id, person_id after merges (from_id into to_id): all ids of a merged person belong to the other one."""
+    moved = distinct_ids.join(moves.withColumnRenamed("from_id", "person_id"), "person_id", "left")
+    return moved.select("project_id", "distinct_id", F.coalesce("to_id", "person_id").alias("person_id")).distinct()
+
+
 def user_agent(text: Column) -> list[Column]:
     """browser, os, device_type of a user agent by fixed marks; desktop where nothing says otherwise."""
     has = lambda x: F.contains(text, F.lit(x))

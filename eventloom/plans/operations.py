@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.filters import Filter
 from eventloom.functions.values import half_up
 from eventloom.operators import adhoc as A
+from eventloom.operators import cohorts as C
 from eventloom.operators import drilldown as D
 from eventloom.operators import ingest as I
 from eventloom.operators import trend as T
@@ -335,6 +336,69 @@ def stream_identity(spark, sf):
     return got.select(F.col("event_id").cast("long").alias("event_id"), person.alias("person"))
 
 
+# Files
+@query("--bare select event_id, strftime(ts, '%Y-%m') as event_month from events")
+def insert_by_month(spark, sf):
+    folder = M.scratch(spark, "inserted")
+    files.write_events(M.raw_events(spark, sf), folder)
+    return spark.read.parquet(folder).select("event_id", F.col("event_month").cast("string").alias("event_month"))
+
+
+@query("--bare select o_orderkey, o_orderstatus, o_orderpriority from orders")
+def export_csv(spark, sf):
+    folder = M.scratch(spark, "csv")
+    files.export_csv(M.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), folder)
+    return spark.read.csv(folder, header=True, schema="o_orderkey long, o_orderstatus string, o_orderpriority string")
+
+
+@query("--bare select '| ' || p_partkey || ' | ' || replace(p_name, 'e', '\\|') || ' |' as line from part union all select unnest(['| p_partkey | p_name |', '| --- | --- |'])")
+def export_markdown(spark, sf):
+    folder = M.scratch(spark, "markdown")
+    files.export_markdown(M.read(spark, sf, "part").select("p_partkey", F.replace("p_name", F.lit("e"), F.lit("|")).alias("p_name")), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("--bare select 'uploaded' as cohort_id, cast(user_id as varchar) as person_id from events where user_id % 6 = 2 group by all")
+def member_import(spark, sf):
+    """A list of distinct ids as CSV, among them repeated and unknown ones, becomes members of a cohort."""
+    folder = M.scratch(spark, "members")
+    ids = M.read(spark, sf, "events").where("user_id % 6 = 2").select(F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("User_ID"))
+    ids.unionByName(spark.createDataFrame([("nobody",)], "User_ID string")).write.option("header", True).csv(folder)
+    rows, kind = files.read_member_csv(spark, folder)
+    ids = M.raw_events(spark, sf).select("project_id", "person_id", "distinct_id").distinct()
+    return C.import_members(rows, kind, "uploaded", ids, M.persons(spark, sf))
+
+
+@query("--bare select case when event_id % 10 = 0 then 'broken' else event_type end as kind, count(*) as n from events group by 1")
+def http_batch(spark, sf):
+    """Lines of a batch, every tenth of them broken."""
+    folder, rows = M.scratch(spark, "batch"), M.raw_events(spark, sf)
+    line = F.to_json(F.struct("project_id", F.col("event_name").alias("event"), "distinct_id", "properties"))
+    rows.select(F.when(F.col("event_id") % 10 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(folder)
+    back = files.read_batch(spark, folder)
+    return back.groupBy(F.when(F.col("_corrupt").isNotNull(), "broken").otherwise(F.col("event")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("--bare select event_type as event, count(*) as n from events group by 1")
+def http_import(spark, sf):
+    folder, rows = M.scratch(spark, "import"), M.raw_events(spark, sf)
+    rows.select("project_id", F.col("event_name").alias("event"), "distinct_id", F.col("ts").cast("string").alias("timestamp")).write.json(folder)
+    return files.read_import(spark, folder).where("timestamp is not null").groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query("--bare with u as (select distinct user_id from events) select cast(user_id as varchar) as distinct_id, cast(case when user_id % 10 = 0 then user_id + 1 else user_id end as varchar) as person_id from u")
+def person_merge_ids(spark, sf):
+    ids = M.raw_events(spark, sf).select("project_id", "distinct_id", "person_id").distinct()
+    moves = model.latest_overrides(M.overrides(spark, sf)).select(F.col("distinct_id").alias("from_id"), F.col("person_id").alias("to_id"))
+    return I.moved_ids(ids, moves).select("distinct_id", "person_id")
+
+
+@query("select 'segment' as property_name, 'String' as value_type, strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H:%M:%S') as last_seen from ev union all select 'age', 'Numeric', strftime(date_trunc('hour', max(ts)), '%Y-%m-%d %H:%M:%S') from ev where event_id % 3 = 0")
+def person_property_definitions(spark, sf):
+    some = F.when(F.col("event_id") % 3 == 0, F.lit('{"segment": "x", "$browser": "y", "$set": {"age": 5}, "$unset": ["z"]}')).otherwise(F.col("user_properties"))
+    return D.person_property_definitions(M.events(spark, sf).withColumn("user_properties", some))
+
+
 # Ad-hoc
 @query(f"select count_if(plan = 'pro')::double as value_a, count_if(plan = 'free')::double as value_b, floor((count_if(plan = 'free') - count_if(plan = 'pro')) * 100.0 / count_if(plan = 'pro') * 100.0 + 0.5) / 100.0 as diff_percent from pe where event_name = 'view' and {IN}")
 def segment_compare(spark, sf):
