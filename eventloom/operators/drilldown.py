@@ -78,8 +78,8 @@ def person_page(people: DataFrame, distinct_ids: DataFrame, filters: tuple[Filte
     return page(rows, [F.desc("updated_at"), "person_id"], limit, offset).crossJoin(rows.agg(F.count("*").alias("total")))
 
 
-def person_events(raw: DataFrame, overrides: DataFrame, person_id: str) -> DataFrame:
-    """The events of a person by their own id or by the one that their distinct id belongs to now, with both.
+def person_events(raw: DataFrame, overrides: DataFrame, person_id: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The events of a person by their own id or by the one that their distinct id belongs to now, with both; with a limit the newest ones.
 
     The distinct ids that belong to the person are looked up first, a few rows; both conditions reach the scan of the events.
     ``overrides``: project_id, distinct_id, person_id, one row a distinct id."""
@@ -88,7 +88,8 @@ def person_events(raw: DataFrame, overrides: DataFrame, person_id: str) -> DataF
     now = overrides.select("project_id", "distinct_id", F.col("person_id").alias("now_id"))
     rows = rows.withColumnRenamed("person_id", "raw_person_id").join(now, ["project_id", "distinct_id"], "left")
     rows = rows.withColumn("person_id", F.coalesce("now_id", "raw_person_id")).drop("now_id")
-    return rows.where((F.col("person_id") == person_id) | (F.col("raw_person_id") == person_id))
+    rows = rows.where((F.col("person_id") == person_id) | (F.col("raw_person_id") == person_id))
+    return rows if limit is None else page(rows, [F.desc("ts"), F.desc("event_id")], limit, offset)
 
 
 def person_cohorts(person_id: str, *memberships: DataFrame) -> DataFrame:

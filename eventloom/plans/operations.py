@@ -66,6 +66,11 @@ def person_events(spark, sf):
     return D.person_events(M.raw_events(spark, sf), model.latest_overrides(M.overrides(spark, sf)), "11").select("event_id", "event_name")
 
 
+@query("select event_id, event_name from ev where person_id = '11' or raw_person_id = '11' order by ts desc, event_id desc limit 10 offset 3")
+def person_events_newest(spark, sf):
+    return D.person_events(M.raw_events(spark, sf), model.latest_overrides(M.overrides(spark, sf)), "11", 10, 3).select("event_id", "event_name")
+
+
 @query("--bare select distinct c as cohort_id from (select case when user_id % 4 = 0 then 'c_static' end as c from events where user_id = 8 union select case when user_id % 7 < 3 then 'c_dynamic' end from events where user_id = 8) where c is not null")
 def person_cohorts(spark, sf):
     return D.person_cohorts("8", M.static_members(spark, sf), M.materialized_members(spark, sf))
