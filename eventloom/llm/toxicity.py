@@ -129,8 +129,8 @@ def _threshold(odds: np.ndarray, y: np.ndarray) -> float:
 @dataclass
 class Labelled:
     """The labelled sample: which rows have each candidate feature once, twice, four times (level x candidate x row, packed),
-    judgements (row x category), the fold of each row, and the candidates in order of what they say, by category and fold
-    left out (the last: none)."""
+    judgements (row x category), the fold of each row, and features by category and fold left out (the last: none): candidates in
+    order of what they say, or, once they are ``selected``, those that the models use."""
 
     bits: np.ndarray
     y: np.ndarray
@@ -142,11 +142,18 @@ class Labelled:
         return np.unpackbits(flat, axis=1, count=len(self.y)).T.astype(np.float32)
 
 
-def fit_without(data: Labelled, k: int, fold: int, earlier: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def selected(data: Labelled, top: int) -> tuple[Labelled, np.ndarray]:
+    """The sample with the features that models use, and no others' bits: this is what goes to the tasks. And which these are."""
+    chosen = [[distinct_features(data.bits[0], order, top, np.packbits(data.fold != f)) for f, order in enumerate(some)] for some in data.order]
+    every = np.unique(np.concatenate([x for some in chosen for x in some]))
+    return Labelled(data.bits[:, every], data.y, data.fold, [[np.searchsorted(every, x) for x in some] for some in chosen]), every
+
+
+def fit_without(data: Labelled, k: int, fold: int, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A category's model from all rows that aren't in the fold: its features, its weights (none if there is nothing to
     learn) and the log-odds of all rows."""
     train, y = data.fold != fold, data.y[:, k]
-    columns = distinct_features(data.bits[0], data.order[k][fold], top, np.packbits(train))
+    columns = data.order[k][fold]
     if train.sum() < 2 * FOLDS or y[train].min() == y[train].max():
         return columns, np.empty(0, np.float32), np.zeros(len(y), np.float32)
     x = np.hstack([data.matrix(columns), earlier])
@@ -154,7 +161,7 @@ def fit_without(data: Labelled, k: int, fold: int, earlier: np.ndarray, top: int
     return columns, w, (x @ w[:-1] + w[-1]).astype(np.float32)
 
 
-def train_chain(data: Labelled, features_: np.ndarray, names: list[str], top: int, run) -> list[Link]:
+def train_chain(data: Labelled, features_: np.ndarray, names: list[str], run) -> list[Link]:
     """A model for each category; ``run``, given a category's number and the earlier log-odds, fits without each fold and without none."""
     chain, earlier = [], np.empty((len(data.y), 0), np.float32)
     for k, name in enumerate(names):
@@ -171,7 +178,7 @@ def train_chain(data: Labelled, features_: np.ndarray, names: list[str], top: in
     return chain
 
 
-def _in_tasks(spark: SparkSession, data: Labelled, top: int):
+def _in_tasks(spark: SparkSession, data: Labelled):
     """A ``run`` for train_chain by Spark tasks; the sample goes to them once, its size bounded by that of the sample."""
     sent = spark.sparkContext.broadcast(data)
 
@@ -179,7 +186,7 @@ def _in_tasks(spark: SparkSession, data: Labelled, top: int):
         def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for fold in batch.column(0).to_pylist():
-                    found = fit_without(sent.value, k, fold, earlier, top)
+                    found = fit_without(sent.value, k, fold, earlier)
                     yield pa.RecordBatch.from_arrays([pa.array([fold]), *(pa.array([x.tobytes()], pa.binary()) for x in found)], ["fold", "columns", "weights", "odds"])
 
         rows = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(fit, "fold long, columns binary, weights binary, odds binary").collect()
@@ -257,7 +264,8 @@ def learn(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int
     seen = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", *ys).select("doc_id", "text", "fold", *ys).mapInArrow(look, kinds).toArrow()
     judged = np.stack([seen[y].to_numpy() for y in ys], 1) if seen.num_rows else np.zeros((0, len(names)), np.int64)
     data = Labelled(_by_feature(seen["x"].to_pylist(), len(table)), judged, seen["fold"].to_numpy(), [[np.searchsorted(table, x) for x in some] for some in ranks])
-    return train_chain(data, table, names, top, _in_tasks(spark, data, top))
+    data, used = selected(data, top)
+    return train_chain(data, table[used], names, _in_tasks(spark, data))
 
 
 def _by_feature(rows: list[bytes], n_features: int) -> np.ndarray:
@@ -274,12 +282,12 @@ def distinct_features(bits: np.ndarray, order: np.ndarray, top: int, rows: np.nd
 
     ``bits`` says which rows have a feature and ``rows`` which count, both packed."""
     kept: list[int] = []
-    own = np.empty((top, len(rows)), np.uint8)
-    n = np.empty(top, np.int64)
-    for c in order.tolist():
+    wide = lambda x: np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, -x.shape[-1] % 8)]).view(np.uint64)
+    present = wide(bits[order] & rows)
+    own, n = np.empty((top, present.shape[1]), np.uint64), np.empty(top, np.int64)
+    for c, mine in zip(order.tolist(), present, strict=True):
         if len(kept) == top:
             break
-        mine = bits[c] & rows
         size, k = int(np.bitwise_count(mine).sum()), len(kept)
         shared = np.bitwise_count(own[:k] & mine).sum(1, dtype=np.int64)
         if not (shared > SAME_ROWS * (size + n[:k] - shared)).any():

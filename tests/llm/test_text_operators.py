@@ -721,7 +721,8 @@ def labelled(x, y, fold):
 
 
 def train_here(data, names, top):
-    return toxicity.train_chain(data, np.arange(data.bits.shape[1]).astype(np.uint64), names, top, lambda k, earlier: [toxicity.fit_without(data, k, f, earlier, top) for f in range(toxicity.FOLDS + 1)])
+    data, used = toxicity.selected(data, top)
+    return toxicity.train_chain(data, used.astype(np.uint64), names, lambda k, earlier: [toxicity.fit_without(data, k, f, earlier) for f in range(toxicity.FOLDS + 1)])
 
 
 def test_earlier_categories_are_fed_out_of_fold():
@@ -740,9 +741,10 @@ def test_what_only_a_fold_knows_is_not_fed_to_the_next_model():
     y = (rng.random(100) < 0.5).astype(int)
     x = np.hstack([np.eye(100, dtype=bool), rng.random((100, 3)) < 0.5])
     data = labelled(x, np.stack([y, y], 1), np.arange(100) % 5)
-    fitted, odds = toxicity.fit_without(data, 0, 5, np.empty((100, 0), np.float32), 103)[2], np.zeros(100)
+    data, _ = toxicity.selected(data, 103)
+    fitted, odds = toxicity.fit_without(data, 0, 5, np.empty((100, 0), np.float32))[2], np.zeros(100)
     for fold in range(5):
-        some = toxicity.fit_without(data, 0, fold, np.empty((100, 0), np.float32), 103)[2]
+        some = toxicity.fit_without(data, 0, fold, np.empty((100, 0), np.float32))[2]
         odds[data.fold == fold] = some[data.fold == fold]
     assert ((fitted > 0) == y).mean() > 0.95 and abs(((odds > 0) == y).mean() - 0.5) < 0.2
 
