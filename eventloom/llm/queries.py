@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, curriculum, editprint, htmltext, langid, packing, quality, simhash, toxicity, warc
+from eventloom.llm import chat, curriculum, divergence, editprint, htmltext, langid, packing, quality, simhash, toxicity, warc
 from eventloom.llm.common import checkpoint, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.learn_verdict(stats, read(spark, sf_dir, "labels"))
     failed = quality.base_failed()
     return stats.select("doc_id", *quality.STATS, failed.alias("base_failed"), (~failed & quality.verdict(rules)).alias("kept"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+with d as (select row_number() over () as i, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+t as (select i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*)::bigint as n from t group by lang, term having count(distinct i) >= 30),
+langs as (select d.lang, coalesce(any_value(k.v), 0)::bigint as v, coalesce(any_value(k.n), 0)::bigint as n
+          from (select distinct lang from d) d left join (select lang, count(*) as v, sum(n) as n from kept group by lang) k using (lang) group by d.lang),
+counts as (select t.lang, t.source, t.term, count(*)::bigint as n from t join kept using (lang, term) group by all),
+groups as (select d.lang, d.source, coalesce(any_value(c.n), 0)::bigint as n from (select distinct lang, source from d) d
+           left join (select lang, source, sum(n) as n from counts group by all) c using (lang, source) group by d.lang, d.source),
+dense as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+                 (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.n + 5 * l.v))::bigint as p,
+                 (1 + (1000000000::hugeint * (k.n + 5)) // (l.n + 5 * l.v))::bigint as q
+          from groups g join langs l using (lang) join kept k using (lang) left join counts c using (lang, source, term)),
+sums as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p))::bigint as value from dense a join dense b using (lang, term) where a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+          from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from dense where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, encode(item))::int as rank from (from pairs union all from terms))
+select * from ranked where part = 'pair' or rank <= 50
+"""
