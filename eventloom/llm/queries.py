@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, curriculum, divergence, editprint, htmltext, langid, packing, quality, simhash, toxicity, warc
+from eventloom.llm import chat, curriculum, divergence, editprint, htmltext, langid, packing, quality, simhash, toxicity, urltree, warc
 from eventloom.llm.common import checkpoint, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality.STATS, failed.alias("base_failed"), (~failed & quality.verdict(rules)).alias("kept"))
 
 
+@query
+def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(read(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_url_templates"] = urltree.judge_sql()
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents"))
