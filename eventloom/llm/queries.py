@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat, curriculum, divergence, editprint, htmltext, langid, packing, quality, simhash, toxicity, urltree, warc
+from eventloom.llm import chat, curriculum, divergence, editprint, htmltext, langid, packing, quality, repair, simhash, toxicity, urltree, warc
 from eventloom.llm.common import checkpoint, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,62 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality.STATS, failed.alias("base_failed"), (~failed & quality.verdict(rules)).alias("kept"))
 
 
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(conversations), conversations)
+
+
+ORACLES["op11_conversation_repair"] = r"""
+with recursive
+crc_table as (select list(v order by i) as tab from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(i))),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint) as bytes from conversations),
+coded as (
+  select conv_id, turn, role, text,
+         xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 as what from keyed, crc_table),
+damaged as (
+  select conv_id, turn, case when what = 4 then 'user' else role end as role,
+         case when what = 1 then '' when what = 2 then translate(text, '.!?', '') else text end as text, unnest(case when what = 3 then [0, 1] else [0] end) as copy
+  from coded where what <> 0),
+placed as materialized (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+faulty as materialized (
+  select *, substr(role, 1, 1) as initial,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+              when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault from placed),
+ids as materialized (select distinct conv_id from conversations),
+runs(s, run, t, price, said_user) as (values ('', '', '', 0, ''), ('', 'I', 'u', 5, 'u'), ('', 'II', 'a', 10, 'ua'), ('s', '', 's', 0, ''), ('s', 'I', 'u', 5, 'u'), ('s', 'II', 'a', 10, 'ua'),
+  ('u', '', 'u', 0, ''), ('u', 'I', 'a', 5, 'a'), ('u', 'II', 'u', 10, 'au'), ('a', '', 'a', 0, ''), ('a', 'I', 'u', 5, 'u'), ('a', 'II', 'a', 10, 'ua')),
+edits(edit) as (values ('D'), ('K'), ('R')),
+inserted as materialized (select s, run, t, price, list_transform(string_split(said_user, ''), lambda x: case x when 'u' then 'user:' when 'a' then 'assistant:' end) as said, said_user <> '' as any_said from runs),
+walk(conv_id, i, s, cost, audit, said) as (
+  select conv_id, 0::bigint, '', 0::bigint, '', []::varchar[] from ids
+  union all
+  select conv_id, i, s, cost, audit, said from (
+    select w.conv_id, f.i, case edit when 'D' then r.t when 'K' then f.initial else case when r.t = 'u' then 'a' else 'u' end end as s,
+           w.cost + r.price + case edit when 'D' then 2 else case edit when 'R' then 1 else 0 end + case when fault = 'truncated' then 5 else 0 end end as cost,
+           w.audit || r.run || edit as audit,
+           list_concat(w.said, case when any_said then r.said else []::varchar[] end,
+             case edit when 'D' then []::varchar[] when 'K' then [f.role || ':' || f.text] else [case when r.t = 'u' then 'assistant:' else 'user:' end || f.text] end) as said
+    from walk w join faulty f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1 join inserted r on r.s = w.s cross join edits
+    where edit = 'D' or (fault not in ('blank', 'duplicate') and (edit = 'R' or (f.initial <> '' and r.t || f.initial in ('s', 'u', 'su', 'ua', 'au'))))
+    qualify row_number() over (partition by w.conv_id, case edit when 'D' then r.t when 'K' then f.initial else case when r.t = 'u' then 'a' else 'u' end end
+      order by w.cost + r.price + case edit when 'D' then 2 else case edit when 'R' then 1 else 0 end + case when fault = 'truncated' then 5 else 0 end end, w.audit || r.run || edit) = 1)),
+lengths as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank,
+                   count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated from faulty group by conv_id),
+illegal as (select a.conv_id, count(*) as illegal from faulty a join faulty b on a.conv_id is not distinct from b.conv_id and b.i = a.i + 1 where a.initial || b.initial not in ('su', 'ua', 'au') group by a.conv_id),
+ends as (
+  select w.conv_id, w.cost + r.price as cost, w.audit || r.run as audit, list_concat(w.said, case when any_said then r.said else []::varchar[] end) as said
+  from walk w left join lengths l on l.conv_id is not distinct from w.conv_id join inserted r on r.s = w.s
+  where w.i = coalesce(l.n, 0) and r.t in ('', 'a')
+  qualify row_number() over (partition by w.conv_id order by w.cost + r.price, w.audit || r.run) = 1)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+       coalesce(illegal, 0)::bigint as illegal, cost::bigint as cost, audit, sha256(array_to_string(said, chr(10))) as repaired_sha256
+from ends e left join lengths l on l.conv_id is not distinct from e.conv_id left join illegal g on g.conv_id is not distinct from e.conv_id
+"""
+
+
 @query
 def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(read(spark, sf_dir, "pages"))
