@@ -36,7 +36,7 @@ LEAST_DOCS, SCALE, SMOOTH, TOP = 30, 1_000_000_000, 5, 50
 #: Everything that isn't part of a term.
 GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Cells of a task's matrix, and sources in a block of groups.
-CELLS, GROUP_BLOCK = 1 << 22, 256
+CELLS, GROUP_BLOCK = 1 << 20, 256
 #: Rows of (group, term) that a task gathers before it hands them on.
 GATHERED = 400_000
 
