@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import timeutil as T
 from eventloom.functions.filters import Filter, condition, matches
 from eventloom.functions.values import Property, history
+from eventloom.operators import chunks
 
 MOST_LEAVES, MOST_DEPTH, MOST_IN_GROUP, MOST_COHORTS, MOST_DAYS = 50, 4, 20, 20, 365
 PERCENTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -42,6 +43,8 @@ class Context:
     events: DataFrame
     bounds: Bounds
     members: DataFrame | None = None
+    most_events: int = chunks.MOST_EVENTS
+    whole_bytes: int = chunks.WHOLE_BYTES
 
 
 def _filters(rows) -> tuple[Filter, ...]:
@@ -109,11 +112,13 @@ def completers(c: Context, x: dict, start: Column) -> DataFrame:
     steps = [matches((s["event_name"],), _filters(s.get("event_filters"))) for s in x["steps"]]
     index = reduce(lambda a, k: F.when(steps[k], F.lit(k + 1)).otherwise(a), range(len(steps) - 1, -1, -1), F.lit(0))
     rows = c.events.where((F.col("ts") >= start) & (F.col("ts") <= c.bounds.now)).withColumn("step", index).where("step > 0")
-    rows = rows.groupBy("person_id").agg(history("ms", "event_id", "step").alias("h"))
     gap = x["window_days"] * 86_400_000
+    rows, hot = chunks.split(rows.select("person_id", "ms", "event_id", "step"), c.most_events, c.whole_bytes)
+    rows = rows.groupBy("person_id").agg(history("ms", "event_id", "step").alias("h"))
     begin = F.struct(F.lit(1).alias("next"), F.lit(0).cast("long").alias("at"))
     move = lambda s, e: F.when((e["step"] == s["next"]) & ((s["next"] == 1) | (e["ms"] - s["at"] <= gap)), F.struct((s["next"] + 1).alias("next"), e["ms"].alias("at"))).otherwise(s)
-    return rows.select("person_id", (F.aggregate("h", begin, move)["next"] > len(steps)).alias("done"))
+    rows = rows.select("person_id", (F.aggregate("h", begin, move)["next"] > len(steps)).alias("done"))
+    return rows if hot is None else rows.unionByName(chunks.sequences(hot, len(steps), gap).withColumnRenamed("out", "done"))
 
 
 def event_sequence(c: Context, x: dict) -> DataFrame:
@@ -220,7 +225,7 @@ def materialize(c: Context, definitions: dict[str, dict], version: int) -> DataF
     """cohort_id, person_id, version of all cohorts but those in circles, level by level."""
     members = c.members
     for level in levels(definitions)[0]:
-        now = Context(c.events, c.bounds, members)
+        now = replace(c, members=members)
         parts = [persons(now, definitions[k]).select(F.lit(k).alias("cohort_id"), "person_id", F.lit(version).cast("long").alias("version")) for k in level]
         new = reduce(lambda a, b: a.unionByName(b), parts)
         old = members.where(~F.col("cohort_id").isin(*level)) if members is not None else None
