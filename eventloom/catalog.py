@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.plans import behaviour, insights, operations  # noqa: F401  they fill the registry
+from eventloom.plans import behaviour, insights, operations, streams  # noqa: F401  they fill the registry
 from eventloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -14,7 +14,7 @@ from eventloom.operators import funnel as U
 from eventloom.operators import paths as P
 from eventloom.operators import web as W
 from eventloom.plans.insights import _MEMBERS, FROM, IN, TO, members
-from eventloom.plans.registry import MODEL, query
+from eventloom.plans.registry import MODEL, ORACLES, query
 from eventloom.plans import fixtures as M
 
 HOUR = 3_600_000
@@ -363,3 +363,20 @@ def cohort_drop_orphans(spark, sf):
     known = members.select("cohort_id").distinct()
     left, all_ = C.drop_orphans(more, known), C.drop_orphans(members, known.where("false"))
     return left.select(F.lit("known").alias("case_")).unionByName(all_.select(F.lit("none known").alias("case_"))).groupBy("case_").agg(F.count("*").alias("n"))
+
+
+#: The same questions with a limit above which most persons are cut into chunks; the answers are those of whole arrays.
+CUT = {"most_events": 45, "whole_bytes": 0}
+
+
+def _cut(name: str, of: str, ask) -> None:
+    query("--bare " + ORACLES[of], name)(ask)
+
+
+_cut("funnel_cut_ordered", "funnel_ordered", lambda spark, sf: U.funnel(M.events(spark, sf), replace(FUNNEL, **CUT)))
+_cut("funnel_cut_strict", "funnel_strict", lambda spark, sf: U.funnel(M.events(spark, sf), replace(FUNNEL, mode="strict", window=3, window_unit="day", **CUT)))
+_cut("funnel_cut_unordered", "funnel_unordered", lambda spark, sf: U.funnel(M.events(spark, sf), replace(UNORDERED, **CUT)))
+_cut("funnel_cut_exclusion", "funnel_exclusion", lambda spark, sf: U.funnel(M.events(spark, sf), replace(FUNNEL, exclusions=(U.Exclusion("error", 0, 1),), **CUT)))
+_cut("ttc_cut", "ttc_stats", lambda spark, sf: U.time_stats(U.conversion_times(M.events(spark, sf), replace(FUNNEL, **CUT), 0, 1)))
+_cut("ttc_cut_unordered", "ttc_unordered", lambda spark, sf: U.time_stats(U.conversion_times(M.events(spark, sf), replace(UNORDERED, **CUT), 0, 1)))
+_cut("cohort_cut_sequence", "cohort_sequence", lambda spark, sf: C.persons(replace(context(spark, sf), most_events=10, whole_bytes=0), SEQUENCE))

@@ -1,24 +1,48 @@
 """Structured Streaming ingest: files of JSON lines become validated, identified, enriched events, with dead letters.
 
 Delivery is at least once; the checkpoint remembers what was read, and each micro-batch is written under its own batch
-number, so that a repeated batch replaces itself. Repeated events are dropped by (project_id, event_id): a batch is joined
-with the keys of all earlier ones, so no event is dropped for its time, and a repeat is found however late it comes. The
-join reads two columns of what has been written, which grows; it spills, where a stream's state would be held in memory.
-Events without an id get one of their own, and rows with a problem are never compared. A distinct id's person is the one that
-an identify event of an earlier batch moved it to, else its own; what a batch moves holds for queries at once, by the overrides."""
+number, so that a repeated batch replaces itself. Repeated events are dropped by (project_id, event_id), however late they come, by the
+index of ``streaming.seen``. Events without an id get one of their own, and rows with a problem are never compared.
+
+Identity is resolved in order: an event belongs to the person that its distinct id has at its time, after the identify events of earlier batches and
+those of its own batch at or before it (``operators.merges``). Across batches the order is that of arrival. What was stored before is moved by the overrides when it is asked for.
+
+A batch that can't be written is tried ``ATTEMPTS`` times and then put aside whole among the dead letters, and the stream goes on. ``replay`` writes dead letters again,
+compared with everything that was written meanwhile; after ``FAILURES`` failed replays in a row it rests. What happened stands in the log, so all of
+this survives a restart. Snapshots (identity, persons, catalogs, counters) are swapped in whole (``streaming.tables``)."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eventloom.operators import ingest
+from eventloom.operators import ingest, merges
 from eventloom.sources.files import EVENT_SCHEMA
-from eventloom.sources.model import OVERRIDES, latest_overrides
+from eventloom.streaming import admission, catalogs, tables
+from eventloom.streaming.seen import CAPACITY, KEYS, SeenKeys
 
 FILES_PER_TRIGGER = 100
+ATTEMPTS, FAILURES, REST_MS = 3, 5, 5 * 60_000
+#: Distinct ids that took part in an identify event: their first person and the one they belong to.
+IDENTITY = "project_id string, distinct_id string, base_id string, person_id string"
+PERSONS = "person_id string, name string, value string"
+
+
+@dataclass(frozen=True)
+class Job:
+    """What a job keeps. ``rate``: events a project and minute (None: no limit); ``plans``: a table of monthly limits; ``keys``: how many keys the index is made for."""
+
+    persons: bool = True
+    catalogs: bool = True
+    rate: int | None = None
+    plans: str | None = None
+    keys: int = CAPACITY
+    attempts: int = ATTEMPTS
 
 
 def source(spark: SparkSession, path: str, files: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -39,57 +63,118 @@ def prepared(rows: DataFrame, imported: bool = False) -> DataFrame:
     return ingest.mapped_fields(rows, F.current_timestamp().cast("string"), "ms", "time", "problem", "ip", "browser", "os", "device_type")
 
 
-def fresh(rows: DataFrame, out: str, number: int) -> DataFrame:
-    """Events of a batch without a problem, one a key, whose key no earlier batch in ``out`` has."""
-    keys = ["project_id", "event_id"]
-    good = rows.where("problem is null").drop("problem").dropDuplicates(keys)
-    try:
-        written = rows.sparkSession.read.schema("project_id string, event_id string, batch long").parquet(f"{out}/events")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return good
-    return good.join(written.where(F.col("batch") < number).select(*keys), keys, "left_anti")
-
-
-def known_persons(spark: SparkSession, out: str, number: int) -> DataFrame | None:
-    """project_id, distinct_id, person_id: where identify events of the batches before have moved distinct ids; None at first."""
-    try:
-        rows = spark.read.schema(OVERRIDES + ", batch long").parquet(f"{out}/overrides")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return latest_overrides(rows.where(F.col("batch") < number))
-
-
-def write_batch(batch: DataFrame, out: str, number: int) -> None:
+def moved(stage: DataFrame) -> DataFrame:
+    """anonymous, user (their persons before the batch), ms, event_id of the identify events, and the ids: project_id, anonymous_id, distinct_id."""
+    own = stage.where((F.col("event_name") == "$identify") & (F.coalesce(F.col("anonymous_id"), F.lit("")) != "") & (F.col("anonymous_id") != F.col("distinct_id")))
+    return own.select("project_id", "anonymous_id", "distinct_id", "ms", "event_id")
+
+
+def _located(rows: DataFrame, identity: DataFrame, distinct: str, person: str) -> DataFrame:
+    """``rows`` with the person that a distinct id has by the identity snapshot, else its own."""
+    known = identity.select(F.col("project_id").alias("__p"), F.col("distinct_id").alias("__d"), F.col("person_id").alias("__known"))
+    rows = rows.join(known, (F.col("project_id") == F.col("__p")) & (F.col(distinct) == F.col("__d")), "left")
+    return rows.withColumn(person, F.coalesce("__known", ingest.person_id(F.col("project_id"), F.col(distinct)))).drop("__p", "__d", "__known")
+
+
+def _identified(stage: DataFrame, out: str, step: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The batch's events with their persons, the persons that were merged (``merges.WAYS``), and the identity after the batch."""
+    identity = tables.snapshot(stage.sparkSession, f"{out}/identity", IDENTITY, step)
+    told = moved(stage)
+    placed = _located(_located(told, identity, "anonymous_id", "anonymous"), identity, "distinct_id", "user")
+    ways = merges.merge_ways(placed)
+    events = merges.persons_at(_located(stage, identity, "distinct_id", "person_id"), ways)
+    if told.isEmpty():
+        return events, ways, identity
+    ids = told.select("project_id", F.explode(F.array("anonymous_id", "distinct_id")).alias("distinct_id")).distinct()
+    new = ids.join(identity, ["project_id", "distinct_id"], "left_anti").withColumn("base_id", ingest.person_id(F.col("project_id"), F.col("distinct_id")))
+    every = identity.unionByName(new.withColumn("person_id", F.col("base_id")))
+    return events, ways, merges.persons_now(every, ways).select("project_id", "distinct_id", "base_id", "person_id")
+
+
+def folded(people: DataFrame, changes: DataFrame) -> DataFrame:
+    """person_id, name, value after a batch's changes: the last set or unset counts, else what is known, else the first set_once."""
+    at = F.struct("ms", "event_id")
+    last = F.col("kind").isin("set", "unset")
+    known = people.select("person_id", "name", "value", F.lit("known").alias("kind"), F.lit(None).cast("long").alias("ms"), F.lit(None).cast("string").alias("event_id"))
+    rows = known.unionByName(changes.select("person_id", "name", "value", "kind", "ms", F.col("event_id").cast("string").alias("event_id"))).groupBy("person_id", "name").agg(
+        F.max_by(F.struct("kind", "value"), F.when(last, at)).alias("last"),
+        F.max(F.when(F.col("kind") == "known", F.col("value"))).alias("known"),
+        F.min_by("value", F.when(F.col("kind") == "set_once", at)).alias("once"),
+    )
+    value = F.when(F.col("last").isNull(), F.coalesce("known", "once")).when(F.col("last.kind") == "set", F.col("last.value"))
+    return rows.select("person_id", "name", value.alias("value")).where("value is not null")
+
+
+def write_batch(batch: DataFrame, out: str, number: int, step: int | None = None, job: Job = Job()) -> None:
     """A batch's rows as files under its number: events with their persons, overrides and property changes that they ask for,
-    and warnings. Writing it again replaces it."""
-    known = known_persons(batch.sparkSession, out, number)
-    good = fresh(batch, out, number)
-    good = good.withColumn("person_id", ingest.person_id(F.col("project_id"), F.col("distinct_id"))) if known is None else ingest.identified(good, known)
+    warnings, and what was refused; and the snapshots after it. Writing it again replaces it. The keys are stored last, so that a batch that fails can come again."""
+    spark, step = batch.sparkSession, number * tables.STEPS if step is None else step
     put = lambda rows, kind: rows.write.mode("overwrite").parquet(f"{out}/{kind}/batch={number}")
-    put(good, "events")
-    #: What follows from the events is made of what was written, so that the ids are the same.
-    stored = batch.sparkSession.read.parquet(f"{out}/events/batch={number}")
-    put(ingest.merges(stored), "overrides")
-    put(ingest.property_changes(stored, "project_id", "person_id", "ms", "event_id"), "changes")
-    put(batch.where("problem is not null").select("project_id", F.col("problem").alias("type"), "event_name", "distinct_id", "ms"), "warnings")
-
-
-def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True, files: int = FILES_PER_TRIGGER, imported: bool = False) -> StreamingQuery:
+    seen = SeenKeys(spark, f"{out}/seen", job.keys)
+    good = seen.fresh(batch.where("problem is null").drop("problem"), step)
+    stage = f"{out}/stage/step={step}"
+    if job.rate or job.plans:
+        plans = spark.read.schema(admission.PLANS).parquet(job.plans) if job.plans else spark.createDataFrame([], admission.PLANS)
+        counters = tables.snapshot(spark, f"{out}/counters", admission.COUNTERS, step)
+        judged, counters = admission.admit(good, counters, plans, job.rate or 1 << 62)
+        judged.write.mode("overwrite").parquet(f"{stage}/judged")
+        judged = spark.read.schema(judged.schema).parquet(f"{stage}/judged")
+        tables.swap_in(counters, f"{out}/counters", step)
+        put(judged.where("answer is not null"), "refused")
+        good = judged.where("answer is null").drop("answer")
+    #: Ids that are drawn, and times that are taken, stay as they are from here on.
+    good.write.mode("overwrite").parquet(f"{stage}/good")
+    events, ways, identity = _identified(spark.read.schema(good.schema).parquet(f"{stage}/good"), out, step)
+    ways.write.mode("overwrite").parquet(f"{stage}/ways")
+    ways = spark.read.schema(ways.schema).parquet(f"{stage}/ways")
+    put(events, "events")
+    stored = spark.read.schema(events.schema).parquet(f"{out}/events/batch={number}")
+
+    def moves() -> None:
+        before = tables.snapshot(spark, f"{out}/identity", IDENTITY, step).select("project_id", "distinct_id", F.col("person_id").alias("was"))
+        changed = identity.join(before, ["project_id", "distinct_id"], "left").where(F.col("person_id") != F.coalesce("was", "base_id"))
+        put(changed.select("project_id", "distinct_id", "person_id", F.lit(step).cast("long").alias("version")), "overrides")
+        tables.swap_in(identity, f"{out}/identity", step)
+
+    def persons() -> None:
+        changes = ingest.property_changes(stored, "project_id", "person_id", "ms", "event_id")
+        put(changes, "changes")
+        if job.persons:
+            people = folded(tables.snapshot(spark, f"{out}/persons", PERSONS, step), spark.read.schema(changes.schema).parquet(f"{out}/changes/batch={number}"))
+            tables.swap_in(merges.merged_people(people, ways), f"{out}/persons", step)
+
+    def catalog() -> None:
+        if job.catalogs:
+            known = tables.snapshot(spark, f"{out}/catalog", catalogs.CATALOG, step)
+            tables.swap_in(catalogs.merged(known, catalogs.definitions_seen(stored)), f"{out}/catalog", step)
+
+    def warnings() -> None:
+        put(batch.where("problem is not null").select("project_id", F.col("problem").alias("type"), "event_name", "distinct_id", "ms"), "warnings")
+
+    #: None of these reads what another writes.
+    with ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(f) for f in (moves, persons, catalog, warnings)]:
+            done.result()
+    seen.add(stored.select(*KEYS), step)
+    tables.remove(spark, stage)
+
+
+def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool = True, files: int = FILES_PER_TRIGGER, imported: bool = False, job: Job = Job()) -> StreamingQuery:
     """Events go to ``out``/events, overrides of persons to ``out``/overrides, changes of their properties to ``out``/changes, rejected
-    rows to ``out``/warnings, a batch that couldn't be written to ``out``/dead."""
+    rows to ``out``/warnings, refused ones to ``out``/refused, a batch that couldn't be written to ``out``/dead, and the stream goes on with the next."""
     rows = prepared(source(spark, path, files), imported)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            write_batch(batch, out, number)
-        except Exception:
-            batch.write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
-            raise
+            for attempt in range(1, job.attempts + 1):
+                try:
+                    write_batch(batch, out, number, job=job)
+                    tables.note(spark, out, "written", number)
+                    return
+                except Exception as error:
+                    tables.note(spark, out, "attempt", number, f"{attempt}: {type(error).__name__}: {error}")
+            put_aside(batch, out, number)
         finally:
             batch.unpersist()
 
@@ -97,34 +182,56 @@ def start(spark: SparkSession, path: str, out: str, checkpoint: str, once: bool
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def put_aside(batch: DataFrame, out: str, number: int) -> None:
+    """A batch that couldn't be written becomes dead letters, and nothing of it stays elsewhere. If that fails too, the stream stops and the batch comes again."""
+    spark, step = batch.sparkSession, number * tables.STEPS
+    batch.write.mode("overwrite").parquet(f"{out}/dead/batch={number}")
+    SeenKeys(spark, f"{out}/seen").forget(step)
+    for kind in ("events", "overrides", "changes", "warnings", "refused"):
+        tables.remove(spark, f"{out}/{kind}/batch={number}")
+    for kind in ("identity", "persons", "catalog", "counters", "seen/filter"):
+        tables.remove(spark, f"{out}/{kind}/version={step}")
+    tables.remove(spark, f"{out}/stage/step={step}")
+    tables.note(spark, out, "dead", number)
+
+
 def dead_batches(spark: SparkSession, out: str) -> list[int]:
     """Numbers of the batches among the dead letters."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/dead")
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    return tables.numbers(spark, f"{out}/dead", "batch")
 
 
-def replay(spark: SparkSession, out: str, most_failures: int = 3) -> list[int]:
+def replay(spark: SparkSession, out: str, failures: int = FAILURES, rest_ms: int = REST_MS, now_ms: int | None = None, job: Job = Job()) -> list[int]:
     """Write the dead letters' batches again, the oldest first, and take each away once it is written; their numbers.
 
-    After ``most_failures`` batches in a row that fail again it stops, and what is left stays for another time."""
-    done, failures = [], 0
+    They are compared with all batches written so far, later ones too. After ``failures`` replays in a row that failed, in this run or in earlier ones,
+    nothing is tried for ``rest_ms``; what is left stays for another time. Not to be run while the stream writes."""
+    done: list[int] = []
+    clock = lambda: int(time.time() * 1000) if now_ms is None else now_ms
     for number in dead_batches(spark, out):
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/dead/batch={number}")
+        if tables.open_until(spark, out, failures, rest_ms) > clock():
+            break
+        step = max(tables.next_step(spark, out), tables.next_step(spark, out, "identity"))
         try:
-            write_batch(spark.read.parquet(place.toString()), out, number)
-        except Exception:  # it stays among the dead letters
-            failures += 1
-            if failures >= most_failures:
-                break
+            write_batch(spark.read.parquet(f"{out}/dead/batch={number}"), out, number, step, job)
+        except Exception as error:  # it stays among the dead letters
+            SeenKeys(spark, f"{out}/seen").forget(step)
+            tables.note(spark, out, "replay_failed", number, f"{type(error).__name__}: {error}", clock())
             continue
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        tables.remove(spark, f"{out}/dead/batch={number}")
+        tables.note(spark, out, "replayed", number, at_ms=clock())
         done.append(number)
-        failures = 0
     return done
 
 
+def current_persons(spark: SparkSession, out: str) -> DataFrame:
+    """person_id, name, value of all persons as they are now."""
+    return tables.newest(spark, f"{out}/persons", PERSONS)
+
+
+def current_catalog(spark: SparkSession, out: str) -> DataFrame:
+    return tables.newest(spark, f"{out}/catalog", catalogs.CATALOG)
+
+
 def stored_warnings(spark: SparkSession, out: str, limit: int = 100) -> DataFrame:
     """The newest warnings first."""
     return spark.read.parquet(f"{out}/warnings").orderBy(F.desc("ms"), "project_id", "type", "distinct_id").limit(limit)

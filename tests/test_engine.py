@@ -179,27 +179,6 @@ def test_identify_moves_later_events_and_changes_are_kept(spark, tmp_path):
     assert changes == {(events["2"]["person_id"], "plan", "pro", "set"), (events["2"]["person_id"], "first", "1", "set_once")}
 
 
-def test_dead_letters_are_replayed_until_too_many_fail(spark, tmp_path, monkeypatch):
-    line = {"project_id": "p", "event_id": "1", "event": "view", "distinct_id": "u"}
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(json.dumps(line))
-    whole = stream.write_batch
-
-    def broken(*_):
-        raise OSError("no space")
-
-    monkeypatch.setattr(stream, "write_batch", broken)
-    with pytest.raises(Exception, match="no space"):
-        stream.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    assert stream.dead_batches(spark, f"{tmp_path}/out") == [0] and stream.replay(spark, f"{tmp_path}/out") == []
-    monkeypatch.setattr(stream, "write_batch", whole)
-    assert stream.replay(spark, f"{tmp_path}/out") == [0] and stream.dead_batches(spark, f"{tmp_path}/out") == []
-    for _ in range(2):  # the batch that failed comes again, too
-        stream.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
-    assert [r["event_id"] for r in spark.read.parquet(f"{tmp_path}/out/events").collect()] == ["1"]
-    assert stream.stored_warnings(spark, f"{tmp_path}/out").count() == 0
-
-
 def test_minute_counts(spark):
     rows = spark.sql("select 'p' as project_id, timestamp'2024-01-01 00:00:10' + make_interval(0, 0, 0, 0, 0, 0, 25 * id) as time from range(5)")
     assert sorted(r["n"] for r in stream.minute_counts(rows).collect()) == [2, 3]
