@@ -6,7 +6,8 @@ estimates the share of each language among its words. The set of languages start
 smallest share as long as the likelihood less a penalty for each language (``penalty`` times half the logarithm of the
 number of words) doesn't fall. The prediction is the language with the largest share, ties by the learned order of names;
 its share is the score. Texts that are null or have no letter are ``und`` with score 0, and so is everything if there is
-nothing to learn from. Repeated rows give a row each, an empty table gives none; a doc_id may be missing.
+nothing to learn from. Repeated rows give a row each, an empty table gives none; a doc_id may be missing. A very long text is a block
+of its own, and is read whole.
 
 The counts go to the driver as one table of at most ``2 ** BITS`` rows a language, whatever the corpus.
 """
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import blocks, code_points, filter_rows, letter_table
 
 BITS, SMOOTHING, PENALTY, ROUNDS = 16, 0.5, 4.0, 8
+#: Logarithm of a trigram's likelihood where all are alike.
+BACKGROUND = -BITS * float(np.log(2))
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,11 +90,16 @@ def _em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, sh
 
 def mixtures(texts: list[str], table: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
     """Share of each language in each text; rows of zeros for texts without a letter."""
+    return fitted(texts, table, penalty, rounds)[0]
+
+
+def fitted(texts: list[str], table: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """The mixtures, and the logarithm of each text's likelihood under its own, a trigram; minus infinity without a letter."""
     size = table.shape[1]
-    shares = np.zeros((len(texts), size))
+    shares, likelihood = np.zeros((len(texts), size)), np.full(len(texts), -np.inf)
     grams, text, begins = _trigrams(texts)
     if not len(grams) or not size:
-        return shares
+        return shares, likelihood
     word_at = np.flatnonzero(begins)
     score = np.add.reduceat(table[grams], word_at)
     #: Likelihoods of a word relative to its best language, bounded below so that no language is ever impossible.
@@ -129,7 +137,9 @@ def mixtures(texts: list[str], table: np.ndarray, penalty: float = PENALTY, roun
         if not len(open_):
             break
     shares[found] = best
-    return shares
+    total = np.log(np.maximum((like * best[doc]).sum(1, dtype=np.float64), 1e-300)) + score.max(1)
+    likelihood[found] = np.add.reduceat(total, starts) / np.bincount(text, minlength=len(texts))[found]
+    return shares, likelihood
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = PENALTY) -> DataFrame:
@@ -153,11 +163,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = PENALTY) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are a mixture of any number of known languages; ``und`` goes."""
+    """The rows of ``docs``, with all their columns, that are a mixture of any number of known languages.
+
+    A document is one if its mixture explains its trigrams better than a background in which all of them are as likely: text in languages (or scripts) that
+    weren't learned, letters at random, and ``und`` go."""
     sent = docs.sparkSession.sparkContext.broadcast(model[1])
 
     def verdict(texts: list[str]) -> np.ndarray:
-        return mixtures(texts, sent.value, penalty).any(1)
+        return fitted(texts, sent.value, penalty)[1] > BACKGROUND
 
     return filter_rows(docs, verdict)
 

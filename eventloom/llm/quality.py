@@ -7,7 +7,7 @@ one Spark conditional expression in their order, so they can be read and run wit
 
 Learning takes at most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id; statistics are taken of all
 rows. Null texts have no words. Without labelled rows of both kinds there are no rules and all rows but those that fail the
-base are kept. Repeated rows keep a row each; a doc_id with several labels is learned from with each of them.
+base are kept. A very long text is read whole; an empty table gives no rows. Repeated rows keep a row each; a doc_id with several labels is learned from with each of them.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ would leave no room for others. A category's threshold is the one with the best
 The labels table has two judgements, toxic and quality; the chain predicts low quality first and then toxic. Learning takes at
 most ``SAMPLE`` labelled rows, those with the smallest hashes of doc_id; rows with a null judgement are left out. Null texts
 have no features. Without labels of both kinds a category has probability 0 everywhere and nothing is in it. Repeated rows
-keep a row each.
+keep a row each. A very long text is a block of its own and is read whole. An empty table gives no rows, and empty labels a chain that finds nothing.
 """
 
 from __future__ import annotations
@@ -196,13 +196,17 @@ def _in_tasks(spark: SparkSession, data: Labelled):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample: int = SAMPLE) -> DataFrame:
-    """text and a 0/1 column y0, y1, ... a category, for at most ``sample`` labelled rows."""
+    """doc_id, text and a 0/1 column y0, y1, ... a category, of at most ``sample`` labelled rows.
+
+    The bound holds for labels and, as a labelled doc_id may stand on many documents, for the rows themselves; those of the least hashes are taken."""
     marks = [F.expr(condition).cast("int").alias(f"y{k}") for k, (_, condition) in enumerate(categories)]
     rows = labels.select(F.col("doc_id").cast("long").alias("d"), *marks)
     for k in range(len(categories)):
         rows = rows.where(F.col(f"y{k}").isNotNull())
     rows = rows.orderBy(F.xxhash64("d"), *[f"y{k}" for k in range(len(categories))]).limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), F.col("doc_id") == F.col("d")).drop("d")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), F.col("doc_id") == F.col("d"))
+    #: A labelled doc_id may stand on any number of documents.
+    return found.orderBy(F.xxhash64("d"), F.xxhash64("text"), "text", *[f"y{k}" for k in range(len(categories))]).limit(sample).drop("d")
 
 
 def with_folds(rows: DataFrame) -> DataFrame:

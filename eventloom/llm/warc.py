@@ -45,7 +45,10 @@ CENTRAL_FIELDS, LOCAL_FIELDS = "<6H3L5H2L", "<5H3L2H"
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """A file's store and its place there. Local folders come as ``/x``, ``file:/x`` or ``file:///x``."""
+    if "://" not in uri:
+        uri = f"file://{uri.removeprefix('file:')}"
+    return pyarrow.fs.FileSystem.from_uri(uri)
 
 
 def _page_urn(page_id: int | None) -> str:

@@ -151,9 +151,12 @@ def test_documents_in_several_languages_are_known(spark):
     text = " ".join(some[x] for x in sorted(some)[:4])
     share = langid.mixtures([text], model[1])
     assert len(some) > 2 and share.max() < 0.5
-    rows = [(1, text), (2, some["en"]), (3, "42 !!"), (4, None), (5, "")]
+    strange = "".join(chr(0x10D0 + k * 7 % 33) + " " * (k % 6 == 5) for k in range(600))
+    rng = np.random.default_rng(5)
+    random_letters = " ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(200))
+    rows = [(1, text), (2, some["en"]), (3, "42 !!"), (4, None), (5, ""), (6, strange), (7, random_letters), (8, some["en"] + " " + strange[:40])]
     kept = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
-    assert sorted(r["doc_id"] for r in kept) == [1, 2]
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 8]
     nothing = langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string"), langid.learn(docs.limit(0)))
     assert nothing.collect() == []
 
@@ -781,3 +784,27 @@ def test_copies_of_one_document_leave_room_for_other_features():
     every = np.packbits(np.ones(200, bool))
     assert toxicity.distinct_features(present, np.arange(35), 6, every).tolist() == [0, 30, 31, 32, 33, 34]
     assert toxicity.distinct_features(np.zeros((3, 0), np.uint8), np.arange(3), 2, np.empty(0, np.uint8)).tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("folder", ["file:{}", "file://{}", "{}", "{}/"])
+def test_archives_in_a_folder_however_it_is_spelt(spark, tmp_path, monkeypatch, folder):
+    monkeypatch.setattr(warc, "scratch", lambda _, kind: folder.format(tmp_path).rstrip("/") + f"/{kind}-1")
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 120), (2, None, "x" * 120), (None, "u", None)], "page_id long, url string, html string")
+    assert sorted((r["page_id"] or 0, r["record_type"]) for r in warc.round_trip(pages).collect()) == [(0, "response"), (1, "response"), (2, "revisit")]
+
+
+def test_the_folder_that_only_the_context_knows(spark, tmp_path, monkeypatch):
+    """Hadoop spells the checkpoint folder file:/x where spark.checkpoint.dir isn't set; twice in one session."""
+    from eventloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: spark.sparkContext.getCheckpointDir() or f"file:{tmp_path}")
+    pages = spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string")
+    for _ in range(2):
+        assert warc.round_trip(pages).count() == 1
+
+
+def test_the_labelled_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (3, 1, 0)], LABELS)
+    rows = [toxicity.labelled_sample(docs, labels, sample=n).collect() for n in (1, 10)]
+    assert len(rows[0]) == 1 and len(rows[1]) == 10
