@@ -2,6 +2,10 @@
 
 Each stage works on what its predecessor kept; all but the last return the columns of documents. ``run`` writes each
 stage's rows as Parquet into the shared folder, rereads them for the next, and then deletes those of the stage before.
+
+Every stage keeps all columns of documents, whatever others there are, but the last, whose result is pieces. Rows with nulls in any column go through:
+a null text has no features, no letters (the language stage drops it), an empty fingerprint, no words to take and one token. Ties go by doc_id, text and
+then the other columns; repeated rows are near duplicates of each other; very long texts are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in one known language or several."""
+    """Documents that a mixture of the learned languages, one or several, explains better than letters at random."""
     ship(spark)
     return langid.keep_known(docs, langid.learn(docs))
 

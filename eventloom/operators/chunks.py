@@ -21,7 +21,7 @@ from eventloom.functions.values import history
 from eventloom.plans.fixtures import scratch
 
 #: Events of a person above which they are cut, and bytes of input up to which nobody looks for such persons.
-MOST_EVENTS, WHOLE_BYTES = 500_000, 256 << 20
+MOST_EVENTS, WHOLE_BYTES = 100_000, 256 << 20
 
 
 def input_bytes(rows: DataFrame) -> int:
