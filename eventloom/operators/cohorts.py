@@ -6,13 +6,14 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
 from eventloom.functions.filters import Filter, condition, matches
 from eventloom.functions.values import Property, history
 from eventloom.operators import chunks
+from eventloom.streaming.tables import numbers, remove
 
 MOST_LEAVES, MOST_DEPTH, MOST_IN_GROUP, MOST_COHORTS, MOST_DAYS = 50, 4, 20, 20, 365
 PERCENTILES = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -233,6 +234,41 @@ def materialize(c: Context, definitions: dict[str, dict], version: int) -> DataF
     return members
 
 
+def refresh(c: Context, definitions: dict[str, dict], folder: str, version: int, due: set[str] | None = None, kept: int = 2) -> dict[str, int]:
+    """Compute cohorts into tables under ``folder``, a level after the other; the version of each cohort's newest table.
+
+    Only cohorts in ``due`` (None: all) and those that refer to them, directly or not, are computed; each level reads the tables of those before it, so a
+    plan is as large as its own conditions, however deep the references are. A table counts once it is written to its end, and a cohort's older ones but
+    ``kept`` go. ``c.members`` holds other cohorts' members, static ones for example."""
+    spark, at = c.events.sparkSession, lambda k: f"{folder}/cohort={k}"
+    order, _ = levels(definitions)
+    found = {k: n for k in definitions if (n := numbers(spark, at(k), "version"))}
+    again = set(definitions) if due is None else set(due) | (set(definitions) - set(found))
+    for level in order:
+        again |= {k for k in level if references(definitions[k]) & again}
+    for level in order:
+        known = [f"{at(k)}/version={n[-1]}" for k, n in found.items()]
+        tables = spark.read.schema("cohort_id string, person_id string").parquet(*known) if known else None
+        others = [m.select("cohort_id", "person_id") for m in (c.members, tables) if m is not None]
+        now = replace(c, members=reduce(lambda a, b: a.unionByName(b), others) if others else None)
+        for k in (k for k in level if k in again):
+            persons(now, definitions[k]).select(F.lit(k).alias("cohort_id"), "person_id").write.mode("overwrite").parquet(f"{at(k)}/version={version}")
+        for k in (k for k in level if k in again):
+            found[k] = numbers(spark, at(k), "version")
+            for old in found[k][:-kept]:
+                remove(spark, f"{at(k)}/version={old}")
+    return {k: n[-1] for k, n in found.items()}
+
+
+def refreshed(spark: SparkSession, folder: str, versions: dict[str, int]) -> DataFrame:
+    """cohort_id, person_id, version of the tables that ``refresh`` names."""
+    paths = [f"{folder}/cohort={k}/version={v}" for k, v in versions.items()]
+    if not paths:
+        return spark.createDataFrame([], "cohort_id string, person_id string, version long")
+    numbers_ = F.create_map(*[F.lit(x) for k, v in versions.items() for x in (k, v)])
+    return spark.read.schema("cohort_id string, person_id string").parquet(*paths).withColumn("version", F.element_at(numbers_, F.col("cohort_id")).cast("long"))
+
+
 def latest_members(rows: DataFrame) -> DataFrame:
     """Rows of each cohort's last version."""
     last = rows.groupBy("cohort_id").agg(F.max("version").alias("version"))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
 from eventloom.functions.filters import Filter, any_of, matches
+from eventloom.functions.selection import exact_percentiles
 from eventloom.functions.values import Property, half_up, history, percent
 from eventloom.operators import chunks
 
 UNIT_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000, "month": 2_592_000_000}
-MOST_WINDOW = 90 * UNIT_MS["day"]
+MOST_WINDOW, MOST_COHORTS = 90 * UNIT_MS["day"], 10
 
 
 @dataclass(frozen=True)
@@ -292,7 +293,10 @@ def funnel_breakdown(events: DataFrame, spec: FunnelSpec) -> DataFrame:
 
 def funnel_by_cohort(events: DataFrame, spec: FunnelSpec, members: DataFrame) -> DataFrame:
     """Step counts by cohort (cohort_id, person_id), all cohorts in one pass."""
-    people = per_person(events, spec).join(members.select("cohort_id", "person_id").distinct(), "person_id")
+    members = members.select("cohort_id", "person_id").distinct()
+    if members.select("cohort_id").distinct().limit(MOST_COHORTS + 1).count() > MOST_COHORTS:
+        raise ValueError(f"a breakdown shows at most {MOST_COHORTS} cohorts")
+    people = per_person(events, spec).join(members, "person_id")
     return step_counts(people, len(spec.steps), ["cohort_id"])
 
 
@@ -366,6 +370,12 @@ def time_stats(times: DataFrame) -> DataFrame:
     return times.agg(F.count("*").alias("n"), F.avg("seconds").alias("avg_seconds"), F.percentile("seconds", F.lit(0.5)).alias("median_seconds"))
 
 
+def selected_time_stats(times: DataFrame) -> DataFrame:
+    """As ``time_stats``, with a median that is narrowed down by passes, so that no buffer holds all persons' times."""
+    median = exact_percentiles(times, F.col("seconds"), [0.5])[0]
+    return times.agg(F.count("*").alias("n"), F.avg("seconds").alias("avg_seconds")).withColumn("median_seconds", F.lit(median).cast("double"))
+
+
 def time_histogram(times: DataFrame) -> DataFrame:
     """bin, low, n: up to 60 bins of whole seconds' width, about the cube root of the number of persons; one if all are equal."""
     whole = times.agg(F.count("*").alias("n"), F.min("seconds").alias("low"), F.max("seconds").alias("high")).where("n > 0")

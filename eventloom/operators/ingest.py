@@ -27,15 +27,17 @@ MAX_NAME, MAX_ID, MAX_KEYS, MAX_KEY, MAX_SKEW_MS = 255, 255, 200, 200, 48 * 3_60
 RATE, RATE_SECONDS, RATE_SLIDE = 100_000, 60, 10
 
 
-def problem(context: tuple[str, ...] = ()) -> Column:
-    """Why an event is turned down, or null. ``context``: columns of CONTEXT_LENGTHS that the rows have."""
+def problem(context: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> Column:
+    """Why an event is turned down, or null. ``context``: columns of CONTEXT_LENGTHS that the rows have; ``more``: anonymous_id and user_properties, where they have them."""
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
     keys = F.json_object_keys("properties")
     long = reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > CONTEXT_LENGTHS[c], F.lit(False)) for c in context], F.lit(False))
+    anonymous = F.coalesce(F.length("anonymous_id") > MAX_ID, F.lit(False)) if "anonymous_id" in more else F.lit(False)
+    user_keys = F.coalesce(F.size(F.json_object_keys("user_properties")) > MAX_KEYS, F.lit(False)) if "user_properties" in more else F.lit(False)
     return (
-        F.when(blank("project_id") | blank("event_name") | (F.length("event_name") > MAX_NAME), "invalid_event")
+        F.when(blank("project_id") | blank("event_name") | (F.length("event_name") > MAX_NAME) | anonymous, "invalid_event")
         .when(blank("distinct_id") | (F.length("distinct_id") > MAX_ID) | F.lower(F.trim("distinct_id")).isin(*BLACKLIST), "illegal_distinct_id")
-        .when((F.coalesce(F.size(keys), F.lit(0)) > MAX_KEYS) | F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.length(k) > MAX_KEY), "invalid_properties")
+        .when((F.coalesce(F.size(keys), F.lit(0)) > MAX_KEYS) | user_keys | F.exists(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.length(k) > MAX_KEY), "invalid_properties")
         .when(long, "invalid_context")
     )
 

@@ -380,3 +380,14 @@ _cut("funnel_cut_exclusion", "funnel_exclusion", lambda spark, sf: U.funnel(M.ev
 _cut("ttc_cut", "ttc_stats", lambda spark, sf: U.time_stats(U.conversion_times(M.events(spark, sf), replace(FUNNEL, **CUT), 0, 1)))
 _cut("ttc_cut_unordered", "ttc_unordered", lambda spark, sf: U.time_stats(U.conversion_times(M.events(spark, sf), replace(UNORDERED, **CUT), 0, 1)))
 _cut("cohort_cut_sequence", "cohort_sequence", lambda spark, sf: C.persons(replace(context(spark, sf), most_events=10, whole_bytes=0), SEQUENCE))
+_cut("ttc_selected", "ttc_stats", lambda spark, sf: U.selected_time_stats(U.conversion_times(M.events(spark, sf), FUNNEL, 0, 1)))
+
+
+@query(f", mt as (select 'a' as cohort_id, person_id from ({_COUNT}) union all select 'b', person_id from ({_COUNT}) where person_id in (select cast(user_id as varchar) from events where user_id % 4 = 0) union all select 'c', person_id from ({_COUNT}) where person_id not in (select cast(user_id as varchar) from events where user_id % 4 = 0)) select cohort_id, person_id, case cohort_id when 'a' then 1 else 2 end::bigint as version from mt")
+def cohort_refreshed(spark, sf):
+    """Three levels of cohorts as tables; then one of the second level is due, and what refers to it with it."""
+    nested = {"type": "AND", "values": [{"type": "cohort", "cohort_id": "a"}, {"type": "cohort", "cohort_id": "c_static"}]}
+    rest = {"type": "AND", "values": [{"type": "cohort", "cohort_id": "a"}, {"type": "cohort", "cohort_id": "b", "negated": True}]}
+    folder, definitions, c = M.scratch(spark, "cohorts"), {"b": nested, "a": EVENT, "c": rest}, context(spark, sf)
+    C.refresh(c, definitions, folder, 1)
+    return C.refreshed(spark, folder, C.refresh(c, definitions, folder, 2, {"b"}))

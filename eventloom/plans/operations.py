@@ -16,7 +16,7 @@ from eventloom.operators import ingest as I
 from eventloom.operators import trend as T
 from eventloom.plans.behaviour import _E, _chain, FUNNEL, HOUR, UNORDERED, _COVER
 from eventloom.plans.insights import _RECUR, _life_sql, _retention_sql, DAYS, FROM, IN, LIFE, TO, VIEW
-from eventloom.plans.registry import query
+from eventloom.plans.registry import ORACLES, query
 from eventloom.plans import fixtures as M
 from eventloom.sources import files, model
 
@@ -590,3 +590,36 @@ def table_count(spark, sf):
     return M.read(spark, sf, "events").agg(F.count("*").alias("n"))
 
 
+
+
+@query("--bare " + ORACLES["time_between_events"])
+def time_between_selected(spark, sf):
+    return A.selected_time_percentiles(_between(spark, sf))
+
+
+@query("--bare select event_type as event, case when user_id % 2 = 0 then 'even' end as import, count(*) as n from events where user_id % 2 = 0 group by 1, 2 union all select 'rejected', 'odd', count(*) from events where user_id % 2 = 1 and event_id % 1000 = 7")
+def import_all_or_nothing(spark, sf):
+    """Two imports: one whole, and one in which some lines have no timestamp, which leaves nothing but its count of bad lines."""
+    folder, rows = M.scratch(spark, "import"), M.raw_events(spark, sf)
+    time = F.when((F.col("user_id") % 2 == 1) & (F.col("event_id") % 1000 == 7), "").otherwise(F.col("ts").cast("string")).alias("timestamp")
+    lines = rows.select("user_id", "project_id", F.col("event_name").alias("event"), "distinct_id", time)
+    rejected = 0
+    for k, name in enumerate(("even", "odd")):
+        lines.where(F.col("user_id") % 2 == k).drop("user_id").write.json(f"{folder}/{name}")
+        try:
+            files.import_events(spark, f"{folder}/{name}", f"{folder}/out", name)
+        except files.ImportRejected as error:
+            rejected = error.bad
+    kept = spark.read.parquet(f"{folder}/out").groupBy("event", F.col("import").cast("string").alias("import")).agg(F.count("*").alias("n"))
+    return kept.unionByName(spark.createDataFrame([("rejected", "odd", rejected)] if rejected else [], kept.schema))
+
+
+@query("--bare select event_id, strftime(ts, '%Y-%m-%d') as day from events where not (event_type = 'error' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12') and not (ts >= timestamp '2024-01-20' and ts < timestamp '2024-01-21')")
+def delete_by_partition(spark, sf):
+    """A table by day: the errors of two days go, and all of a third, whose folder goes with it."""
+    folder = M.scratch(spark, "deleted")
+    rows = M.raw_events(spark, sf).select("event_id", "event_name", "ts", F.col("ts").cast("date").cast("string").alias("day"))
+    rows.repartition("day").write.partitionBy("day").parquet(folder)
+    day = lambda a, b: (F.col("ts") >= F.expr(f"timestamp_ntz'{a}'")) & (F.col("ts") < F.expr(f"timestamp_ntz'{b}'"))
+    files.delete_in_place(spark, folder, (F.col("event_name") == "error") & day("2024-01-10", "2024-01-12") | day("2024-01-20", "2024-01-21"), "day")
+    return spark.read.parquet(folder).select("event_id", F.col("day").cast("string").alias("day"))

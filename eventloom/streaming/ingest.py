@@ -58,7 +58,7 @@ def prepared(rows: DataFrame, imported: bool = False) -> DataFrame:
     rows = rows.withColumnRenamed("event", "event_name")
     rows = rows.withColumn("event_id", F.when(F.trim("event_id") != "", F.col("event_id")).otherwise(F.uuid()))
     at = F.coalesce(ms("timestamp"), server) if imported else ingest.corrected_ms(server, ms("sent_at"), ms("timestamp"))
-    rows = rows.withColumn("ms", at).withColumn("time", F.timestamp_millis("ms")).withColumn("problem", ingest.problem(tuple(c for c in ingest.CONTEXT_LENGTHS if c in rows.columns)))
+    rows = rows.withColumn("ms", at).withColumn("time", F.timestamp_millis("ms")).withColumn("problem", ingest.problem(tuple(c for c in ingest.CONTEXT_LENGTHS if c in rows.columns), tuple(rows.columns)))
     rows = ingest.with_device(rows.withColumn("event_type", ingest.event_type(F.col("event_name"))))
     return ingest.mapped_fields(rows, F.current_timestamp().cast("string"), "ms", "time", "problem", "ip", "browser", "os", "device_type")
 
