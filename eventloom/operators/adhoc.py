@@ -42,13 +42,9 @@ def metric_change(events: DataFrame, name: str, metric: str, first: tuple[str, s
 
 def metric_change_by(events: DataFrame, name: str, metric: str, dimension: str, first: tuple[str, str], second: tuple[str, str], top: int = 20) -> DataFrame:
     """segment, value_before, value_after, contribution (its part of the whole change) of the segments that changed most."""
-    rows = events.where(matches((name,))).withColumn("segment", Property(dimension).text)
-
-    def side(span: tuple[str, str], value: str) -> DataFrame:
-        inside = rows.where(T.in_range(*span))
-        return inside.groupBy("segment").agg(_measure(metric, F.lit(True)).alias(value))
-
-    both = side(first, "value_before").join(side(second, "value_after"), "segment", "full").na.fill(0.0, ["value_before", "value_after"])
+    a, b = T.in_range(*first), T.in_range(*second)
+    rows = events.where(matches((name,)) & (a | b)).withColumn("segment", Property(dimension).text)
+    both = rows.groupBy("segment").agg(_measure(metric, a).alias("value_before"), _measure(metric, b).alias("value_after")).na.fill(0.0, ["value_before", "value_after"])
     total = both.agg((F.sum("value_after") - F.sum("value_before")).alias("whole"))
     #: One row on the right.
     out = both.crossJoin(total).withColumn("change", F.col("value_after") - F.col("value_before")).orderBy(F.desc(F.abs("change")), "segment").limit(top)

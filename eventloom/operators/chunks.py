@@ -44,14 +44,20 @@ def split(rows: DataFrame, most: int = MOST_EVENTS, whole_bytes: int = WHOLE_BYT
     if total is None:
         return rows, None
     ids = persons.select("person_id")
-    dealt = rows.join(ids, "person_id", "left_semi").repartitionByRange(-(-total // most) + 1, "person_id", "ms")
-    dealt.withColumn("chunk", F.spark_partition_id()).write.parquet(f"{folder}/rows")
+    cut = rows.join(ids, "person_id", "left_semi").repartitionByRange(-(-total // most) + 1, "person_id", "ms")
+    cut.withColumn("chunk", F.spark_partition_id()).write.parquet(f"{folder}/rows")
     return rows.join(ids, "person_id", "left_anti"), spark.read.parquet(f"{folder}/rows")
 
 
+def dealt(hot: DataFrame) -> DataFrame:
+    """A task for about each chunk, since a task holds the arrays of all chunks that it collects."""
+    n = (hot.agg(F.max("chunk")).first()[0] or 0) + 1
+    return hot.repartition(n, "person_id", "chunk")
+
+
 def histories(hot: DataFrame, *more: str) -> DataFrame:
     """person_id, chunk, h: a row a chunk, its events in order."""
-    return hot.groupBy("person_id", "chunk").agg(history("ms", "event_id", *more).alias("h"))
+    return dealt(hot.select("person_id", "chunk", "ms", "event_id", *more)).groupBy("person_id", "chunk").agg(history("ms", "event_id", *more).alias("h"))
 
 
 def joined(tables: DataFrame, start: Column, step, finish) -> DataFrame:
@@ -135,7 +141,7 @@ def spoiled_persons(hot: DataFrame, k: int, begins: Column, spoiled) -> DataFram
     seeds = last.select("person_id", "chunk", "f_in", seen.alias("seen"))
     seeds = seeds.select("person_id", "chunk", F.struct(F.col("f_in").alias("f"), F.col("seen.e").alias("e"), F.col("seen.fe").alias("fe")).alias("seed"))
     more = [c for c in ("anchor",) if c in hot.columns]
-    rows = hot.groupBy("person_id", "chunk").agg(history("ms", "event_id", "m", "x").alias("h"), *[F.first(c).alias(c) for c in more])
+    rows = dealt(hot).groupBy("person_id", "chunk").agg(history("ms", "event_id", "m", "x").alias("h"), *[F.first(c).alias(c) for c in more])
     found = rows.join(seeds, ["person_id", "chunk"]).select("person_id", spoiled(F.col("seed")).alias("s"))
     return found.groupBy("person_id").agg(F.bool_or("s.dirty").alias("dirty"), F.bool_or("s.clean").alias("clean")).where("dirty and not clean").select("person_id")
 

@@ -60,9 +60,12 @@ def _window(c: Context, days: int) -> DataFrame:
     return c.events.where((F.col("ts") >= c.bounds.ago(days)) & (F.col("ts") <= c.bounds.now))
 
 
-def _between(c: Context, x: dict, start: Column, end: Column, closed: bool = False) -> DataFrame:
-    rows = c.events.where(matches((x["event_name"],), _filters(x.get("event_filters"))) & (F.col("ts") >= start))
-    return rows.where(F.col("ts") <= end if closed else F.col("ts") < end).select("person_id").distinct()
+def _in_spans(c: Context, x: dict, marks: list[Column]) -> DataFrame:
+    """person_id, in0, in1, ...: whether a person has the event in each span between two marks; the last one includes its end. One pass."""
+    rows = c.events.where(matches((x["event_name"],), _filters(x.get("event_filters"))) & (F.col("ts") >= marks[0]) & (F.col("ts") <= marks[-1]))
+    last = len(marks) - 2
+    spans = [F.bool_or((F.col("ts") >= marks[k]) & ((F.col("ts") < marks[k + 1]) | F.lit(k == last))).alias(f"in{k}") for k in range(last + 1)]
+    return rows.groupBy("person_id").agg(*spans)
 
 
 def person_property(c: Context, x: dict) -> DataFrame:
@@ -147,15 +150,14 @@ def stopped_performing(c: Context, x: dict) -> DataFrame:
     recent, past, b = x["recent_window_days"], x["historical_window_days"], c.bounds
     if recent >= past:
         raise ValueError("the recent window is shorter than the historical one")
-    return _between(c, x, b.ago(past), b.ago(recent)).join(_between(c, x, b.ago(recent), b.now, True), "person_id", "left_anti")
+    return _in_spans(c, x, [b.ago(past), b.ago(recent), b.now]).where("in0 and not in1").select("person_id")
 
 
 def restarted_performing(c: Context, x: dict) -> DataFrame:
     recent, gap, past, b = x["recent_window_days"], x["gap_window_days"], x["historical_window_days"], c.bounds
     if past <= recent + gap:
         raise ValueError("the historical window is longer than the recent one and the gap")
-    before, pause, now = _between(c, x, b.ago(past), b.ago(recent + gap)), _between(c, x, b.ago(recent + gap), b.ago(recent)), _between(c, x, b.ago(recent), b.now, True)
-    return before.join(pause, "person_id", "left_anti").join(now, "person_id", "left_semi")
+    return _in_spans(c, x, [b.ago(past), b.ago(recent + gap), b.ago(recent), b.now]).where("in0 and not in1 and in2").select("person_id")
 
 
 CONDITIONS = {

@@ -78,13 +78,18 @@ def person_page(people: DataFrame, distinct_ids: DataFrame, filters: tuple[Filte
     return page(rows, [F.desc("updated_at"), "person_id"], limit, offset).crossJoin(rows.agg(F.count("*").alias("total")))
 
 
-def person_events(raw: DataFrame, overrides: DataFrame, person_id: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+def person_events(raw: DataFrame, overrides: DataFrame, person_id: str, limit: int | None = None, offset: int = 0, most_ids: int = 1000) -> DataFrame:
     """The events of a person by their own id or by the one that their distinct id belongs to now, with both; with a limit the newest ones.
 
-    The distinct ids that belong to the person are looked up first, a few rows; both conditions reach the scan of the events.
+    The distinct ids that belong to the person are looked up first; both conditions reach the scan of the events. Those of a person with more than
+    ``most_ids`` of them are joined instead.
     ``overrides``: project_id, distinct_id, person_id, one row a distinct id."""
-    ids = sorted({r[0] for r in overrides.where(F.col("person_id") == person_id).select("distinct_id").collect()})
-    rows = raw.where((F.col("person_id") == person_id) | F.col("distinct_id").isin(*ids) if ids else F.col("person_id") == person_id)
+    own = overrides.where(F.col("person_id") == person_id).select("distinct_id").distinct()
+    ids = sorted(r[0] for r in own.limit(most_ids + 1).collect())
+    if len(ids) > most_ids:
+        rows = raw.where(F.col("person_id") == person_id).unionByName(raw.where(~F.col("person_id").eqNullSafe(person_id)).join(own, "distinct_id", "left_semi").select(raw.columns))
+    else:
+        rows = raw.where((F.col("person_id") == person_id) | F.col("distinct_id").isin(*ids) if ids else F.col("person_id") == person_id)
     now = overrides.select("project_id", "distinct_id", F.col("person_id").alias("now_id"))
     rows = rows.withColumnRenamed("person_id", "raw_person_id").join(now, ["project_id", "distinct_id"], "left")
     rows = rows.withColumn("person_id", F.coalesce("now_id", "raw_person_id")).drop("now_id")

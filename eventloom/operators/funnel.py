@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import timeutil as T
@@ -267,7 +267,12 @@ def per_person(events: DataFrame, spec: FunnelSpec, exclude: bool = True) -> Dat
 
 def step_counts(people: DataFrame, n: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """step (from 1), n_persons, conversion_rate, drop_off, drop_off_rate; a row a step, also without any person."""
-    return _steps(people.groupBy(*by).agg(*[F.count_if(F.col("max_step") >= k + 1).alias(f"c{k}") for k in range(n)]), n, by)
+    return _steps(_reached(people, n, by), n, by)
+
+
+def _reached(people: DataFrame, n: int, by: list[str], *more: Column) -> DataFrame:
+    """How many persons reached each step (c0, c1, ...), by groups."""
+    return people.groupBy(*by).agg(*[F.count_if(F.col("max_step") >= k + 1).alias(f"c{k}") for k in range(n)], *more)
 
 
 def _steps(sums: DataFrame, n: int, by: list[str]) -> DataFrame:
@@ -283,11 +288,13 @@ def funnel(events: DataFrame, spec: FunnelSpec) -> DataFrame:
 
 def funnel_breakdown(events: DataFrame, spec: FunnelSpec) -> DataFrame:
     """Step counts by the value at the first step: the values with most converters, and the empty one always."""
-    people, n = per_person(events, spec), len(spec.steps)
-    sums = people.where("first_value <> ''").groupBy("first_value").agg(F.count_if(F.col("max_step") >= n).alias("done"), F.count("*").alias("n"))
-    top = sums.orderBy(F.desc("done"), F.desc("n"), "first_value").limit(spec.breakdown_limit).select("first_value")
-    kept = people.where("first_value <> ''").join(top, "first_value", "left_semi").unionByName(people.where("first_value = ''").select("first_value", *[c for c in people.columns if c != "first_value"]))
-    rows = step_counts(kept, n, ["first_value"])
+    n = len(spec.steps)
+    sums = _reached(per_person(events, spec), n, ["first_value"], F.count("*").alias("n"))
+    none, order = F.col("first_value") == "", [F.desc(f"c{n - 1}"), F.desc("n"), "first_value"]
+    #: One more than are shown, as the empty value is shown besides them.
+    top = sums.orderBy(none.desc(), *order).limit(spec.breakdown_limit + 1)
+    top = top.withColumn("place", F.row_number().over(Window.partitionBy(none).orderBy(*order))).where(F.col("place") <= spec.breakdown_limit)
+    rows = _steps(top, n, ["first_value"])
     return rows.withColumn("breakdown", F.when(F.col("first_value") == "", "(none)").otherwise(F.col("first_value"))).drop("first_value")
 
 

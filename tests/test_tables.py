@@ -108,3 +108,39 @@ def test_more_limits(spark):
     assert funnel.funnel_by_cohort(frame, funnel.FunnelSpec(ABC, **DAY), members(10)).count() == 30
     with pytest.raises(ValueError):
         funnel.funnel_by_cohort(frame, funnel.FunnelSpec(ABC, **DAY), members(11))
+
+
+def test_a_person_with_many_ids_is_joined(spark):
+    from eventloom.operators import drilldown
+
+    raw = spark.createDataFrame([(k, "p", f"d{k % 7}", f"q{k % 5}", k) for k in range(70)] + [(99, "p", "d1", None, 1)], "event_id long, project_id string, distinct_id string, person_id string, ts long")
+    now = spark.createDataFrame([("p", f"d{k}", "q0" if k < 4 else "q9") for k in range(6)], "project_id string, distinct_id string, person_id string")
+    few, many = (sorted(map(str, drilldown.person_events(raw, now, "q0", most_ids=n).collect())) for n in (100, 2))
+    assert few == many and len(few) > 20
+
+
+def test_places_are_those_of_the_smallest_block(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(2)
+    some = lambda v: ipaddress.ip_address(rng.getrandbits(32 if v == 4 else 128) & ((0x0A0000FF if v == 4 else 0xFD0F << 112) | rng.getrandbits(8)))
+    networks = [ipaddress.ip_network((int(some(v)) if v == 4 else some(v), rng.choice([0, 4, 8, 13, 24, 29, 32] if v == 4 else [0, 7, 12, 16, 121, 128])), strict=False) for v in (4, 6) for _ in range(40)]
+    addresses = [some(v) for v in (4, 6) for _ in range(200)]
+    texts = {str(a): a for a in addresses} | {a.exploded: a for a in addresses} | {"::ffff:" + str(a): a for a in addresses if a.version == 4}
+    wrong = ["", "x", "1.2.3", "1.2.3.4.5", "256.1.1.1", "1::2::3", ":::", "1:2:3:4:5:6:7", "12345::", "1:2:3:4:5:6:7:8:9", "g::"]
+    frame = spark.createDataFrame([(t, "old") for t in [*texts, *wrong]] + [(None, "old")], "ip string, country string")
+    blocks = spark.createDataFrame([(str(n), f"c{k}") for k, n in enumerate(networks)] + [("nonsense", "x"), ("1.2.3.4", "x"), (None, "x")], "network string, country string")
+    first = {}
+    for k, n in enumerate(networks):
+        first[n] = min(first.get(n, f"c{k}"), f"c{k}")
+
+    def place(text):
+        hits = [n for n in networks if text in texts and texts[text].version == n.version and texts[text] in n]
+        #: An IPv4 address is a mapped IPv6 one, too.
+        if text in texts and texts[text].version == 4:
+            hits += [n for n in networks if n.version == 6 and ipaddress.ip_address("::ffff:" + str(texts[text])) in n]
+        return first[max(hits, key=lambda n: n.prefixlen + (96 if n.version == 4 else 0))] if hits else ""
+
+    got = {r["ip"]: r["country"] for r in ingest.with_place(frame, blocks).collect()}
+    assert got == {t: place(t) for t in [*texts, *wrong, None]} and len(set(got.values())) > 5
