@@ -9,13 +9,11 @@ from eventloom.operators import merges
 from eventloom.plans import fixtures as M
 from eventloom.plans.registry import query
 
-#: Time in an event's text, and the columns that the job reads.
-_TIME = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
-
-
 def _told(spark, sf):
+    """The events as clients send them, but for user_id and ts, which go before they are sent. User 0 is nobody."""
+    time = F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     rows = M.raw_events(spark, sf).where("user_id <> 0")
-    return rows.select("project_id", F.col("event_id").cast("string").alias("event_id"), F.col("event_name").alias("event"), "distinct_id", "properties", "user_properties", _TIME.alias("timestamp"), "user_id", "ts")
+    return rows.select("project_id", F.col("event_id").cast("string").alias("event_id"), F.col("event_name").alias("event"), "distinct_id", "properties", "user_properties", time.alias("timestamp"), "user_id", "ts")
 
 
 def _run(spark, kind: str, parts, job, files: int = 1):

@@ -144,3 +144,13 @@ def test_places_are_those_of_the_smallest_block(spark):
 
     got = {r["ip"]: r["country"] for r in ingest.with_place(frame, blocks).collect()}
     assert got == {t: place(t) for t in [*texts, *wrong, None]} and len(set(got.values())) > 5
+
+
+def test_queries_are_named_without_a_session():
+    """Nothing asks Spark for anything while modules are imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    ask = "import __spark_entry__ as e; assert len(e.queries()) > 200 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", ask], cwd=Path(__file__).resolve().parents[1], check=True)
