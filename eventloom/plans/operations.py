@@ -597,11 +597,11 @@ def time_between_selected(spark, sf):
     return A.selected_time_percentiles(_between(spark, sf))
 
 
-@query("--bare select event_type as event, case when user_id % 2 = 0 then 'even' end as import, count(*) as n from events where user_id % 2 = 0 group by 1, 2 union all select 'rejected', 'odd', count(*) from events where user_id % 2 = 1 and event_id % 1000 = 7")
+@query("--bare select event_type as event, case when user_id % 2 = 0 then 'even' end as import, count(*) as n from events where user_id % 2 = 0 group by 1, 2 union all select 'rejected', 'odd', count(*) from events where user_id % 2 = 1 and event_id % 10 = 7")
 def import_all_or_nothing(spark, sf):
     """Two imports: one whole, and one in which some lines have no timestamp, which leaves nothing but its count of bad lines."""
     folder, rows = M.scratch(spark, "import"), M.raw_events(spark, sf)
-    time = F.when((F.col("user_id") % 2 == 1) & (F.col("event_id") % 1000 == 7), "").otherwise(F.col("ts").cast("string")).alias("timestamp")
+    time = F.when((F.col("user_id") % 2 == 1) & (F.col("event_id") % 10 == 7), "").otherwise(F.col("ts").cast("string")).alias("timestamp")
     lines = rows.select("user_id", "project_id", F.col("event_name").alias("event"), "distinct_id", time)
     rejected = 0
     for k, name in enumerate(("even", "odd")):
