@@ -6,7 +6,8 @@ vectors, averaged) and a few numbers. A bidirectional LSTM in numpy reads the wh
 with what stands before and after it in view; blocks labelled as main text are the result.
 
 The model is trained here, on pages made by a seeded generator: many layouts of articles among menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, with invented words, so that it learns structure and not a vocabulary. Its
+notices, adverts, forms and reader comments (also threads without names), and pages that are nothing but their text, with invented
+words, so that it learns structure and not a vocabulary. Its
 weights are in ``block_labeller.npz``, written by ``python -m eventloom.llm.htmltext``; without that file the model is
 trained on the first call. It is sent to the tasks as a broadcast of a fixed size.
 
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PATHS, WORDS, PATH_WIDTH, WORD_WIDTH, NUMBERS, HIDDEN = 1024, 512, 24, 8, 6, 24
-PAGES, EPOCHS, BATCH, SEED = 1500, 6, 48, 11
+PAGES, EPOCHS, BATCH, STEPS, SEED = 8000, 6, 48, 150, 11
 
 #: Fixed element names: those whose edges end a block, those without content, those whose content isn't markup, those whose
 #: content isn't text, and those that a new element of the same kind closes.
@@ -454,15 +455,15 @@ _MODEL: dict | None = None
 
 
 def trained(pages: int = PAGES, seed: int = SEED) -> dict[str, np.ndarray]:
-    """A model from so many made pages; the same from the same seed."""
-    from eventloom.llm.pagemaker import made_pages
+    """A model from so many made pages, read EPOCHS times or as often as STEPS steps take; the same from the same seed."""
+    from eventloom.llm.pagemaker import MARK, marked_pages
 
     inputs, labels = [], []
-    for page, truth in made_pages(pages, seed):
+    for page in marked_pages(pages, seed):
         found = blocks_of(page)
-        inputs.append(Page(found))
-        labels.append(np.array([text in truth for _, text, _ in found], np.float32))
-    return train(inputs, labels)
+        inputs.append(Page([Block(path, text.replace(MARK, ""), min(linked, len(text.replace(MARK, "")))) for path, text, linked in found]))
+        labels.append(np.array([MARK in text for _, text, _ in found], np.float32))
+    return train(inputs, labels, max(EPOCHS, -(-STEPS * BATCH // pages)))
 
 
 def model() -> dict[str, np.ndarray]:
