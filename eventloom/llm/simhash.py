@@ -164,7 +164,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
     #: Buckets where a table entry meets another fingerprint; most probes of unrelated fingerprints end here.
     sizes = probes.groupBy("half", "key").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("n_own"))
     sizes = sizes.where((F.col("n") > 1) & (F.col("n_own") > 0))
-    met = checkpoint(probes.join(sizes, ["half", "key"]))
+    #: Merged by hint: Spark's estimates take no account of explode, so it would broadcast 66 rows a fingerprint by the size of one.
+    met = checkpoint(probes.join(sizes.hint("merge"), ["half", "key"]))
     plain = _forest(met.where(F.col("n") <= crowded), ["half", "key"], radius)
     #: Second level: a pair differs by at most one bit in one of the two 16-bit parts of the other half.
     other = F.when(F.col("half") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
