@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from eventloom.llm import queries
 
 
 @pytest.fixture
@@ -26,3 +27,8 @@ def test_pipeline_looks_up_fingerprints_without_broadcasting_them(spark, documen
     docs = spark.read.parquet(f"{documents}/documents.parquet")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, documents)
     assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0 and kept.count() == 20_000
+
+
+def test_op2_looks_up_fingerprints_without_broadcasting_them(spark, documents):
+    found = queries.QUERIES["op2_simhash_near_dedup"](spark, documents)
+    assert found.where("doc_id = component_id").count() == 20_000
