@@ -181,20 +181,21 @@ def near_links(fps: DataFrame, radius: int = RADIUS, crowded: int = CROWDED) ->
 
 def fingerprint_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, first_id (smallest doc_id with it), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of
-    every fingerprint in ``prints`` (doc_id, fp)."""
+    every fingerprint in ``prints`` (doc_id, fp). All of these tables grow with the input, so their joins are merged by hint."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = component_roots(near_links(classes.select("fp"), radius))
-    linked = checkpoint(classes.join(roots.withColumnRenamed("node", "fp"), "fp"))
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = linked.join(least, "root").select("fp", "root", "least_id")
+    linked = checkpoint(classes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp"))
+    #: Written, as below: a class of very many fingerprints can be split.
+    least = checkpoint(linked.groupBy("root").agg(F.min("first_id").alias("least_id")))
+    named = linked.join(least.hint("merge"), "root").select("fp", "root", "least_id")
     #: Written, so that a join with rows has nothing but its two exchanges and the rows of a hot fingerprint can be split.
-    return checkpoint(classes.join(named, "fp", "left").select("fp", "first_id", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
+    return checkpoint(classes.join(named.hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("class_fp")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (long), component_id (smallest doc_id reachable), class_fp (smallest fingerprint reachable) of every row of ``docs``."""
     prints = checkpoint(fingerprints(docs, shingle))
-    return prints.join(fingerprint_classes(prints, radius), "fp").select("doc_id", "fp", "component_id", "class_fp")
+    return prints.join(fingerprint_classes(prints, radius).hint("merge"), "fp").select("doc_id", "fp", "component_id", "class_fp")
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

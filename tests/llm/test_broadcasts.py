@@ -1,5 +1,6 @@
 """Tables that grow with the input and aren't broadcast, whatever Spark estimates."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,3 +33,30 @@ def test_pipeline_looks_up_fingerprints_without_broadcasting_them(spark, documen
 def test_op2_looks_up_fingerprints_without_broadcasting_them(spark, documents):
     found = queries.QUERIES["op2_simhash_near_dedup"](spark, documents)
     assert found.where("doc_id = component_id").count() == 20_000
+
+
+@pytest.fixture
+def near_copies(spark, tmp_path):
+    """A folder with 400 texts in groups of ten near copies and 40 rows of exact ones. Spark may broadcast what is under 10 MB, but every broadcast fails."""
+    word = F.expr("transform(sequence(1, 120), k -> if(k = 120 - doc_id % 10, concat('w', doc_id % 10), substr(md5(concat_ws('-', doc_id div 10, k)), 1, 7)))")
+    docs = spark.range(400).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", word))
+    docs = docs.unionByName(docs.where("doc_id % 10 = 3").withColumn("doc_id", F.col("doc_id") + 1000))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxBroadcastTableSize")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield str(tmp_path)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_op2_finds_classes_of_near_copies_without_any_broadcast(spark, near_copies):
+    rows = queries.QUERIES["op2_simhash_near_dedup"](spark, near_copies).collect()
+    assert len(rows) == 440
+    ids, bits = np.array([r.doc_id for r in rows]), np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
+    linked, named, before = np.bitwise_count(bits[:, None] ^ bits) <= 3, ids, None
+    while before is None or (named != before).any():
+        named, before = np.where(linked, named, ids.max()).min(axis=1), named
+    assert [r.component_id for r in rows] == named.tolist()
+    several = [len(set(bits[named == c].tolist())) for c in set(named.tolist())]
+    assert max(several) > 2 and len(several) < 360
