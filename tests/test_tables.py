@@ -146,6 +146,21 @@ def test_places_are_those_of_the_smallest_block(spark):
     assert got == {t: place(t) for t in [*texts, *wrong, None]} and len(set(got.values())) > 5
 
 
+@pytest.mark.parametrize("kind", sorted(cohorts.PERCENTILES))
+def test_percentiles_at_a_limit_are_those_of_sql(spark, tmp_path, kind):
+    """Persons of n numbers, low ones and high ones, whose percentile is at the limit of 60 or near it."""
+    import duckdb
+
+    spark.range(2, 12).selectExpr("id as n", "explode(sequence(40, 60)) as lo").selectExpr("*", "explode(sequence(60, 85)) as hi").selectExpr(
+        "concat_ws('-', n, lo, hi) as person_id", f"explode(transform(sequence(0, n - 1), i -> if(i <= floor((n - 1) * {cohorts.PERCENTILES[kind]}D), lo, hi))) as k"
+    ).write.parquet(f"{tmp_path}/rows")
+    numbers = spark.read.parquet(f"{tmp_path}/rows").selectExpr("person_id", "'A' as event_name", "timestamp_ntz'2024-01-10' as ts", "format_string('{\"k\": %d}', k) as properties")
+    node = {"type": "event", "event_name": "A", "aggregation_type": kind, "aggregation_property": "properties.k", "count_operator": "gte", "count": 60, "time_window_days": 20}
+    got = {r["person_id"] for r in cohorts.persons(cohorts.Context(numbers, cohorts.Bounds(datetime(2024, 1, 20))), node).collect()}
+    want = duckdb.sql(f"select person_id from '{tmp_path}/rows/*.parquet' group by 1 having quantile_cont(k::double, {cohorts.PERCENTILES[kind]}) >= 60").fetchall()
+    assert got == {p for (p,) in want} and 0 < len(got) < 10 * 21 * 26
+
+
 def test_queries_are_named_without_a_session():
     """Nothing asks Spark for anything while modules are imported."""
     import subprocess
