@@ -629,15 +629,19 @@ def delete_by_partition(spark, sf):
 select event_id, case when kind = 2 and event_id % 2 = 0 then '' when kind = 0 and hi = 1 and lo >= 8 then 'inner' when kind = 0 and hi % 2 = 1 then 'odd' when kind = 0 then 'ten'
   when kind = 1 and hi = 2 then 'six-two' when kind = 1 then 'six' when kind = 2 then 'mapped' end as country from a""")
 def geo_prefixes(spark, sf):
-    """Addresses of both versions in nested blocks: 10.hi.0.lo, fd00::hi:lo, and IPv4 ones written the IPv6 way, every other of these with an octet too large."""
+    """Addresses of both versions in nested blocks: 10.hi.0.lo, fd00::hi:lo, and IPv4 ones written the IPv6 way, every other of these with an octet too large.
+
+    What of hi is too large for an octet or a group goes into the next one, which is 0 for small numbers only, so every address is one and stays in its blocks."""
     n = lambda c: c.cast("string")
     hi, lo = F.floor(F.col("user_id") / 16), F.col("user_id") % 16
-    six = F.concat(F.lit("FD00::"), F.lower(F.hex(hi)), F.lit(":"), F.lower(F.hex(lo)))
-    mapped = F.concat(F.lit("::ffff:192.168."), n(hi), F.lit("."), n(F.when(F.col("event_id") % 2 == 0, 300).otherwise(lo)))
+    low, more = hi % 256, F.when(hi < 256, 0).otherwise(F.floor(hi / 256) % 255 + 1)
+    group = F.when(hi < 65536, "").otherwise(F.concat(F.lower(F.hex(F.floor(hi / 65536) % 65535 + 1)), F.lit(":")))
+    six = F.concat(F.lit("FD00::"), group, F.lower(F.hex(hi % 65536)), F.lit(":"), F.lower(F.hex(lo)))
+    mapped = F.concat(F.lit("::ffff:192.168."), n(low), F.lit("."), n(F.when(F.col("event_id") % 2 == 0, 300).otherwise(lo)))
     kind = F.col("event_id") % 3
-    ip = F.when(kind == 0, F.concat(F.lit("10."), n(hi), F.lit(".0."), n(lo))).when(kind == 1, six).otherwise(mapped)
+    ip = F.when(kind == 0, F.concat(F.lit("10."), n(low), F.lit("."), n(more), F.lit("."), n(lo))).when(kind == 1, six).otherwise(mapped)
     rows = M.raw_events(spark, sf).select("event_id", ip.alias("ip"))
-    odd = M.raw_events(spark, sf).select(hi.alias("h")).where("h % 2 = 1").distinct().select(F.concat(F.lit("10."), n(F.col("h")), F.lit(".0.0/16")).alias("network"), F.lit("odd").alias("country"))
+    odd = M.raw_events(spark, sf).select(low.alias("h")).where("h % 2 = 1").distinct().select(F.concat(F.lit("10."), n(F.col("h")), F.lit(".0.0/16")).alias("network"), F.lit("odd").alias("country"))
     fixed = [("10.0.0.0/8", "ten"), ("10.1.0.8/29", "inner"), ("fd00::/16", "six"), ("fd00::2:0/112", "six-two"), ("192.168.0.0/16", "mapped"), ("300.1.1.1/8", "wrong"), ("fd00::/200", "wrong")]
     blocks = odd.unionByName(spark.createDataFrame(fixed, "network string, country string"))
     return I.with_place(rows, blocks).select("event_id", "country")

@@ -146,6 +146,22 @@ def test_places_are_those_of_the_smallest_block(spark):
     assert got == {t: place(t) for t in [*texts, *wrong, None]} and len(set(got.values())) > 5
 
 
+def test_places_of_many_users_are_those_of_sql(spark, tmp_path):
+    """Users whose numbers don't fit into an octet, or a group of an IPv6 address, any more."""
+    import duckdb
+
+    from eventloom import catalog
+
+    numbers = "select unnest([0, 1, 2, 3, 255, 256, 257, 258, 511, 512, 513, 5625, 65535, 65536, 65537, 65538, 131072, 131074, 16777217, 4294967298]) as hi"
+    duckdb.sql(f"""copy (select row_number() over (order by hi, lo, k) as event_id, timestamp '2024-01-10' as ts, hi * 16 + lo as user_id, 'view' as event_type, 1.0::double as value, '{{"k": 1}}' as props
+      from ({numbers}), (select unnest([0, 7, 8, 15]) as lo), (select unnest(range(6)) as k)) to '{tmp_path}/events.parquet' (format parquet)""")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute("select event_id, country from (" + catalog.oracles()["geo_prefixes"] + ")").fetchall()
+    got = [(r["event_id"], r["country"]) for r in catalog.queries()["geo_prefixes"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len({c for _, c in want}) == 7
+
+
 @pytest.mark.parametrize("kind", sorted(cohorts.PERCENTILES))
 def test_percentiles_at_a_limit_are_those_of_sql(spark, tmp_path, kind):
     """Persons of n numbers, low ones and high ones, whose percentile is at the limit of 60 or near it."""
