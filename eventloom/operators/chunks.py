@@ -1,7 +1,8 @@
 """Folds over a person's events that can be cut into chunks and joined again.
 
 Most persons' events are one array. Those of persons with more than a limit are dealt by ranges of (person, time), so that many tasks
-share a person; events of one person and one millisecond stay together. A chunk is folded without knowledge of what came before it:
+share a person, and a range is cut further where the limit is below its size; events of one person and one millisecond stay together. There are as many
+tasks as the events take, however many chunks these make. A chunk is folded without knowledge of what came before it:
 
 * ordered steps: for each step the newest way that began inside, and for each pair of steps (j, k) the first time at which somebody who had
   reached j before the chunk reaches k in it. A way from before is as good as its start's window lasts.
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 from eventloom.functions.values import history
 from eventloom.plans.fixtures import scratch
 
-#: Events of a person above which they are cut, and bytes of input up to which nobody looks for such persons.
+#: Events of a person above which they are cut (a task's range has about as many), and bytes of input up to which nobody looks for such persons.
 MOST_EVENTS, WHOLE_BYTES = 100_000, 256 << 20
+#: A chunk's number is that of its range times this, and its place in the range.
+IN_RANGE = 1 << 32
 
 
 def input_bytes(rows: DataFrame) -> int:
@@ -43,15 +46,19 @@ def split(rows: DataFrame, most: int = MOST_EVENTS, whole_bytes: int = WHOLE_BYT
     total = persons.agg(F.sum("n")).first()[0]
     if total is None:
         return rows, None
-    ids = persons.select("person_id")
-    cut = rows.join(ids, "person_id", "left_semi").repartitionByRange(-(-total // most) + 1, "person_id", "ms")
-    cut.withColumn("chunk", F.spark_partition_id()).write.parquet(f"{folder}/rows")
+    ids, size = persons.select("person_id"), max(most, MOST_EVENTS)
+    cut = rows.join(ids, "person_id", "left_semi").repartitionByRange(-(-total // size) + 1, "person_id", "ms")
+    cut = cut.withColumn("chunk", F.spark_partition_id().cast("long") * IN_RANGE)
+    if most < size:
+        place = F.rank().over(Window.partitionBy("person_id", "chunk").orderBy("ms")) - 1
+        cut = cut.withColumn("place", place).withColumn("chunk", F.col("chunk") + F.floor(F.col("place") / most)).drop("place")
+    cut.write.parquet(f"{folder}/rows")
     return rows.join(ids, "person_id", "left_anti"), spark.read.parquet(f"{folder}/rows")
 
 
 def dealt(hot: DataFrame) -> DataFrame:
-    """A task for about each chunk, since a task holds the arrays of all chunks that it collects."""
-    n = (hot.agg(F.max("chunk")).first()[0] or 0) + 1
+    """A task for about each range's events, since a task holds the arrays of all chunks that it collects."""
+    n = (hot.agg(F.max("chunk")).first()[0] or 0) // IN_RANGE + 1
     return hot.repartition(n, "person_id", "chunk")
 
 

@@ -57,6 +57,29 @@ def test_sequences_of_cut_persons(spark, events):
     assert found[0] == found[1] and {d for _, d in found[0]} == {True, False}
 
 
+@pytest.mark.parametrize("size", [150, chunks.MOST_EVENTS])
+def test_tasks_are_as_many_as_events_take(spark, events, monkeypatch, size):
+    """However many chunks there are: several of them share a range, and ranges are of the size that a task takes."""
+    monkeypatch.setattr(chunks, "MOST_EVENTS", size)
+    rows = events.select("person_id", "ms", "event_id")
+    _, hot = chunks.split(rows, **{"most": 30, "whole_bytes": 0})
+    n, ranges = hot.count(), chunks.dealt(hot).rdd.getNumPartitions()
+    parts = hot.groupBy("person_id", "chunk").agg(F.count("*").alias("n"), F.min("ms").alias("low"), F.max("ms").alias("high")).collect()
+    assert n > 1000 and ranges <= n // size + 2 and len(parts) > n // 30
+    assert hot.groupBy("person_id", "ms").agg(F.count_distinct("chunk").alias("n")).agg(F.max("n")).first()[0] == 1
+    for person in {r["person_id"] for r in parts}:
+        own = sorted((r["chunk"], r["low"], r["high"]) for r in parts if r["person_id"] == person)
+        assert all(a[2] < b[1] for a, b in zip(own, own[1:]))
+
+
+@pytest.mark.parametrize("mode", ["ordered", "strict", "unordered"])
+def test_chunks_in_several_ranges(spark, events, monkeypatch, mode):
+    monkeypatch.setattr(chunks, "MOST_EVENTS", 150)
+    ways = (Exclusion("X", 0, 1), Exclusion("A", 1, 2))
+    got, want = (sorted(map(tuple, funnel.per_person(events, spec(mode, exclusions=ways, **more)).collect())) for more in ({"most_events": 20, "whole_bytes": 0}, {}))
+    assert got == want and len(got) > 3
+
+
 def test_nobody_is_cut_in_small_tables(spark, events):
     table, hot = chunks.split(spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumnRenamed("user_id", "person_id"))
     assert hot is None and chunks.input_bytes(table) < chunks.WHOLE_BYTES
