@@ -80,6 +80,25 @@ def test_chunks_in_several_ranges(spark, events, monkeypatch, mode):
     assert got == want and len(got) > 3
 
 
+def most_tasks(spark, group, ask):
+    """The most tasks that a stage of a question has."""
+    spark.sparkContext.setJobGroup(group, group)
+    ask()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return max(s.numTasks for s in stages if s is not None)
+
+
+CUT_FUNNELS = {"strict": {}}
+
+
+@pytest.mark.parametrize("mode", CUT_FUNNELS)
+def test_cut_funnels_have_few_tasks(spark, events, mode):
+    """Over a thousand events in some sixty chunks, far less than a task takes."""
+    assert most_tasks(spark, f"few tasks, {mode}", lambda: funnel.per_person(events, spec(mode, **CUT_FUNNELS[mode], **CUT)).collect()) <= 8
+
+
 def test_nobody_is_cut_in_small_tables(spark, events):
     table, hot = chunks.split(spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumnRenamed("user_id", "person_id"))
     assert hot is None and chunks.input_bytes(table) < chunks.WHOLE_BYTES
