@@ -90,7 +90,7 @@ def most_tasks(spark, group, ask):
     return max(s.numTasks for s in stages if s is not None)
 
 
-CUT_FUNNELS = {"strict": {}}
+CUT_FUNNELS = {"strict": {}, "ordered": {"exclusions": (Exclusion("X", 0, 1),)}}
 
 
 @pytest.mark.parametrize("mode", CUT_FUNNELS)
